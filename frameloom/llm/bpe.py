@@ -4,21 +4,30 @@ The byte-level pattern never lets a token span a single space that stands
 between two non-space characters: that space always opens a new pre-token.  So
 a text may be cut there, and the ids of the cuts, concatenated, are the ids of
 the text.  Natural text repeats its words, which makes a small cache of pieces
-far cheaper than encoding every text from scratch.
+far cheaper than encoding every text from scratch.  A piece of letters alone is
+one pre-token, so it goes straight to the library's model, in the byte-level
+alphabet.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Pieces kept at most in one worker's cache, and the longest that is kept.
-CACHE_PIECES = 200_000
-CACHE_PIECE_CHARS = 64
+#: Pieces in one generation of a worker's cache (there are two), and the longest
+#: piece that is kept: about 200 MB for a worker at most.
+CACHE_PIECES = 300_000
+CACHE_PIECE_CHARS = 48
+#: Marks that may end a piece and always make a pre-token of their own after a
+#: letter.  The apostrophe isn't one: it starts contractions.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this code point are letters in every version of Unicode.
+_OLD_LETTERS = "\u0250"
 
 
 class _Unsafe(Exception):
@@ -26,20 +35,48 @@ class _Unsafe(Exception):
 
 
 class _Cache(dict):
-    def __init__(self, encode):
+    """Ids of pieces, each after a space.  What a full generation holds is
+    looked up once more before it goes."""
+
+    def __init__(self, encode, encode_letters):
         super().__init__()
-        self._encode = encode
+        self._encode, self._letters, self._old, self._tails = encode, encode_letters, {}, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        ids = self._encode(" " + piece)
+        ids = self._old.get(piece)
+        if ids is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise _Unsafe
+            core = piece.rstrip(_MARKS)
+            if not core.isalpha() or max(core) >= _OLD_LETTERS:
+                ids = self._encode(" " + piece)
+            elif len(core) < len(piece):
+                ids = self[core] + self._tail(piece[len(core) :])
+            else:
+                ids = self._letters(piece)
         if len(piece) <= CACHE_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self._old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def _tail(self, marks: str) -> bytes:
+        ids = self._tails.get(marks)
+        if ids is None:
+            ids = self._encode(marks)
+            if len(marks) <= 4 and len(self._tails) < CACHE_PIECES // 8:
+                self._tails[marks] = ids
+        return ids
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE writes printable bytes as themselves, and the others, in
+    order, as the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class ByteBpe:
     """Encodes texts to packed little-endian ids of ``dtype``."""
@@ -49,10 +86,22 @@ class ByteBpe:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
-        self._cache = _Cache(self._direct)
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        alphabet = _byte_alphabet()
+        self._space = alphabet[32]
+        self._table = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(128, ord(_OLD_LETTERS))}
+        self._cache = _Cache(self._direct, self._letters(self._tokenizer.model))
 
     def _direct(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, model):
+        def encode(word: str) -> bytes:
+            if not word.isascii():
+                word = word.translate(self._table)
+            return array(self._code, [t.id for t in model.tokenize(self._space + word)]).tobytes()
+
+        return encode
 
     def encode(self, text: str | None) -> bytes:
         if not text:
