@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table
+from .common import fold, fresh_path, read_table
+
+#: Documents that score less are rejected.
+QUALITY_THRESHOLD = 0.3
 
 
 def byte_bpe_path() -> str:
@@ -28,6 +31,33 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _not_null_doc(name: str):
+    return F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0) & F.col(name).isNotNull()
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    """Fitted on the labels outside the held-out fold."""
+    from .quality import fit_quality
+
+    labels = read_table(spark, sf_dir, "labels")
+    return fit_quality(read_table(spark, sf_dir, "documents"), labels, label_col="quality", where=_not_null_doc("quality"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    scored = score_quality(read_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify(docs, fit_languages(docs, where=fold(F.col("doc_id"), 4) != 2))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -45,6 +75,8 @@ def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_files": op2_token_files,
+    "op3_quality": op3_quality,
+    "op4_language_id": op4_language_id,
     "op7_packing": op7_packing,
     "op8_repeat_removal": op8_repeat_removal,
 }

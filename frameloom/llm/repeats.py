@@ -84,10 +84,13 @@ class Hasher:
         self._bytes, self._words = _Powers(_P), _Powers(_Q)
 
     def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each word, and for each text how many words end by its end."""
+        """Hash of each word, and for each text how many words end by its end.
+
+        ``places`` then has the words' starts and ends in ``data``.
+        """
         if len(ends) > 1 or len(data) <= 2 * _CHUNK:
             return self._words_of(data, ends)
-        found, at = [], 0  # one long text: by blocks that end at white space
+        found, places, at = [], [], 0  # one long text: by blocks that end at white space
         while at < len(data):
             to = at + _CHUNK
             while to < len(data) and not _SPACE[data[to]]:
@@ -95,12 +98,17 @@ class Hasher:
                 to += int(gap[0]) if len(gap) else 4096
             to = min(to, len(data))
             found.append(self._words_of(data[at:to], np.asarray([to - at]))[0])
+            places.append([p + at for p in self.places])
             at = to
+        self.places = tuple(np.concatenate(p) for p in zip(*places))
         hashes = np.concatenate(found)
         return hashes, np.asarray([len(hashes)])
 
     def _words_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
+        if not n:
+            self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
         self._bytes.reach(n + 1)
         solid = ~_SPACE[data]
         first = solid.copy()
@@ -112,7 +120,7 @@ class Hasher:
         last[:-1] &= ~solid[1:]
         tails = ends[(ends > 0)] - 1
         last[tails] = solid[tails]
-        start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, stop = self.places = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._bytes.up[:n], out=sums[1:])
         hashes = _mix(_ranges(sums, start, stop, self._bytes) + (stop - start).astype(np.uint64))
@@ -164,7 +172,7 @@ def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, bytes and ends of the texts, some at a time; null texts are empty."""
     ids = batch.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
     texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
@@ -220,7 +228,7 @@ def _suffix_rows(window: int, prefix: int, bits: int):
 
         for batch in batches:
             parts, rows = [], []
-            for ids, data, ends in _text_chunks(batch):
+            for ids, data, ends in text_chunks(batch):
                 words, upto = hasher.words(data, ends)
                 counts = np.diff(upto, prepend=0)
                 anchor, own, start, begin, finish, marks = hasher.runs(words, counts)
@@ -228,7 +236,7 @@ def _suffix_rows(window: int, prefix: int, bits: int):
                     twins = _twins(data, ends)
                     size = finish - begin
                     # A run's own path: its anchor and all fingerprints along it.
-                    sums = np.concatenate([[0], np.cumsum(_mix(marks + np.uint64(1)))]).astype(np.uint64)
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(marks + np.uint64(1)))])
                     path = _mix(anchor ^ (sums[finish] - sums[begin])) ^ _mix(marks[begin] + size.astype(np.uint64))
                     parts.append((anchor, ids[own], twins[own], start.astype(np.uint32), size.astype(np.uint8), marks, path))
             if not parts:
