@@ -34,7 +34,7 @@ class Forest:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, ridge: float = 1.0, least: float = 3.0) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, ridge: float = 1.0, least: float = 1.0) -> Forest:
     """``least``: hessian that a child needs.  One class alone, or no rows, gives
     a constant: the smoothed share of ones."""
     n, f = x.shape

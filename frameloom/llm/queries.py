@@ -72,6 +72,12 @@ def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_files": op2_token_files,
@@ -79,6 +85,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op7_packing": op7_packing,
     "op8_repeat_removal": op8_repeat_removal,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL where it can express the operator.

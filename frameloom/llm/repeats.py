@@ -380,6 +380,23 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col
     return materialize(dealt.mapInArrow(_subtrees(window), "doc long, twin long, spans binary"), "spans")[0]
 
 
+def _with_spans(docs: DataFrame, window: int, prefix: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__spans``: what is known of rows with the same id."""
+    spans = repeated_spans(docs, window=window, prefix=prefix, id_col=id_col, text_col=text_col)
+    known = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("twin", "spans")).alias("__spans"))
+    own = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID))
+    return docs.join(known, own == known["__doc"], "left").drop("__doc")
+
+
+def _own_spans(raw: bytes, found: list[dict] | None) -> np.ndarray | None:
+    """Merged spans of the row with this text, or None."""
+    if not found:
+        return None
+    twin = _twin(raw)
+    own = [x["spans"] for x in found if x["twin"] == twin]
+    return _merged(np.frombuffer(b"".join(own), "<u4").reshape(-1, 2)) if own else None
+
+
 def remove_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's words without those that a repeated window covers.
 
@@ -392,52 +409,68 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col
     document and share its result.  Empty tables give no row; other columns are
     ignored.
     """
-    spark = docs.sparkSession
-    spans = repeated_spans(docs, window=window, prefix=prefix, id_col=id_col, text_col=text_col)
-    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = chosen.select("doc", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("long").alias("twin"), F.lit(None).cast("binary").alias("spans"))
-    rows = rows.union(spans.select("doc", F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("binary"), "twin", "spans"))
-    dealt = rows.repartition(shuffle_partitions(spark), "doc").sortWithinPartitions("doc", "kind")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known = None, {}
-        names = ["doc_id", "n_words", "n_removed", "kept", "spans"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["doc_id", "n_words", "n_removed", "kept", "spans"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-        def as_batch(out):
-            cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
-            cols[3] = cols[3].cast(pa.string())
-            return pa.RecordBatch.from_arrays(cols, names=names)
+    def as_batch(out):
+        cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+        cols[3] = cols[3].cast(pa.string())
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for i in range(batch.num_rows):
-                doc, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if doc != current:
-                    current, known = doc, {}
-                if kind == 0:
-                    known.setdefault(batch.column(4)[i].as_py(), []).append(batch.column(5)[i].as_py())
-                    continue
-                raw = batch.column(3)[i].as_py() or b""
-                words = raw.split()
-                found = known.get(_twin(raw)) if known else None
-                keep, merged = words, b""
-                if found:
-                    spans = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2)
-                    merged = _merged(spans)
+            texts, out, size = batch.column(1).cast(pa.binary()), [], 0
+            for key, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                raw = text.as_py() or b""
+                words = keep = raw.split()
+                spans = _own_spans(raw, found)
+                if spans is not None:
                     keep, at = [], 0
-                    for a, b in merged.tolist():
+                    for a, b in spans.tolist():
                         keep += words[at:a]
                         at = b
                     keep += words[at:]
-                    merged = merged.astype("<u4").tobytes()
-                kept = b" ".join(keep)
-                out.append((batch.column(2)[i].as_py(), len(words), len(words) - len(keep), kept, merged))
-                size += len(kept)
+                out.append((key, len(words), len(words) - len(keep), b" ".join(keep), b"" if spans is None else spans.astype("<u4").tobytes()))
+                size += len(raw)
                 if size > 8 << 20:
                     yield as_batch(out)
                     out, size = [], 0
             if out:
                 yield as_batch(out)
 
-    return dealt.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans binary")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spread = _with_spans(chosen, window, prefix, "doc_id", "text")
+    return spread.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans binary")
+
+
+def cut_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, their repeated windows cut out of ``text_col``.
+
+    The rules are those of :func:`remove_repeats`.  What stays keeps its white
+    space; rows without a repeat stay as they are; rows of which nothing is left
+    go.  All other columns are unchanged.
+    """
+    import re
+
+    names, at, word = docs.columns, docs.columns.index(text_col), re.compile(rb"[^\x20\x09-\x0d]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = batch.column(at).cast(pa.binary()).to_pylist(), np.ones(batch.num_rows, dtype=bool)
+            for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                spans = _own_spans(texts[i] or b"", found)
+                if spans is None:
+                    continue
+                raw = texts[i]
+                starts = [m.start() for m in word.finditer(raw)] + [len(raw)]
+                parts, done = [], 0
+                for a, b in spans.tolist():
+                    parts.append(raw[done : starts[a]])
+                    done = starts[b]
+                texts[i] = (b"".join(parts) + raw[done:]).rstrip()
+                stay[i] = bool(texts[i])
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
+
+    return _with_spans(docs, window, prefix, id_col, text_col).mapInArrow(run, docs.schema)

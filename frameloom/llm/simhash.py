@@ -207,3 +207,13 @@ def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, seed:
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp, _ = materialize(rooted.join(lows, "root").select("fp", "component_id"), "components")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, whose id is the smallest of its
+    component.  Rows without an id are no copies of others' and stay; rows that
+    repeat an id share its fate."""
+    found = near_duplicates(docs, id_col=id_col, **options)
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    copies, _ = materialize(copies, "copies")
+    return docs.join(copies, docs[id_col] == copies["__copy"], "left_anti")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from frameloom.llm import repeats
-from frameloom.llm.repeats import remove_repeats
+from frameloom.llm.repeats import cut_repeats, remove_repeats
 
 
 def brute(rows, window=20):
@@ -68,3 +68,11 @@ def test_nulls_repeats_and_empty_tables(spark):
     twice = spark.createDataFrame([(5, text), (5, text)], "doc_id long, text string")
     assert [r.n_removed for r in remove_repeats(twice).collect()] == [0, 0]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_cut_keeps_layout_and_columns(spark):
+    text = "\n".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1, text, "a"), (2, "head\n\n" + text + "\nlast  words", "b"), (3, text, "c"), (4, None, "d"), (5, "  odd  space ", "e")], "doc_id long, text string, __twin string")
+    got = cut_repeats(df)
+    assert got.schema == df.schema
+    assert {r.doc_id: r.text for r in got.collect()} == {1: text, 2: "head\n\nlast  words", 4: None, 5: "  odd  space "}
