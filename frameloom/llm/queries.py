@@ -58,6 +58,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build, search
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    return search(build(rows, keep=21), rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -83,6 +90,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
+    "op5_nearest": op5_nearest,
     "op7_packing": op7_packing,
     "op8_repeat_removal": op8_repeat_removal,
     "op10_decontamination": op10_decontamination,

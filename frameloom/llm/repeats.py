@@ -39,7 +39,7 @@ from .common import materialize, shuffle_partitions
 _CHUNK = 1 << 20
 GROUP_BYTES = 2 << 20
 #: Distinct runs that a task remembers to merge equal ones before the shuffle.
-_MEMORY = 400_000
+_MEMORY = 150_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
