@@ -20,8 +20,8 @@ import numpy as np
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Pieces in one generation of a worker's cache (there are two), and the longest
-#: piece that is kept: about 200 MB for a worker at most.
-CACHE_PIECES = 300_000
+#: piece that is kept: about 300 MB for a worker at most.
+CACHE_PIECES = 600_000
 CACHE_PIECE_CHARS = 48
 #: Marks that may end a piece and always make a pre-token of their own after a
 #: letter.  The apostrophe isn't one: it starts contractions.
