@@ -85,17 +85,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 # Preparing ---------------------------------------------------------------------
 
 
-def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, str]:
+def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, dims: int | None = None) -> tuple[DataFrame, int, str]:
     """``vec_id`` and ``vec`` (packed) of the rows that can take part.
 
     Null ids or vectors, zero vectors and vectors with null or non-finite
-    components take none; nor do those whose length isn't the commonest (of
-    ties, the smallest).  Returns the length and the components' type too.
+    components take none; nor do those whose length isn't ``dims``, by default
+    the commonest (of ties, the smallest).  Returns the length and the components' type too.
     """
-    chosen = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(f"vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    chosen = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     kind = "<f4" if isinstance(rows.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
-    sizes = chosen.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = sizes[0].d if sizes else 0
+    if dims is None:
+        sizes = chosen.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+        dims = sizes[0].d if sizes else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +269,7 @@ def _edges(k: int, backward: bool):
 _MEMBER = "at long, member long, code binary, cut float, fresh int"
 
 
-def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 5, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
+def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 6, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
     """The neighbour graph of all vectors that take part.
 
     ``keep``: ids kept of equal vectors, the smallest; a search for ``keep - 1``
@@ -525,7 +526,7 @@ def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
 
 
-def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 110, expand: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 320, expand: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: up to ``k`` nearest found.
 
     The row of the index with a query's own id is no result.  Ties go to smaller
@@ -536,9 +537,9 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 110, e
     spark: SparkSession = queries.sparkSession
     parts = shuffle_partitions(spark)
     schema = "query_id long, rank int, vec_id long, score double"
-    asked, dims, kind = valid_vectors(queries, id_col, vector_col)
-    if not index.n or (dims and dims != index.dims):
+    if not index.n:
         return spark.createDataFrame([], schema)
+    asked, dims, kind = valid_vectors(queries, id_col, vector_col, index.dims)
     asked, _ = materialize(asked.distinct().withColumnRenamed("vec_id", "query_id"), "queries")
     if kind != index.kind:
         raise ValueError("queries and index have components of different types")
