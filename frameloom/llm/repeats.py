@@ -37,6 +37,8 @@ from .common import materialize, shuffle_partitions
 
 #: Bytes of text that are hashed at a time, and of a group of suffixes.
 _CHUNK = 1 << 20
+#: Bytes of text whose runs are packed at a time.
+_SETTLE = 6 << 20
 GROUP_BYTES = 2 << 20
 #: Distinct runs that a task remembers to merge equal ones before the shuffle.
 _MEMORY = 150_000
@@ -226,23 +228,9 @@ def _suffix_rows(window: int, prefix: int, bits: int):
             ends = np.concatenate([[0], ends])
             return [(int(group[c]), out[c:s].tobytes(), six[ends[c] : ends[s]].tobytes(), None, None, None) for c, s in zip(cuts.tolist(), stops.tolist())]
 
-        for batch in batches:
-            parts, rows = [], []
-            for ids, data, ends in text_chunks(batch):
-                words, upto = hasher.words(data, ends)
-                counts = np.diff(upto, prepend=0)
-                anchor, own, start, begin, finish, marks = hasher.runs(words, counts)
-                if len(anchor):
-                    twins = _twins(data, ends)
-                    size = finish - begin
-                    # A run's own path: its anchor and all fingerprints along it.
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(marks + np.uint64(1)))])
-                    path = _mix(anchor ^ (sums[finish] - sums[begin])) ^ _mix(marks[begin] + size.astype(np.uint64))
-                    parts.append((anchor, ids[own], twins[own], start.astype(np.uint32), size.astype(np.uint8), marks, path))
-            if not parts:
-                continue
+        def settle(parts) -> pa.RecordBatch:
             anchor, doc, twin, start, n, marks, path = (np.concatenate(c) for c in zip(*parts))
-            # Among equal runs of the batch the first in order stays.
+            # Among equal runs the first in order stays.
             order = np.lexsort((start, twin, doc, path))
             sorted_path = path[order]
             head = np.concatenate([[True], sorted_path[1:] != sorted_path[:-1]])
@@ -266,7 +254,27 @@ def _suffix_rows(window: int, prefix: int, bits: int):
             rows = pack(anchor, doc, twin, start, n, marks, np.asarray(kept, dtype=np.int64))
             late = np.concatenate(later).astype(np.int64)
             rows += _span_rows(doc[late], twin[late], start[late], start[late].astype(np.int64) + n[late] - 1 + window)
-            yield _as_batch(rows)
+            return _as_batch(rows)
+
+        for batch in batches:
+            parts, size = [], 0
+            for ids, data, ends in text_chunks(batch):
+                words, upto = hasher.words(data, ends)
+                counts = np.diff(upto, prepend=0)
+                anchor, own, start, begin, finish, marks = hasher.runs(words, counts)
+                if not len(anchor):
+                    continue
+                times = finish - begin
+                # A run's own path: its anchor and all fingerprints along it.
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(marks + np.uint64(1)))])
+                path = _mix(anchor ^ (sums[finish] - sums[begin])) ^ _mix(marks[begin] + times.astype(np.uint64))
+                parts.append((anchor, ids[own], _twins(data, ends)[own], start.astype(np.uint32), times.astype(np.uint8), marks, path))
+                size += len(data)
+                if size >= _SETTLE:
+                    yield settle(parts)
+                    parts, size = [], 0
+            if parts:
+                yield settle(parts)
 
     return run
 
