@@ -65,6 +65,14 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build(rows, keep=21), rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -79,6 +87,16 @@ def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derive, responses
+
+    made = derive(responses(read_table(spark, sf_dir, "pages")))
+    return made.select(
+        "page_id", "response_id", "target_uri", "payload_digest", "payload_intact", "metadata_id", "metadata_digest", "conversion_id", "conversion_digest",
+        F.length("text").alias("text_chars"), F.sha2("metadata", 256).alias("metadata_sha256"), F.sha2("conversion", 256).alias("conversion_sha256"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -91,8 +109,10 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_nearest": op5_nearest,
+    "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_repeat_removal": op8_repeat_removal,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_decontamination": op10_decontamination,
 }
 
