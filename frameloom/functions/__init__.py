@@ -1 +1 @@
-"""."""
+"""Scalar formulas, as SQL expressions that Catalyst compiles."""

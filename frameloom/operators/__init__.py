@@ -1 +1 @@
-"""."""
+"""Operators over pixels, frames and blocks."""

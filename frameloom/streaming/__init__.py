@@ -1 +1 @@
-"""."""
+"""Sliding windows over streams of frames."""
