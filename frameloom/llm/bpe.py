@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .common import kept
+
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Pieces in one generation of a worker's cache (there are two), and the longest
-#: piece that is kept: about 300 MB for a worker at most.
-CACHE_PIECES = 600_000
+#: piece that is kept: about 200 MB for a worker at most.
+CACHE_PIECES = 400_000
 CACHE_PIECE_CHARS = 48
 #: Marks that may end a piece and always make a pre-token of their own after a
 #: letter.  The apostrophe isn't one: it starts contractions.
@@ -45,15 +46,16 @@ class _Cache(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self._old.get(piece)
         if ids is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
+            if piece.isalpha() and (piece.isascii() or max(piece) < _OLD_LETTERS):
+                ids = self._letters(piece)
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
                 raise _Unsafe
-            core = piece.rstrip(_MARKS)
-            if not core.isalpha() or max(core) >= _OLD_LETTERS:
-                ids = self._encode(" " + piece)
-            elif len(core) < len(piece):
-                ids = self[core] + self._tail(piece[len(core) :])
             else:
-                ids = self._letters(piece)
+                core = piece.rstrip(_MARKS)
+                if len(core) < len(piece) and core.isalpha() and max(core) < _OLD_LETTERS:
+                    ids = self[core] + self._tail(piece[len(core) :])
+                else:
+                    ids = self._encode(" " + piece)
         if len(piece) <= CACHE_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self._old = dict(self)
@@ -129,7 +131,6 @@ def id_dtype(path: str) -> np.dtype:
     return np.dtype("<u2") if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
 
 
-@lru_cache(maxsize=2)
 def worker_bpe(path: str, dtype: str) -> ByteBpe:
     """The encoder of this Python worker, kept between tasks."""
-    return ByteBpe(path, np.dtype(dtype))
+    return kept((ByteBpe, path, dtype), lambda: ByteBpe(path, np.dtype(dtype)))

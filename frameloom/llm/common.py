@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,27 @@ def fold(id_col: Column, folds: int) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one thing at a time, so that the
+    caches of one operator don't add to the next one's."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what an operator before has kept in this worker."""
+    _KEPT.clear()
+
+
+def text_slices(texts: pa.Array, most: int) -> Iterator[list[str | None]]:
+    """The texts as Python strings, some ``most`` bytes at a time."""
+    step = max(1, len(texts) * most // max(1, texts.nbytes))
+    for at in range(0, len(texts), step):
+        yield texts.slice(at, step).to_pylist()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, text_slices
 
 BLOCK = 32
 #: Items of one index.  A larger benchmark is searched one index after another,
@@ -247,12 +247,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5,
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             detector = Detector(shared.value, threshold, overlap, shingle)
             names = [c.split()[0] for c in _LEAKS.split(", ")]
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                rows = [(keys[t], *rest) for t, *rest in detector.of(batch.column(1).to_pylist())]
+                rows, at = [], 0
+                for texts in text_slices(batch.column(1), _CHUNK):
+                    rows += [(keys[at + t], *rest) for t, *rest in detector.of(texts)]
+                    at += len(texts)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -267,10 +271,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5,
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             detector = Detector(shared.value, threshold, overlap, shingle)
             for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[t for t, *_ in detector.of(batch.column(at).to_pylist())]] = False
+                clean, done = np.ones(batch.num_rows, dtype=bool), 0
+                for texts in text_slices(batch.column(at), _CHUNK):
+                    clean[[done + t for t, *_ in detector.of(texts)]] = False
+                    done += len(texts)
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

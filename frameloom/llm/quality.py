@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
+from .common import forget
 from .textstats import NAMES, Statistics
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest
@@ -18,6 +19,7 @@ FIT_ROWS = 20_000
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     stats = Statistics()
     for batch in batches:
         x = stats.of(batch.column(0), batch.column(1))
@@ -53,6 +55,7 @@ def score_quality(docs: DataFrame, model: Forest, *, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         stats = Statistics()
         for batch in batches:
             score = model.score(stats.of(batch.column(0), batch.column(1)))
@@ -67,6 +70,7 @@ def keep_quality(docs: DataFrame, model: Forest, threshold: float, *, id_col: st
     key, text = names.index(id_col), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         stats = Statistics()
         for batch in batches:
             yield batch.filter(pa.array(model.score(stats.of(batch.column(key), batch.column(text))) >= threshold))

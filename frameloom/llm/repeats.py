@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import forget, materialize, shuffle_partitions
 
 #: Bytes of text that are hashed at a time, and of a group of suffixes.
 _CHUNK = 1 << 20
@@ -208,6 +208,7 @@ def _suffix_rows(window: int, prefix: int, bits: int):
     """Suffixes by group, and spans that a task already knows to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher = Hasher(window, prefix)
         seen: dict[int, tuple] = {}
 
@@ -343,6 +344,7 @@ def _subtrees(window: int):
         return _span_rows(doc[late], twin[late], start[late], start[late] + window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         group, suffixes, marks = None, [], []
         made: list[tuple] = []
         for batch in batches:

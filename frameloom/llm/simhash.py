@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions
+from .common import forget, materialize, shuffle_partitions
 from .components import connected_components
 
 #: Fingerprints that one bucket compares with one another.
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in texts), np.uint64, len(texts))
@@ -124,7 +125,6 @@ def _compare_buckets(radius: int):
             a, b, m = [], [], []
             edges = split(mask, fp, last)
             sizes = np.diff(edges)
-            single = np.zeros(len(fp), dtype=bool)
             pairs = np.flatnonzero(sizes == 2)
             near = edges[pairs]
             ok = np.bitwise_count(fp[near] ^ fp[near + 1]) <= radius
@@ -164,7 +164,7 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     ``distinct`` has one long column ``fp`` without repeats.
     """
     spark, n = distinct.sparkSession, shuffle_partitions(distinct.sparkSession)
-    todo, found, spare = distinct.select(F.lit(0).cast("long").alias("parent"), "fp"), None, []
+    todo, found = distinct.select(F.lit(0).cast("long").alias("parent"), "fp"), None
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -180,10 +180,9 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     while True:
         key = F.col("mask").bitwiseAND(F.col("fp"))
         dealt = todo.mapInArrow(expand, "mask long, fp long").repartition(n, "mask", key).sortWithinPartitions("mask", key)
-        made, path = materialize(dealt.mapInArrow(_compare_buckets(radius), "a long, b long, mask long"), "buckets")
+        made, _ = materialize(dealt.mapInArrow(_compare_buckets(radius), "a long, b long, mask long"), "buckets")
         links = made.where("mask = 0").select("a", "b")
         found = links if found is None else found.union(links)
-        spare.append(path)
         more = made.where("mask <> 0").select(F.col("mask").alias("parent"), F.col("a").alias("fp")).distinct()
         if more.isEmpty():
             return found

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, text_slices
+
 #: Pre-tokens whose counts a worker remembers, and the longest of them.
 _MEMORY, _LONGEST = 400_000, 64
 _CHUNK = 2_000_000
@@ -96,9 +97,8 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=1)
 def _worker_counter(path: str) -> Counter:
-    return Counter(unigram_scores(path))
+    return kept((Counter, path), lambda: Counter(unigram_scores(path)))
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,14 +111,9 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _worker_counter(model_path)
         for batch in batches:
-            texts, at, found = batch.column(1).to_pylist(), 0, []
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < _CHUNK):
-                    size += len(texts[to] or "")
-                    to += 1
-                found += counter.of(texts[at:to])
-                at = to
+            found = []
+            for texts in text_slices(batch.column(1), _CHUNK):
+                found += counter.of(texts)
             words, tokens = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
