@@ -282,6 +282,17 @@ _temporal(
 query("temporal_samples", f"WITH {SAMPLES} SELECT f, y, x, count(*) AS k, CAST(sum(s) AS BIGINT) AS total FROM s GROUP BY f, y, x")(
     lambda s, d: _clip_samples(s, d).groupBy("f", "y", "x").agg(F.count("*").alias("k"), F.sum("s").cast("long").alias("total"))
 )
+
+
+def _tiles(s: SparkSession, d: str) -> DataFrame:
+    from frameloom.operators.tiles import denoise
+    from frameloom.sources.frames import from_pixels, to_pixels
+
+    frames = from_pixels(ad.pixels(s, d).selectExpr("'clip' AS clip_id", "f", "y", "x", "v"), 16, 16)
+    return to_pixels(denoise(frames, "vst_bilateral", ad.SIGMA)).select("f", "y", "x", "v")
+
+
+query("tiles_bilateral", f"WITH {SAMPLES}, {_bilateral_sql(1.0)}")(_tiles)
 query("technique_sweep")(lambda s, d: tm.sweep(_clip_samples(s, d).where("f < 2"), ad.SIGMA, 16, 16))
 query(
     "neighbour_cap",
