@@ -34,7 +34,10 @@ from .common import materialize, release, shuffle_partitions
 #: Vectors that the trees are fitted on, at most, by smallest hash of the id.
 FIT_VECTORS = 16_384
 #: Nodes of a bucket of the trees, and of a block that answers searches, about.
-BUCKET, BLOCK = 160, 1024
+BUCKET, BLOCK = 160, 2048
+#: Nodes or queries of a partition, about: as few as the first where there are
+#: few in all, and as many as the second where shuffle partitions don't suffice.
+SMALL, LARGE = 2048, 50_000
 #: Nodes that every search may start from.
 SEEDS = 64
 
@@ -82,6 +85,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield held
 
 
+def _partitions(spark: SparkSession, n: int, small: int = SMALL) -> int:
+    return max(1, min(-(-n // small), max(shuffle_partitions(spark), -(-n // LARGE))))
+
+
+def _deal(df: DataFrame, parts: int, key: str, *order: str) -> DataFrame:
+    """Rows dealt to ``parts`` partitions by a key, and sorted there."""
+    return df.repartitionById(parts, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).sortWithinPartitions(key, *order)
+
+
 # Preparing ---------------------------------------------------------------------
 
 
@@ -146,19 +158,20 @@ class _Tree:
 
 # NN-descent ----------------------------------------------------------------------
 
-_LIST = "node long, ids binary, sims binary, fresh binary"
+_LIST = "node long, ids binary, sims binary, fresh binary, code binary"
 
 
 def _merge(k: int):
     """The ``k`` most similar of all lists of a node; ``fresh`` marks those that
-    no list with the flag 0 has."""
+    no list with the flag 0 has.  One of the lists has the node's own vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
             ids, counts = _flat(batch.column(1), "<i8")
             sims, _ = _flat(batch.column(2), "<f4")
             fresh, _ = _flat(batch.column(3), "u1")
-            node = np.repeat(batch.column(0).to_numpy(), counts)
+            rows = batch.column(0).to_numpy()
+            node = np.repeat(rows, counts)
             order = np.lexsort((fresh, ids, node))
             node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
             first = np.concatenate([[True], (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])])[: len(node)] & (ids != node)
@@ -166,8 +179,12 @@ def _merge(k: int):
             order = np.lexsort((ids, -sims, node))
             order = order[_rank(node[order]) < k]
             node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
-            keys, counts = np.unique(node, return_counts=True)
-            yield _frame(node=pa.array(keys), ids=_lists(ids, counts), sims=_lists(sims, counts), fresh=_lists(fresh, counts))
+            keys = np.unique(rows)
+            counts = np.searchsorted(node, keys, side="right") - np.searchsorted(node, keys, side="left")
+            known = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False))
+            own = known[np.searchsorted(rows[known], keys)] if len(known) else None
+            code = batch.column(4).take(pa.array(own)) if own is not None else pa.nulls(len(keys), pa.binary())
+            yield _frame(node=pa.array(keys), ids=_lists(ids, counts), sims=_lists(sims, counts), fresh=_lists(fresh, counts), code=code)
 
     return run
 
@@ -198,7 +215,7 @@ def _bucket_lists(dims: int, k: int):
                     other, value = _best_pairs(own, sims, ~np.eye(b - a, dtype=bool), k)
                     good = np.isfinite(value)
                     counts = good.sum(axis=1)
-                    yield _frame(node=pa.array(own), ids=_lists(other[good].astype("<i8"), counts), sims=_lists(value[good].astype("<f4"), counts), fresh=_lists(np.ones(int(counts.sum()), np.uint8), counts))
+                    yield _frame(node=pa.array(own), ids=_lists(other[good].astype("<i8"), counts), sims=_lists(value[good].astype("<f4"), counts), fresh=_lists(np.ones(int(counts.sum()), np.uint8), counts), code=batch.column(2).slice(a, b - a))
 
     return run
 
@@ -239,33 +256,60 @@ def _local_join(dims: int, k: int, most: int, block: int = 256):
                 other, value = other[good], value[good]
                 order = np.argsort(told, kind="stable")
                 nodes, counts = np.unique(told, return_counts=True)
-                yield _frame(node=pa.array(nodes), ids=_lists(other[order].astype("<i8"), counts), sims=_lists(value[order].astype("<f4"), counts), fresh=_lists(np.ones(len(told), np.uint8), counts))
+                yield _frame(node=pa.array(nodes), ids=_lists(other[order].astype("<i8"), counts), sims=_lists(value[order].astype("<f4"), counts), fresh=_lists(np.ones(len(told), np.uint8), counts), code=pa.nulls(len(nodes), pa.binary()))
 
     return run
 
 
-def _edges(k: int, backward: bool):
-    """A node's list as rows: to those listed, with the node's own vector and
-    the similarity that a newcomer must beat; or the plain pairs to be joined."""
+def _worst(sims: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """What a newcomer to each list must beat."""
+    ends = np.cumsum(counts)
+    out = np.full(len(counts), -np.inf, np.float32)
+    out[counts >= k] = sims[ends[counts >= k] - 1]
+    return out
+
+
+def _back(k: int):
+    """A row for each edge, to the node that is listed, with the lister's vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts = _flat(batch.column(1), "<i8")
-            fresh, _ = _flat(batch.column(3), "u1")
-            node = np.repeat(batch.column(0).to_numpy(), counts)
-            if not backward:
-                yield _frame(at=pa.array(node), member=pa.array(ids), fresh=pa.array(fresh.astype(np.int32)))
-                continue
             sims, _ = _flat(batch.column(2), "<f4")
-            ends = np.cumsum(counts)
-            worst = np.full(len(counts), -np.inf, np.float32)
-            worst[counts >= k] = sims[ends[counts >= k] - 1]
+            fresh, _ = _flat(batch.column(3), "u1")
             code = batch.column(4).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield _frame(at=pa.array(ids), member=pa.array(node), code=code, cut=pa.array(np.repeat(worst, counts)), fresh=pa.array(fresh.astype(np.int32)))
+            yield _frame(at=pa.array(ids), member=pa.array(np.repeat(batch.column(0).to_numpy(), counts)), code=code, cut=pa.array(np.repeat(_worst(sims, counts, k), counts)), fresh=pa.array(fresh.astype(np.int32)))
 
     return run
 
 
+def _ahead(k: int):
+    """Every node's vector (kind 0) and every edge (kind 1), by the node listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0)
+            ids, counts = _flat(batch.column(1), "<i8")
+            sims, _ = _flat(batch.column(2), "<f4")
+            fresh, _ = _flat(batch.column(3), "u1")
+            n, e = len(node), len(ids)
+            yield _frame(member=node, kind=pa.array(np.zeros(n, np.int32)), at=pa.nulls(n, pa.int64()), code=batch.column(4), cut=pa.array(_worst(sims, counts, k)), fresh=pa.array(np.zeros(n, np.int32)))
+            yield _frame(member=pa.array(ids), kind=pa.array(np.ones(e, np.int32)), at=pa.array(np.repeat(node.to_numpy(), counts)), code=pa.nulls(e, pa.binary()), cut=pa.array(np.zeros(e, np.float32)), fresh=pa.array(fresh.astype(np.int32)))
+
+    return run
+
+
+def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges with the vector of the node listed; rows are sorted by it and kind."""
+    for batch in _whole_groups(batches):
+        kind = batch.column(1).to_numpy()
+        own = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), 0))
+        edge = np.flatnonzero(kind)
+        pick = pa.array(own[edge])
+        yield _frame(at=batch.column(2).take(pa.array(edge)), member=batch.column(0).take(pa.array(edge)), code=batch.column(3).take(pick), cut=batch.column(4).take(pick), fresh=batch.column(5).take(pa.array(edge)))
+
+
+_SPREAD = "member long, kind int, at long, code binary, cut float, fresh int"
 _MEMBER = "at long, member long, code binary, cut float, fresh int"
 
 
@@ -277,11 +321,11 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 6, trees: int
     other in a round.
     """
     spark, k = rows.sparkSession, neighbours
-    parts = shuffle_partitions(spark)
     vectors, dims, kind = valid_vectors(rows, id_col, vector_col)
     vectors, vectors_path = materialize(vectors, "vectors")
     nodes, nodes_path = materialize(vectors.groupBy("vec").agg(F.min("vec_id").alias("node")).select("node", "vec"), "nodes")
     n = nodes.count()
+    parts = _partitions(spark, n)
     by_vector = Window.partitionBy("vec").orderBy("vec_id")
     firsts = vectors.select("vec_id", "vec").distinct().withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= keep)
     members, _ = materialize(firsts.join(nodes, "vec").select("node", "vec_id"), "members")
@@ -317,50 +361,27 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 6, trees: int
                 bucket = (tree.leaf(x) * chunks + chunk) * len(forest) + t
                 yield _frame(bucket=pa.array(bucket), node=pa.array(ids), code=_lists(code(x).ravel(), np.full(len(ids), wide)))
 
-    dealt = nodes.mapInArrow(deal, "bucket long, node long, code binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    lists = dealt.mapInArrow(_bucket_lists(wide, k), _LIST)
-    graph, graph_path = materialize(lists.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_merge(k), _LIST), "graph")
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = code(lifted(_flat(batch.column(1), kind)[0]))
-            yield _frame(node=batch.column(0), code=_lists(x.ravel(), np.full(len(x), wide)))
-
-    coded, coded_path = materialize(nodes.mapInArrow(codes, "node long, code binary"), "codes")
+    dealt = nodes.mapInArrow(deal, "bucket long, node long, code binary")
+    lists = _deal(dealt, parts, "bucket").mapInArrow(_bucket_lists(wide, k), _LIST)
+    graph, graph_path = materialize(_deal(lists, parts, "node").mapInArrow(_merge(k), _LIST), "graph")
     for _ in range(rounds if n > 1 else 0):
-        full = graph.join(coded, "node").select("node", "ids", "sims", "fresh", "code")
-        back = full.mapInArrow(_edges(k, True), _MEMBER)
-        pairs = graph.mapInArrow(_edges(k, False), "at long, member long, fresh int")
-        own = full.mapInArrow(_cuts(k), "member long, code binary, cut float")
-        ahead = pairs.join(own, "member").select("at", "member", "code", "cut", "fresh")
-        met = back.union(ahead).repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_local_join(wide, k, told), _LIST)
+        back = graph.mapInArrow(_back(k), _MEMBER)
+        ahead = _deal(graph.mapInArrow(_ahead(k), _SPREAD), parts, "member", "kind").mapInArrow(_attach, _MEMBER)
+        met = _deal(back.union(ahead), parts, "at").mapInArrow(_local_join(wide, k, told), _LIST)
         seen = graph.withColumn("fresh", F.expr("repeat('\\0', length(fresh))").cast("binary"))
-        both = seen.union(met).repartition(parts, "node").sortWithinPartitions("node")
-        graph, new_path = materialize(both.mapInArrow(_merge(k), _LIST), "graph")
+        graph, new_path = materialize(_deal(seen.union(met), parts, "node").mapInArrow(_merge(k), _LIST), "graph")
         release(spark, graph_path)
         graph_path = new_path
 
     # Searches go both ways along an edge; a node gives its ``k`` nearest and up
     # to ``k`` of those that list it.
-    both = graph.select("node", "ids", "sims", "fresh").union(graph.mapInArrow(_reversed, _LIST))
-    near = both.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_merge(2 * k), _LIST).select("node", F.col("ids").alias("near"))
-    ready, _ = materialize(nodes.join(near, "node", "left").select("node", "vec", F.coalesce("near", F.lit(b"")).alias("near")), "index")
-    release(spark, graph_path, coded_path, vectors_path, nodes_path)
+    both = graph.union(graph.mapInArrow(_reversed, _LIST))
+    near = _deal(both, parts, "node").mapInArrow(_merge(2 * k), _LIST).select("node", F.col("ids").alias("near"))
+    ready, _ = materialize(nodes.join(near, "node").select("node", "vec", "near"), "index")
+    release(spark, graph_path, vectors_path, nodes_path)
     return Index(ready, members, dims, kind, n)
 
 
-def _cuts(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims, counts = _flat(batch.column(2), "<f4")
-            ends = np.cumsum(counts)
-            worst = np.full(len(counts), -np.inf, np.float32)
-            worst[counts >= k] = sims[ends[counts >= k] - 1]
-            yield _frame(member=batch.column(0), code=batch.column(4), cut=pa.array(worst))
-
-    return run
-
-
 def _reversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = _flat(batch.column(1), "<i8")
@@ -368,7 +389,7 @@ def _reversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = np.repeat(batch.column(0).to_numpy(), counts)
         order = np.argsort(ids, kind="stable")
         keys, counts = np.unique(ids, return_counts=True)
-        yield _frame(node=pa.array(keys), ids=_lists(node[order], counts), sims=_lists(sims[order], counts), fresh=_lists(np.zeros(len(ids), np.uint8), counts))
+        yield _frame(node=pa.array(keys), ids=_lists(node[order], counts), sims=_lists(sims[order], counts), fresh=_lists(np.zeros(len(ids), np.uint8), counts), code=pa.nulls(len(keys), pa.binary()))
 
 
 # Search --------------------------------------------------------------------------
@@ -535,7 +556,6 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 320, e
     vector count once.  ``width`` bounds a query's pool, not what it may visit.
     """
     spark: SparkSession = queries.sparkSession
-    parts = shuffle_partitions(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     if not index.n:
         return spark.createDataFrame([], schema)
@@ -566,6 +586,7 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 320, e
 
     # One search for each distinct vector, known by its smallest query.
     distinct, _ = materialize(asked.groupBy("vec").agg(F.min("query_id").alias("id")), "distinct-queries")
+    parts = _partitions(spark, distinct.count(), 256)
     own = index.nodes.select("node", "vec", "near")
     state = distinct.join(own, "vec", "left").select("id", "vec", "node", "near").mapInArrow(begin, _STATE)
     state, path = materialize(state, "pools")
@@ -581,10 +602,10 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 320, e
         asks, asks_path = materialize(state.mapInArrow(_questions(width, expand, blocks, False), _ASK), "questions")
         if asks.isEmpty():
             break
-        rows = held.union(asks).repartition(parts, "block").sortWithinPartitions("block", "kind")
+        rows = held.union(asks).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
         answers = rows.mapInArrow(_answers(dims, kind), _STATE)
         waiting = state.mapInArrow(_questions(width, expand, blocks, True), _STATE)
-        after, after_path = materialize(waiting.union(answers).repartition(parts, "id").sortWithinPartitions("id", "kind").mapInArrow(_advance(width), _STATE), "pools")
+        after, after_path = materialize(_deal(waiting.union(answers), parts, "id", "kind").mapInArrow(_advance(width), _STATE), "pools")
         release(spark, path, asks_path)
         state, path = after, after_path
 
