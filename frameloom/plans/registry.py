@@ -13,6 +13,7 @@ from frameloom.operators import colour as col
 from frameloom.operators import motion as mo
 from frameloom.operators import spatial as sp
 from frameloom.operators import temporal as tm
+from frameloom.operators import video as vi
 
 from . import adapters as ad
 from .oracle import EMB, PX, PX32, RGB, SAMPLES, SG, back, duck, px_of, sig, z
@@ -418,6 +419,93 @@ query(
     SELECT id, CAST(y AS INT) AS y, CAST(p AS INT) AS p, low, CASE WHEN q IS NULL THEN (5 * a - 11 * b + 4 * s - s2 + 4) >> 3 WHEN s IS NULL THEN (11 * a - 5 * b - 4 * q + q2 + 4) >> 3 ELSE ((s - q + 4) >> 3) + a - b END AS high FROM l""",
 )(lambda s, d: sp.wavelet_26(ad.blocks(s, d).withColumnRenamed("x", "i"), ["id", "y"], 8))
 
+# Video ------------------------------------------------------------------------------------------
+
+_YUV = """l AS (SELECT *, CAST(trunc(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) AS INT) AS l FROM rgb),
+    p AS (SELECT a.f, a.y, a.x // 2 AS xc, a.l AS l0, b.l AS l1, (a.b + b.b) // 2 - (a.l + b.l) // 2 AS u, (a.r + b.r) // 2 - (a.l + b.l) // 2 AS w FROM l a JOIN l b ON b.f = a.f AND b.y = a.y AND b.x = a.x + 1 WHERE a.x % 2 = 0),
+    yuv AS (SELECT f, y, xc, least(65535, greatest(0, l0)) >> 6 AS y0, least(65535, greatest(0, l1)) >> 6 AS y1, least(65535, greatest(0, CAST(trunc(u * 0.5389::DOUBLE) AS INT) + 32768)) >> 6 AS cb, least(65535, greatest(0, CAST(trunc(w * 0.635::DOUBLE) AS INT) + 32768)) >> 6 AS cr FROM p)"""
+query("rgb_to_yuv422", f"WITH {RGB}, {_YUV} SELECT * FROM yuv")(lambda s, d: vi.rgb_to_yuv422(ad.colour(s, d)))
+query(
+    "yuv422_to_rgb",
+    f"""WITH {RGB}, {_YUV}, q AS (SELECT f, y, xc * 2 AS x, y0 * 64 AS l, cb * 64 - 32768 AS u, cr * 64 - 32768 AS w FROM yuv UNION ALL SELECT f, y, xc * 2 + 1, y1 * 64, cb * 64 - 32768, cr * 64 - 32768 FROM yuv)
+    SELECT f, y, CAST(x AS INT) AS x, least(65535, greatest(0, l + CAST(trunc(1.5748::DOUBLE * w) AS INT))) AS r, least(65535, greatest(0, l - CAST(trunc(0.1873::DOUBLE * u) AS INT) - CAST(trunc(0.4681::DOUBLE * w) AS INT))) AS g, least(65535, greatest(0, l + CAST(trunc(1.8556::DOUBLE * u) AS INT))) AS b FROM q""",
+)(lambda s, d: vi.yuv422_to_rgb(vi.rgb_to_yuv422(ad.colour(s, d)).selectExpr("f", "y", "xc", "y0 * 64 AS y0", "y1 * 64 AS y1", "cb * 64 AS cb", "cr * 64 AS cr")))
+query(
+    "bayer_to_rgb",
+    f"""WITH {PX}, c AS (SELECT f, y // 2 AS cy, x // 2 AS cx, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v END) AS r, CAST(sum(CASE WHEN y % 2 <> x % 2 THEN v END) // 2 AS INT) AS g, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN v END) AS b FROM px GROUP BY ALL)
+    SELECT px.f, px.y, px.x, r, g, b FROM px JOIN c ON c.f = px.f AND c.cy = px.y // 2 AND c.cx = px.x // 2""",
+)(lambda s, d: vi.mosaic_to_rgb(ad.pixels(s, d)))
+query(
+    "film_grain",
+    f"""WITH RECURSIVE {PX}, r AS (SELECT f, 0 AS i, (12345 + f)::BIGINT AS s FROM (SELECT DISTINCT f FROM px) UNION ALL SELECT f, i + 1, (1664525 * s + 1013904223) % 4294967296 FROM r WHERE i < 768),
+    g AS (SELECT f, (i - 1) // 3 AS p, sum((s >> 16) - 32768) AS n FROM r WHERE i > 0 GROUP BY f, (i - 1) // 3)
+    SELECT px.f, px.y, px.x, least(65535, greatest(0, v + CAST(trunc(n / (32768 * 1.732::DOUBLE) * (120.0::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * (v / 65535.0::DOUBLE)))) AS INT))) AS v FROM px JOIN g ON g.f = px.f AND g.p = px.y * 16 + px.x""",
+)(lambda s, d: vi.film_grain(ad.pixels(s, d), 0.3, 16, height=16))
+query(
+    "luma_fill",
+    f"""WITH {PX}, m AS (SELECT a.f, a.y, a.x, CAST(sum(b.v) // count(*) AS INT) AS m FROM px a JOIN px b ON b.f = a.f AND abs(b.y - a.y) + abs(b.x - a.x) = 1 WHERE a.y % 2 = a.x % 2 GROUP BY a.f, a.y, a.x)
+    SELECT px.f, px.y, px.x, coalesce(m, v) AS luma, v - coalesce(m, v) + 2048 AS residual FROM px LEFT JOIN m USING (f, y, x)""",
+)(lambda s, d: vi.luma_fill(ad.pixels(s, d)))
+_BLEND = vi.blend_schedule("(v / 100D)", "(f / 5D)")
+query("blend_schedule", f"WITH {PX} SELECT f, y, x, " + ", ".join(f"{'' if c == 'second' else 'round('}{duck(e)}{'' if c == 'second' else ', 6)'} AS {c}" for c, e in _BLEND.items()) + " FROM px")(
+    lambda s, d: ad.pixels(s, d).selectExpr("f", "y", "x", *(f"{e} AS {c}" if c == "second" else f"round({e}, 6) AS {c}" for c, e in _BLEND.items()))
+)
+query(
+    "dwt53_fwd",
+    f"""WITH {EMB}, p AS (SELECT id, y, x // 2 AS p, max(CASE WHEN x % 2 = 0 THEN v END) AS a, max(CASE WHEN x % 2 = 1 THEN v END) AS b FROM emb GROUP BY id, y, x // 2),
+    h AS (SELECT *, b - ((a + coalesce(lead(a) OVER w, a)) >> 1) AS high FROM p WINDOW w AS (PARTITION BY id, y ORDER BY p))
+    SELECT id, CAST(y AS INT) AS y, CAST(p AS INT) AS p, a + ((coalesce(lag(high) OVER w, high) + high + 2) >> 2) AS low, high FROM h WINDOW w AS (PARTITION BY id, y ORDER BY p)""",
+)(lambda s, d: vi.lifting_53(ad.blocks(s, d).withColumnRenamed("x", "i"), ["id", "y"], 8).selectExpr("id", "y", "p", "low", "high"))
+query("dwt53_roundtrip", f"WITH {EMB} SELECT id, CAST(y AS INT) AS y, CAST(x AS INT) AS i, v FROM emb")(
+    lambda s, d: vi.lifting_53(vi.lifting_53(ad.blocks(s, d).withColumnRenamed("x", "i"), ["id", "y"], 8), ["id", "y"], 8, inverse=True)
+)
+
+
+def _planes(s: SparkSession, d: str) -> DataFrame:
+    return ad.colour(s, d).where(f"f < {ad.frame_count(s, d)}").selectExpr("f", "y", "x", "stack(3, 'r', r, 'g', g, 'b', b) AS (plane, v)")
+
+
+query(
+    "rgb_temporal",
+    f"""WITH {RGB}, m AS (SELECT count(*) // 256 AS n FROM events), px AS (SELECT 'r' AS plane, f, y, x, r AS v FROM rgb, m WHERE f < n UNION ALL SELECT 'g', f, y, x, g FROM rgb, m WHERE f < n UNION ALL SELECT 'b', f, y, x, b FROM rgb, m WHERE f < n),
+    s AS (SELECT a.plane, a.f, a.y, a.x, CAST(a.v AS DOUBLE) AS c, b.f AS nf, CAST(b.v AS DOUBLE) AS s FROM px a CROSS JOIN m JOIN px b ON a.plane = b.plane AND a.y = b.y AND a.x = b.x AND (b.f = a.f OR (b.f BETWEEN least(greatest(a.f - 2, 0), greatest(m.n - 5, 0)) AND least(greatest(a.f - 2, 0), greatest(m.n - 5, 0)) + 4 AND a.x + 2 < 16 AND a.y + 2 < 16))),
+    q AS (SELECT *, 1 / (pow({sig('s')}, 2) + 1) AS w FROM s WHERE abs(s - c) <= 3 * {sig('c')}) SELECT plane, f, y, x, {px_of('round(sum(w * s) / sum(w), 6)')} AS v FROM q GROUP BY plane, f, y, x""",
+)(lambda s, d: tm.inverse_variance(tm.samples(_planes(s, d), ad.frame_count(s, d), 5, 16, 16, by=("plane",)), ad.SIGMA, by=("plane",)))
+
+
+def _recursive(s: SparkSession, d: str) -> DataFrame:
+    from frameloom.sources.frames import from_pixels, to_pixels
+
+    frames = from_pixels(ad.pixels(s, d).selectExpr("'clip' AS clip_id", "f", "y", "x", "v"), 16, 16)
+    return to_pixels(vi.recursive(frames, "vst_bilateral", ad.SIGMA)).select("f", "y", "x", "v")
+
+
+query("recursive_bilateral")(_recursive)
+
+
+def _two_pass(s: SparkSession, d: str) -> DataFrame:
+    """The first result as centre, the raw neighbours as before."""
+    rows = tm.samples(ad.pixels(s, d), ad.frame_count(s, d), 5, 16, 16)
+    first = tm.bilateral(rows, ad.SIGMA).withColumnRenamed("v", "c1")
+    again = rows.join(first, ["f", "y", "x"]).withColumns({"c": F.col("c1").cast("double"), "s": F.expr("CASE WHEN nf = f THEN CAST(c1 AS DOUBLE) ELSE s END")}).drop("c1")
+    return tm.bilateral(again, ad.SIGMA)
+
+
+query("preview_two_pass")(_two_pass)
+
+
+def _parameter_sweep(s: SparkSession, d: str) -> DataFrame:
+    """Windows times bandwidths, as one long table."""
+    clip, n = ad.pixels(s, d), ad.frame_count(s, d)
+    made = [tm.bilateral(tm.samples(clip, n, w, 16, 16).where("f < 3"), ad.SIGMA, h).selectExpr(f"{w} AS window", f"{h}D AS h", "*") for w in (3, 5, 9) for h in (0.8, 1.0, 1.2)]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+query("parameter_sweep")(_parameter_sweep)
+
 # Analysis, sets and profiles ----------------------------------------------------------------------
 
 _P8 = "preview AS (SELECT f, y, x, r >> 8 AS r, g >> 8 AS g, b >> 8 AS b FROM rgb)"
