@@ -21,6 +21,12 @@ An occurrence meets its group once for each task and distinct run, not once for
 each copy: a task marks all but the first of the equal runs that it holds.
 Hence a passage in a third of all documents adds a row per task to its group.
 
+A prefix that is common with many continuations, such as the start of a stock
+phrase, would still fill one group.  Such prefixes are made longer: their windows
+travel one by one, and the whole path of ``window`` words names the group.  Which
+prefixes these are is counted on a bounded share of the texts beforehand; it
+decides about routes only, never about results.
+
 Windows are equal if their anchors' 64-bit and their own 48-bit fingerprints are.
 """
 
@@ -40,6 +46,11 @@ _CHUNK = 1 << 20
 #: Bytes of text whose runs are packed at a time.
 _SETTLE = 6 << 20
 GROUP_BYTES = 2 << 20
+#: Runs that make a prefix common, at least, and the share of all runs that does
+#: so in large corpora: there are a million common prefixes at most.
+COMMON_RUNS, COMMON_SHARE = 30_000, 1e-6
+#: Bytes of text that common prefixes are counted on, at most about.
+COUNTED_BYTES = 256 << 20
 #: Distinct runs that a task remembers to merge equal ones before the shuffle.
 _MEMORY = 150_000
 
@@ -204,17 +215,20 @@ def _twins(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _suffix_rows(window: int, prefix: int, bits: int):
-    """Suffixes by group, and spans that a task already knows to be repeats."""
+def _suffix_rows(window: int, prefix: int, bits: int, common: np.ndarray):
+    """Suffixes by group, and spans that a task already knows to be repeats.
+
+    ``common``: the sorted anchors whose windows travel one by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         hasher = Hasher(window, prefix)
         seen: dict[int, tuple] = {}
 
-        def pack(anchor, doc, twin, start, n, marks, kept):
+        def pack(anchor, doc, twin, start, n, marks, kept, route):
             """One row for each group; marks are 6 bytes each."""
-            order = np.argsort(anchor[kept], kind="stable")
+            order = np.argsort(route[kept], kind="stable")
             pick = kept[order]
             out = np.empty(len(pick), dtype=_SUFFIX)
             out["anchor"], out["doc"], out["twin"], out["start"], out["n"] = anchor[pick], doc[pick], twin[pick], start[pick], n[pick]
@@ -223,7 +237,7 @@ def _suffix_rows(window: int, prefix: int, bits: int):
             ends = np.cumsum(lengths)
             place = np.repeat(begin - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
             six = np.ascontiguousarray(marks[place].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            group = (out["anchor"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(out), np.int64)
+            group = (route[pick] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(out), np.int64)
             cuts = np.flatnonzero(np.diff(group, prepend=-1))
             stops = np.concatenate([cuts[1:], [len(out)]]).astype(np.int64)
             ends = np.concatenate([[0], ends])
@@ -252,11 +266,38 @@ def _suffix_rows(window: int, prefix: int, bits: int):
                 elif key < held:  # it comes before what was sent: both go, the group decides
                     seen[p] = key
                     kept.append(i)
-            rows = pack(anchor, doc, twin, start, n, marks, np.asarray(kept, dtype=np.int64))
+            kept = np.asarray(kept, dtype=np.int64)
             late = np.concatenate(later).astype(np.int64)
-            rows += _span_rows(doc[late], twin[late], start[late], start[late].astype(np.int64) + n[late] - 1 + window)
+            spans = [(doc[late], twin[late], start[late].astype(np.int64), start[late].astype(np.int64) + n[late] - 1 + window)]
+            rows = []
+            if len(common):
+                is_common = common[np.minimum(np.searchsorted(common, anchor[kept]), len(common) - 1)] == anchor[kept]
+                if is_common.any():
+                    made, late_windows = one_by_one(anchor, doc, twin, start, n, marks, kept[is_common])
+                    rows += made
+                    spans.append(late_windows)
+                    kept = kept[~is_common]
+            rows += pack(anchor, doc, twin, start, n, marks, kept, anchor)
+            rows += _span_rows(*(np.concatenate(c) for c in zip(*spans)))
             return _as_batch(rows)
 
+        def one_by_one(anchor, doc, twin, start, n, marks, runs):
+            """Windows of runs with a common anchor: the first of equal ones goes
+            to the group of its own path, the others are repeats."""
+            size = n[runs].astype(np.int64)
+            own = np.repeat(runs, size)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            begin = np.cumsum(n.astype(np.int64)) - n
+            a, d, t, at, m = anchor[own], doc[own], twin[own], start[own].astype(np.int64) + step, marks[begin[own] + step]
+            order = np.lexsort((at, t, d, m, a))
+            a, d, t, at, m = a[order], d[order], t[order], at[order], m[order]
+            head = np.concatenate([[True], (a[1:] != a[:-1]) | (m[1:] != m[:-1])])
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            late = ~head & ((d != d[first]) | (t != t[first]) | (at != at[first]))
+            ones = np.ones(int(head.sum()), np.uint8)
+            made = pack(a[head], d[head], t[head], at[head].astype(np.uint32), ones, m[head], np.arange(len(ones)), _mix(a[head] ^ _mix(m[head])))
+            return made, (d[late], t[late], at[late], at[late] + window)
+
         for batch in batches:
             parts, size = [], 0
             for ids, data, ends in text_chunks(batch):
@@ -280,6 +321,42 @@ def _suffix_rows(window: int, prefix: int, bits: int):
     return run
 
 
+def _anchor_counts(window: int, prefix: int, share: float):
+    """Distinct runs of each anchor in a batch, if they are an eighth of what a
+    common anchor has on average there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        hasher = Hasher(window, prefix)
+        for batch in batches:
+            parts = []
+            for _, data, ends in text_chunks(batch):
+                words, upto = hasher.words(data, ends)
+                anchor, _, _, begin, finish, marks = hasher.runs(words, np.diff(upto, prepend=0))
+                if len(anchor):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(marks + np.uint64(1)))])
+                    path = _mix(anchor ^ (sums[finish] - sums[begin]))
+                    parts.append(anchor[np.unique(path, return_index=True)[1]])
+            if parts:
+                keys, times = np.unique(np.concatenate(parts), return_counts=True)
+                many = times >= share * times.sum() / 8
+                keys, times = keys[many], times[many]
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(keys.view(np.int64)), "runs": pa.array(times.astype(np.int64))})
+
+    return run
+
+
+def _common_anchors(chosen: DataFrame, window: int, prefix: int, total: int) -> np.ndarray:
+    """Sorted anchors that are common by a count on a share of the documents."""
+    share = min(1.0, COUNTED_BYTES / max(1, total))
+    some = chosen if share == 1.0 else chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    runs = max(1, total / 45)  # a run comes up every 45 bytes or so
+    part = max(COMMON_RUNS / runs, COMMON_SHARE)
+    counts = some.mapInArrow(_anchor_counts(window, prefix, part), "anchor long, runs long").groupBy("anchor").agg(F.sum("runs").alias("runs"))
+    found = counts.where(F.col("runs") >= part * runs * share * 0.875).select("anchor").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"group": pa.int32(), "suffixes": pa.binary(), "marks": pa.binary(), "doc": pa.int64(), "twin": pa.int64(), "spans": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())] if rows else [pa.array([], t) for t in kinds.values()], names=list(kinds))
@@ -384,7 +461,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col
     # takes about 80 bytes: roughly twice the text's bytes at most.
     bits = max(0, int(np.ceil(np.log2(max(1, total) * 2 / GROUP_BYTES))))
     # Spans that a task knows already travel along, spread by document.
-    sent = chosen.mapInArrow(_suffix_rows(window, prefix, min(bits, 30)), _OUT)
+    common = _common_anchors(chosen, window, prefix, total)
+    sent = chosen.mapInArrow(_suffix_rows(window, prefix, min(bits, 30), common), _OUT)
     n = shuffle_partitions(spark)
     dealt = sent.repartitionById(n, F.pmod(F.coalesce("group", F.hash("doc")), F.lit(n))).sortWithinPartitions("group")
     return materialize(dealt.mapInArrow(_subtrees(window), "doc long, twin long, spans binary"), "spans")[0]

@@ -50,6 +50,10 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_MEMORY", 50)
     check(spark, corpus(2), prefix=3)
     check(spark, corpus(3), window=7, prefix=7)
+    monkeypatch.setattr(repeats, "COMMON_RUNS", 3)
+    check(spark, corpus(4), prefix=2)
+    monkeypatch.setattr(repeats, "COUNTED_BYTES", 1 << 15)
+    check(spark, corpus(5))
 
 
 def test_spans_name_the_removed_words(spark):
