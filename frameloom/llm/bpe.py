@@ -36,38 +36,51 @@ class _Unsafe(Exception):
 
 
 class _Cache(dict):
-    """Ids of pieces, each after a space.  What a full generation holds is
-    looked up once more before it goes."""
+    """Ids of pieces, each after ``before``: a space or nothing.  What a full
+    generation holds is looked up once more before it goes."""
 
-    def __init__(self, encode, encode_letters):
+    def __init__(self, before: str, limit: int, encode, encode_letters):
         super().__init__()
-        self._encode, self._letters, self._old, self._tails = encode, encode_letters, {}, {}
+        self._before, self._limit, self._encode, self._letters = before, limit, encode, encode_letters
+        self._old: dict[str, bytes] = {}
+        self._tails: dict[str, bytes] = {}
+        self.bare = self
+        self._line = encode("\n")
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._old.get(piece)
         if ids is None:
             if piece.isalpha() and (piece.isascii() or max(piece) < _OLD_LETTERS):
-                ids = self._letters(piece)
+                ids = self._letters(self._before, piece)
             elif not piece or piece[0].isspace() or piece[-1].isspace():
                 raise _Unsafe
             else:
-                core = piece.rstrip(_MARKS)
-                if len(core) < len(piece) and core.isalpha() and max(core) < _OLD_LETTERS:
-                    ids = self[core] + self._tail(piece[len(core) :])
-                else:
-                    ids = self._encode(" " + piece)
+                ids = self._mixed(piece)
         if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self._limit:
                 self._old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def _mixed(self, piece: str) -> bytes:
+        if "\n" in piece:
+            # A line end between two others is a pre-token of its own.
+            first, *rest = piece.split("\n")
+            try:
+                return self[first] + b"".join([self._line + self.bare[x] for x in rest])
+            except _Unsafe:
+                return self._encode(self._before + piece)
+        core = piece.rstrip(_MARKS)
+        if len(core) < len(piece) and core.isalpha() and max(core) < _OLD_LETTERS:
+            return self[core] + self._tail(piece[len(core) :])
+        return self._encode(self._before + piece)
+
     def _tail(self, marks: str) -> bytes:
         ids = self._tails.get(marks)
         if ids is None:
             ids = self._encode(marks)
-            if len(marks) <= 4 and len(self._tails) < CACHE_PIECES // 8:
+            if len(marks) <= 4 and len(self._tails) < 10_000:
                 self._tails[marks] = ids
         return ids
 
@@ -92,16 +105,20 @@ class ByteBpe:
         alphabet = _byte_alphabet()
         self._space = alphabet[32]
         self._table = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(128, ord(_OLD_LETTERS))}
-        self._cache = _Cache(self._direct, self._letters(self._tokenizer.model))
+        letters = self._letters(self._tokenizer.model)
+        self._cache, self._bare = (_Cache(before, limit, self._direct, letters) for before, limit in ((" ", CACHE_PIECES), ("", CACHE_PIECES // 8)))
+        self._cache.bare = self._bare
 
     def _direct(self, text: str) -> bytes:
         return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, model):
-        def encode(word: str) -> bytes:
+        space = self._space
+
+        def encode(before: str, word: str) -> bytes:
             if not word.isascii():
                 word = word.translate(self._table)
-            return array(self._code, [t.id for t in model.tokenize(self._space + word)]).tobytes()
+            return array(self._code, [t.id for t in model.tokenize(space + word if before else word)]).tobytes()
 
         return encode
 
@@ -111,7 +128,7 @@ class ByteBpe:
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
             try:
-                return self._direct(first) + b"".join(map(self._cache.__getitem__, rest))
+                return self._bare[first] + b"".join(map(self._cache.__getitem__, rest))
             except _Unsafe:
                 pass
         head, *tail = _SAFE_CUT.split(text)

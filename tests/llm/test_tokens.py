@@ -14,7 +14,7 @@ from frameloom.llm.token_files import read_token_files, write_token_files
 TEXTS = [
     "The cat sat.  Two  spaces\n\n and lines \t tabs",
     "", None, " ", " lead", "trail ", "a b   c", "x <|endoftext|> y<|endoftext|>", "naïve über façade 你好 世界 don't we'll",
-    "word " * 3000, "z" * 20000, "a\x1c b \x1d c", "\n a", "a \n", "x été École. naïve! ŝtel, Ħ ʼa ªb µm don't. 'tis a.b c... d\U0001f600. \x00. \x00.. it's' ƀɏ ɐ ꟊ.", "12 34 !! ?? 'tis",
+    "word " * 3000, "z" * 20000, "a\x1c b \x1d c", "\n a", "a \n", "x été École. naïve! ŝtel, Ħ ʼa ªb µm don't. 'tis a.b c... d\U0001f600. \x00. \x00.. it's' ƀɏ ɐ ꟊ.", "a.\nB c!\n\nD e\nf.\n\tg \nh i\n", "x\n<|endoftext|>\ny\nz", "12 34 !! ?? 'tis",
 ]
 
 
