@@ -313,7 +313,7 @@ _SPREAD = "member long, kind int, at long, code binary, cut float, fresh int"
 _MEMBER = "at long, member long, code binary, cut float, fresh int"
 
 
-def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 6, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
+def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
     """The neighbour graph of all vectors that take part.
 
     ``keep``: ids kept of equal vectors, the smallest; a search for ``keep - 1``
@@ -547,7 +547,7 @@ def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
 
 
-def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 320, expand: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 512, expand: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: up to ``k`` nearest found.
 
     The row of the index with a query's own id is no result.  Ties go to smaller
