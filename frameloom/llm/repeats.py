@@ -10,8 +10,8 @@ occurrences.  The tree is never built as a whole:
   every repeat; neighbouring windows mostly share an anchor, so an anchor's
   suffix carries a run of windows: all those whose path passes through it.
 * Prefix partitions.  An anchor's hash is the path of its ``prefix`` words.
-  Leading bits of it, as many as make the groups fit in memory for this input,
-  name the group; one group's subtrees are handled at a time.
+  Leading bits of it, mixed once more and as many as make the groups fit in memory
+  for this input, name the group; one group's subtrees are handled at a time.
 * Subtrees.  In a group the suffixes of one anchor and the windows along them
   are told apart by path fingerprints; a node of depth ``window`` with two or
   more leaves is a repeat.  Its first leaf stays, all other leaves' windows are
@@ -277,7 +277,8 @@ def _suffix_rows(window: int, prefix: int, bits: int, common: np.ndarray):
                     rows += made
                     spans.append(late_windows)
                     kept = kept[~is_common]
-            rows += pack(anchor, doc, twin, start, n, marks, kept, anchor)
+            # Anchors are small hashes, being minima: mixed again they fill all groups.
+            rows += pack(anchor, doc, twin, start, n, marks, kept, _mix(anchor))
             rows += _span_rows(*(np.concatenate(c) for c in zip(*spans)))
             return _as_batch(rows)
 
