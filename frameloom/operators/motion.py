@@ -22,7 +22,7 @@ def downsample(plane: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     return cells.selectExpr(*by, "f", "cy AS y", "cx AS x", "CAST(s DIV 4 AS INT) AS v")
 
 
-def _distances(plane: DataFrame, pairs: DataFrame, starts: DataFrame, block: int, height: int, width: int, by: tuple[str, ...], half: bool) -> DataFrame:
+def _distances(plane: DataFrame, starts: DataFrame, block: int, by: tuple[str, ...], half: bool) -> DataFrame:
     """``f, nf, gy, gx, dy, dx, sad`` of candidate displacements of blocks.
 
     ``starts``: ``f, nf, gy, gx, dy, dx``.  Pixels of a block are joined with the
@@ -54,20 +54,20 @@ def _best(costs: DataFrame, by: tuple[str, ...], order: str) -> DataFrame:
     return costs.groupBy(*by, "f", "nf", "gy", "gx").agg(F.expr(f"min_by(struct(dy, dx, sad), struct(sad, {order}))").alias("b")).select(*by, "f", "nf", "gy", "gx", "b.dy", "b.dx", "b.sad")
 
 
-def _square(radius: int, scale: str = "") -> str:
+def _square(radius: int) -> str:
     return f"transform(sequence(0, {(2 * radius + 1) ** 2 - 1}), i -> struct(CAST(i DIV {2 * radius + 1} - {radius} AS INT) AS oy, CAST(i % {2 * radius + 1} - {radius} AS INT) AS ox))"
 
 
-def search(plane: DataFrame, starts: DataFrame, block: int, radius: int, height: int, width: int, *, by: tuple[str, ...] = ()) -> DataFrame:
+def search(plane: DataFrame, starts: DataFrame, block: int, radius: int, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Full search around each start; ``starts``: ``f, nf, gy, gx, dy, dx``."""
     candidates = starts.withColumn("o", F.explode(F.expr(_square(radius)))).selectExpr(*by, "f", "nf", "gy", "gx", "dy + o.oy AS dy", "dx + o.ox AS dx")
-    return _best(_distances(plane, None, candidates, block, height, width, by, False), by, "dy, dx")
+    return _best(_distances(plane, candidates, block, by, False), by, "dy, dx")
 
 
-def refine_half(plane: DataFrame, found: DataFrame, block: int, height: int, width: int, *, by: tuple[str, ...] = ()) -> DataFrame:
+def refine_half(plane: DataFrame, found: DataFrame, block: int, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Nine candidates half a pixel apart; the start wins ties.  Result in halves."""
     candidates = found.withColumn("o", F.explode(F.expr(_square(1)))).selectExpr(*by, "f", "nf", "gy", "gx", "dy * 2 + o.oy AS dy", "dx * 2 + o.ox AS dx", "abs(o.oy) + abs(o.ox) > 0 AS moved")
-    costs = _distances(plane, None, candidates.drop("moved"), block, height, width, by, True)
+    costs = _distances(plane, candidates.drop("moved"), block, by, True)
     costs = costs.join(candidates, [*by, "f", "nf", "gy", "gx", "dy", "dx"])
     return _best(costs, by, "moved, dy, dx")
 
@@ -80,11 +80,11 @@ def estimate(plane: DataFrame, pairs: DataFrame, block: int, height: int, width:
     b1, b2 = max(2, block // 2), max(2, block // 4)
     grid = F.explode(F.expr(f"transform(sequence(0, {(height // block) * (width // block) - 1}), i -> struct(CAST(i DIV {width // block} AS INT) AS gy, CAST(i % {width // block} AS INT) AS gx))"))
     found = pairs.withColumn("g", grid).selectExpr(*by, "f", "nf", "g.gy", "g.gx", "0 AS dy", "0 AS dx")
-    for level, size, radius, h, w in ((quarter, b2, 8, height // 4, width // 4), (half_plane, b1, 4, height // 2, width // 2), (plane, block, 2, height, width)):
-        found = search(level, found.selectExpr(*by, "f", "nf", "gy", "gx", "dy", "dx"), size, radius, h, w, by=by)
+    for level, size, radius in ((quarter, b2, 8), (half_plane, b1, 4), (plane, block, 2)):
+        found = search(level, found.selectExpr(*by, "f", "nf", "gy", "gx", "dy", "dx"), size, radius, by=by)
         if level is not plane:
             found = found.selectExpr(*by, "f", "nf", "gy", "gx", "dy * 2 AS dy", "dx * 2 AS dx")
-    return refine_half(plane, found, block, height, width, by=by)
+    return refine_half(plane, found, block, by=by)
 
 
 def motion_stats(vectors: DataFrame, scale: float = 0.5, *, by: tuple[str, ...] = ()) -> DataFrame:

@@ -62,7 +62,7 @@ def bayes_shrink(bands: DataFrame, keys: list[str], noise: float, *, strength: f
 KERNEL = {0: 1.0, 1: 0.6065, 2: 0.3679, 4: 0.1353, 5: 0.0821, 8: 0.0183}
 
 
-def green_bilateral(plane: DataFrame, sigma: float, height: int, width: int, *, by: tuple[str, ...] = ()) -> DataFrame:
+def green_bilateral(plane: DataFrame, sigma: float, *, by: tuple[str, ...] = ()) -> DataFrame:
     """5 x 5 bilateral filter of a green plane, its range kernel in 1023 steps of
     the exponent up to 10."""
     keys = [*by, "f"]

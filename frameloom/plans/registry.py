@@ -362,9 +362,9 @@ _BLOCKS = f"""{_GREEN}, o AS (SELECT a.v AS dy, b.v AS dx FROM (SELECT unnest(ra
     c AS (SELECT a.f, a.f - 1 AS nf, a.y // 4 AS gy, a.x // 4 AS gx, dy, dx, CAST(sum(CASE WHEN b.v IS NULL THEN 32768 ELSE abs(a.v - b.v) END) AS BIGINT) AS sad FROM g a CROSS JOIN o LEFT JOIN g b ON b.f = a.f - 1 AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.f > 0 GROUP BY ALL),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, gy, gx ORDER BY sad, dy, dx) AS rn FROM c) WHERE rn = 1)"""
 query("block_sad", f"WITH {PX}, {_BLOCKS} SELECT f, nf, gy, gx, sad FROM c WHERE dy = 0 AND dx = 0")(
-    lambda s, d: mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 0, 8, 8).select("f", "nf", "gy", "gx", "sad")
+    lambda s, d: mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 0).select("f", "nf", "gy", "gx", "sad")
 )
-query("block_match_int", f"WITH {PX}, {_BLOCKS} SELECT f, nf, gy, gx, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, sad FROM best")(lambda s, d: mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 2, 8, 8))
+query("block_match_int", f"WITH {PX}, {_BLOCKS} SELECT f, nf, gy, gx, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, sad FROM best")(lambda s, d: mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 2))
 query(
     "block_match_halfpel",
     f"""WITH {PX}, {_BLOCKS}, h AS (SELECT b.f, b.gy, b.gx, b.dy * 2 + p.v AS dy, b.dx * 2 + q.v AS dx, (p.v <> 0 OR q.v <> 0) AS moved FROM best b, (SELECT unnest([-1, 0, 1]) AS v) p, (SELECT unnest([-1, 0, 1]) AS v) q),
@@ -372,13 +372,13 @@ query(
     m AS (SELECT k.*, e.v AS e, r.v AS r, d.v AS d, z.v AS z FROM k LEFT JOIN g e ON e.f = k.f - 1 AND e.y = ny AND e.x = nx LEFT JOIN g r ON r.f = k.f - 1 AND r.y = ny AND r.x = nx + 1 LEFT JOIN g d ON d.f = k.f - 1 AND d.y = ny + 1 AND d.x = nx LEFT JOIN g z ON z.f = k.f - 1 AND z.y = ny + 1 AND z.x = nx + 1),
     t AS (SELECT f, gy, gx, dy, dx, moved, CAST(sum(CASE WHEN fy = 0 AND fx = 0 THEN coalesce(abs(v - e), 32768) WHEN fy = 0 THEN coalesce(abs(v - (e + r + 1) // 2), 32768) WHEN fx = 0 THEN coalesce(abs(v - (e + d + 1) // 2), 32768) ELSE coalesce(abs(v - (e + r + d + z + 2) // 4), 32768) END) AS BIGINT) AS sad FROM m GROUP BY f, gy, gx, dy, dx, moved)
     SELECT f, f - 1 AS nf, gy, gx, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, sad FROM (SELECT *, row_number() OVER (PARTITION BY f, gy, gx ORDER BY sad, moved, dy, dx) AS rn FROM t) WHERE rn = 1""",
-)(lambda s, d: (lambda g: mo.refine_half(g, mo.search(g, _starts(s, d, 2), 4, 2, 8, 8), 4, 8, 8))(mo.green_plane(ad.pixels(s, d))))
+)(lambda s, d: (lambda g: mo.refine_half(g, mo.search(g, _starts(s, d, 2), 4, 2), 4))(mo.green_plane(ad.pixels(s, d))))
 query("motion_estimate")(lambda s, d: mo.estimate(mo.green_plane(ad.pixels(s, d, 32)), s.range(1, max(1, ad.frame_count(s, d, 32))).selectExpr("CAST(id AS INT) AS f", "CAST(id - 1 AS INT) AS nf"), 8, 16, 16))
 query("motion_stats", f"WITH {PX}, {_BLOCKS}, p AS (SELECT f, avg(sqrt(dx * dx + dy * dy)) AS m FROM best GROUP BY f) SELECT count(*) AS pairs, round(list_sort(list(m))[count(*) // 2 + 1], 6) AS median, round(max(m), 6) AS largest FROM p")(
-    lambda s, d: rounded(mo.motion_stats(mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 2, 8, 8), 1.0), ["median", "largest"])
+    lambda s, d: rounded(mo.motion_stats(mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 2), 1.0), ["median", "largest"])
 )
 query("center_weight", f"WITH {PX}, {_BLOCKS}, p AS (SELECT f, nf, avg(sqrt(dx * dx + dy * dy)) AS m FROM best WHERE (gy * 2 + gx) % 16 = 0 AND sqrt(dx * dx + dy * dy) < 20 GROUP BY f, nf) SELECT f, round(0.3 + 0.3 * least(1, avg(m) / 3), 6) AS weight FROM p GROUP BY f")(
-    lambda s, d: rounded(mo.centre_weight(mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 2, 8, 8).selectExpr("f", "nf", "gy * 2 + gx AS cell", "sqrt(dx * dx + dy * dy) AS mag")), ["weight"])
+    lambda s, d: rounded(mo.centre_weight(mo.search(mo.green_plane(ad.pixels(s, d)), _starts(s, d, 2), 4, 2).selectExpr("f", "nf", "gy * 2 + gx AS cell", "sqrt(dx * dx + dy * dy) AS mag")), ["weight"])
 )
 
 # Spatial and transforms ------------------------------------------------------------------------
@@ -400,7 +400,7 @@ query(
     f"""WITH {PX}, {_GREEN}, k AS (SELECT a.v AS oy, b.v AS ox, CASE a.v * a.v + b.v * b.v WHEN 0 THEN 1.0 WHEN 1 THEN 0.6065 WHEN 2 THEN 0.3679 WHEN 4 THEN 0.1353 WHEN 5 THEN 0.0821 ELSE 0.0183 END::DOUBLE AS k FROM (SELECT unnest(range(-2, 3)) AS v) a, (SELECT unnest(range(-2, 3)) AS v) b),
     p AS (SELECT c.f, c.y, c.x, s.v AS s, k, (s.v - c.v)::DOUBLE * (s.v - c.v) / (4 * 616.0::DOUBLE * 616) AS arg FROM g c, k, g s WHERE s.f = c.f AND s.y = c.y - oy AND s.x = c.x - ox),
     w AS (SELECT *, k * CASE WHEN arg < 10 THEN exp(-floor(arg * 102.3) / 102.3) ELSE 0 END AS w FROM p) SELECT f, y, x, {px_of('(sum(w * s) / sum(w))')} AS v FROM w GROUP BY f, y, x""",
-)(lambda s, d: sp.green_bilateral(mo.green_plane(ad.pixels(s, d)), ad.SIGMA, 8, 8))
+)(lambda s, d: sp.green_bilateral(mo.green_plane(ad.pixels(s, d)), ad.SIGMA))
 query(
     "unsharp",
     f"""WITH {PX}, {_AROUND}, a AS (SELECT c.f, c.y, c.x, c.v, CAST(sum(b.v) // 8 AS INT) AS m FROM px c, o, px b WHERE (oy <> 0 OR ox <> 0) AND c.y BETWEEN 2 AND 13 AND c.x BETWEEN 2 AND 13 AND b.f = c.f AND b.y = c.y + oy AND b.x = c.x + ox GROUP BY c.f, c.y, c.x, c.v)

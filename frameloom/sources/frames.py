@@ -90,8 +90,6 @@ def write_frames(frames: DataFrame, out_dir: str, kind: str) -> int:
     ``out_dir`` is a URI that all executors share.  A file gets its name when it
     is whole, so a task that runs again does no harm.
     """
-    if kind == "exr":
-        frames = frames.select("clip_id", "f", "width", "height", "data")
     encode = ENCODERS.get(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,16 +100,16 @@ def test_block_matching_finds_a_shift(spark):
     a = np.stack([base[4:36, 4:36], base[5:37, 2:34]])
     plane = clip_of(spark, a)
     starts = spark.createDataFrame([(1, 0, gy, gx, 0, 0) for gy in (1, 2) for gx in (1, 2)], "f int, nf int, gy int, gx int, dy int, dx int")
-    found = mo.search(plane, starts, 8, 3, 32, 32)
+    found = mo.search(plane, starts, 8, 3)
     assert {(r.dy, r.dx, r.sad) for r in found.collect()} == {(1, -2, 0)}
-    assert {(r.dy, r.dx) for r in mo.refine_half(plane, found, 8, 32, 32).collect()} == {(2, -4)}
+    assert {(r.dy, r.dx) for r in mo.refine_half(plane, found, 8).collect()} == {(2, -4)}
     pairs = spark.createDataFrame([(1, 0)], "f int, nf int")
     whole = {(r.gy, r.gx): (r.dy, r.dx) for r in mo.estimate(plane, pairs, 16, 32, 32).collect()}
     assert len(whole) == 4
 
 
 def test_ties_go_to_the_first_displacement(spark):
-    found = mo.search(clip_of(spark, np.full((2, 8, 8), 7)), spark.createDataFrame([(1, 0, 0, 0, 0, 0)], "f int, nf int, gy int, gx int, dy int, dx int"), 4, 1, 8, 8).first()
+    found = mo.search(clip_of(spark, np.full((2, 8, 8), 7)), spark.createDataFrame([(1, 0, 0, 0, 0, 0)], "f int, nf int, gy int, gx int, dy int, dx int"), 4, 1).first()
     assert (found.dy, found.dx, found.sad) == (0, 0, 0)
 
 
