@@ -34,7 +34,7 @@ from .common import materialize, release, shuffle_partitions
 #: Vectors that the trees are fitted on, at most, by smallest hash of the id.
 FIT_VECTORS = 16_384
 #: Nodes of a bucket of the trees, and of a block that answers searches, about.
-BUCKET, BLOCK = 160, 2048
+BUCKET, BLOCK = 160, 10_000
 #: Nodes or queries of a partition, about: as few as the first where there are
 #: few in all, and as many as the second where shuffle partitions don't suffice.
 SMALL, LARGE = 2048, 50_000
