@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from frameloom.llm import queries as _queries
 from frameloom.llm.common import materialize, read_table
 from frameloom.llm.decontaminate import keep_clean
+from frameloom.llm.near_copies import keep_one_of_each
 from frameloom.llm.packing import pack
 from frameloom.llm.quality import keep_quality
 from frameloom.llm.repeats import cut_repeats
-from frameloom.llm.simhash import keep_one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    return keep_one_of_each(docs, radius=3, shingle=3, seed=42)
+    """Of each group of near copies, by five-word shingles with a Jaccard
+    similarity of 0.8 or more, the document with the smallest id stays."""
+    return keep_one_of_each(docs, threshold=0.8, shingle=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

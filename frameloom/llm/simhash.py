@@ -35,21 +35,32 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def fingerprint(raw: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """A bit is set if it is set in over half of the shingles' XXH64 values."""
+def _hashes(raw: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, or of all words if they are fewer."""
     import xxhash
 
     words = words_of(raw or b"")
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text = b" ".join(words)
     hash64 = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.asarray([hash64(text, seed)], dtype=np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist()
-        starts, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(text)]
-        hashes = np.fromiter((hash64(text[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+        return np.asarray([hash64(text, seed)], dtype=np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist()
+    starts, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(text)]
+    return np.fromiter((hash64(text[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+
+
+def shingle_hashes(raw: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The set of a text's shingles, sorted."""
+    return np.unique(_hashes(raw, shingle, seed))
+
+
+def fingerprint(raw: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """A bit is set if it is set in over half of the shingles' XXH64 values."""
+    hashes = _hashes(raw, shingle, seed)
+    if not len(hashes):
+        return 0
     n = len(hashes)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     whole = n // 255 * 255  # sums of 255 bits fit a byte
