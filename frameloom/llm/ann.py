@@ -158,7 +158,7 @@ class _Tree:
 
 # NN-descent ----------------------------------------------------------------------
 
-_LIST = "node long, ids binary, sims binary, fresh binary, code binary"
+_LIST = "node long, ids binary, sims binary, fresh binary, point binary"
 
 
 def _merge(k: int):
@@ -183,8 +183,8 @@ def _merge(k: int):
             counts = np.searchsorted(node, keys, side="right") - np.searchsorted(node, keys, side="left")
             known = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False))
             own = known[np.searchsorted(rows[known], keys)] if len(known) else None
-            code = batch.column(4).take(pa.array(own)) if own is not None else pa.nulls(len(keys), pa.binary())
-            yield _frame(node=pa.array(keys), ids=_lists(ids, counts), sims=_lists(sims, counts), fresh=_lists(fresh, counts), code=code)
+            point = batch.column(4).take(pa.array(own)) if own is not None else pa.nulls(len(keys), pa.binary())
+            yield _frame(node=pa.array(keys), ids=_lists(ids, counts), sims=_lists(sims, counts), fresh=_lists(fresh, counts), point=point)
 
     return run
 
@@ -205,17 +205,17 @@ def _bucket_lists(dims: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
             bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            code = _flat(batch.column(2), np.int8)[0].reshape(-1, dims).astype(np.float32)
+            point = _flat(batch.column(2), "<f4")[0].reshape(-1, dims)
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 for a in range(lo, hi, 2 * BUCKET):  # a first guess needs no larger squares
                     b = min(hi, a + 2 * BUCKET)
-                    own, x = ids[a:b], code[a:b]
+                    own, x = ids[a:b], point[a:b]
                     sims = x @ x.T
                     other, value = _best_pairs(own, sims, ~np.eye(b - a, dtype=bool), k)
                     good = np.isfinite(value)
                     counts = good.sum(axis=1)
-                    yield _frame(node=pa.array(own), ids=_lists(other[good].astype("<i8"), counts), sims=_lists(value[good].astype("<f4"), counts), fresh=_lists(np.ones(int(counts.sum()), np.uint8), counts), code=batch.column(2).slice(a, b - a))
+                    yield _frame(node=pa.array(own), ids=_lists(other[good].astype("<i8"), counts), sims=_lists(value[good].astype("<f4"), counts), fresh=_lists(np.ones(int(counts.sum()), np.uint8), counts), point=batch.column(2).slice(a, b - a))
 
     return run
 
@@ -230,7 +230,7 @@ def _local_join(dims: int, k: int, most: int, block: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
             at, ids, cut, fresh = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-            code = _flat(batch.column(2), np.int8)[0].reshape(-1, dims)
+            point = _flat(batch.column(2), "<f4")[0].reshape(-1, dims)
             # A member that is listed both ways counts once.
             order = np.lexsort((-fresh, ids, at))
             single = order[np.concatenate([[True], (at[order][1:] != at[order][:-1]) | (ids[order][1:] != ids[order][:-1])])]
@@ -245,7 +245,7 @@ def _local_join(dims: int, k: int, most: int, block: int = 256):
                 shape = (min(block, len(keys) - lo), 2 * k)
                 member, new, worst = np.full(shape, -1, np.int64), np.zeros(shape, bool), np.full(shape, np.inf, np.float32)
                 x = np.zeros((*shape, dims), np.float32)
-                member[r, p], new[r, p], worst[r, p], x[r, p] = ids[s], fresh[s] > 0, cut[s], code[s]
+                member[r, p], new[r, p], worst[r, p], x[r, p] = ids[s], fresh[s] > 0, cut[s], point[s]
                 sims = x @ x.transpose(0, 2, 1)
                 ok = (member >= 0)[:, None, :] & (new[:, :, None] | new[:, None, :]) & (sims > worst[:, :, None]) & ~np.eye(2 * k, dtype=bool)
                 other, value = _best_pairs(member, sims, ok, most)
@@ -256,7 +256,7 @@ def _local_join(dims: int, k: int, most: int, block: int = 256):
                 other, value = other[good], value[good]
                 order = np.argsort(told, kind="stable")
                 nodes, counts = np.unique(told, return_counts=True)
-                yield _frame(node=pa.array(nodes), ids=_lists(other[order].astype("<i8"), counts), sims=_lists(value[order].astype("<f4"), counts), fresh=_lists(np.ones(len(told), np.uint8), counts), code=pa.nulls(len(nodes), pa.binary()))
+                yield _frame(node=pa.array(nodes), ids=_lists(other[order].astype("<i8"), counts), sims=_lists(value[order].astype("<f4"), counts), fresh=_lists(np.ones(len(told), np.uint8), counts), point=pa.nulls(len(nodes), pa.binary()))
 
     return run
 
@@ -277,8 +277,8 @@ def _back(k: int):
             ids, counts = _flat(batch.column(1), "<i8")
             sims, _ = _flat(batch.column(2), "<f4")
             fresh, _ = _flat(batch.column(3), "u1")
-            code = batch.column(4).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield _frame(at=pa.array(ids), member=pa.array(np.repeat(batch.column(0).to_numpy(), counts)), code=code, cut=pa.array(np.repeat(_worst(sims, counts, k), counts)), fresh=pa.array(fresh.astype(np.int32)))
+            point = batch.column(4).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield _frame(at=pa.array(ids), member=pa.array(np.repeat(batch.column(0).to_numpy(), counts)), point=point, cut=pa.array(np.repeat(_worst(sims, counts, k), counts)), fresh=pa.array(fresh.astype(np.int32)))
 
     return run
 
@@ -293,8 +293,8 @@ def _ahead(k: int):
             sims, _ = _flat(batch.column(2), "<f4")
             fresh, _ = _flat(batch.column(3), "u1")
             n, e = len(node), len(ids)
-            yield _frame(member=node, kind=pa.array(np.zeros(n, np.int32)), at=pa.nulls(n, pa.int64()), code=batch.column(4), cut=pa.array(_worst(sims, counts, k)), fresh=pa.array(np.zeros(n, np.int32)))
-            yield _frame(member=pa.array(ids), kind=pa.array(np.ones(e, np.int32)), at=pa.array(np.repeat(node.to_numpy(), counts)), code=pa.nulls(e, pa.binary()), cut=pa.array(np.zeros(e, np.float32)), fresh=pa.array(fresh.astype(np.int32)))
+            yield _frame(member=node, kind=pa.array(np.zeros(n, np.int32)), at=pa.nulls(n, pa.int64()), point=batch.column(4), cut=pa.array(_worst(sims, counts, k)), fresh=pa.array(np.zeros(n, np.int32)))
+            yield _frame(member=pa.array(ids), kind=pa.array(np.ones(e, np.int32)), at=pa.array(np.repeat(node.to_numpy(), counts)), point=pa.nulls(e, pa.binary()), cut=pa.array(np.zeros(e, np.float32)), fresh=pa.array(fresh.astype(np.int32)))
 
     return run
 
@@ -306,11 +306,11 @@ def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), 0))
         edge = np.flatnonzero(kind)
         pick = pa.array(own[edge])
-        yield _frame(at=batch.column(2).take(pa.array(edge)), member=batch.column(0).take(pa.array(edge)), code=batch.column(3).take(pick), cut=batch.column(4).take(pick), fresh=batch.column(5).take(pa.array(edge)))
+        yield _frame(at=batch.column(2).take(pa.array(edge)), member=batch.column(0).take(pa.array(edge)), point=batch.column(3).take(pick), cut=batch.column(4).take(pick), fresh=batch.column(5).take(pa.array(edge)))
 
 
-_SPREAD = "member long, kind int, at long, code binary, cut float, fresh int"
-_MEMBER = "at long, member long, code binary, cut float, fresh int"
+_SPREAD = "member long, kind int, at long, point binary, cut float, fresh int"
+_MEMBER = "at long, member long, point binary, cut float, fresh int"
 
 
 def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
@@ -341,11 +341,6 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int
         x = flat.reshape(-1, dims).astype(np.float64) / largest
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))[:, None]], axis=1).astype(np.float32)
 
-    def code(x: np.ndarray) -> np.ndarray:
-        """Components in 127ths of a vector's largest would lose the norms, so
-        all vectors share one step."""
-        return np.clip(np.rint(x * 254), -127, 127).astype(np.int8)
-
     wide = dims + 1
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(FIT_VECTORS).select("vec").toArrow() if n else None
     depth = max(0, int(np.ceil(np.log2(max(1, n) / BUCKET))))
@@ -359,9 +354,9 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int
             for t, tree in enumerate(forest):
                 chunk = (ids * (2 * t + 3) % 1_000_003) % chunks
                 bucket = (tree.leaf(x) * chunks + chunk) * len(forest) + t
-                yield _frame(bucket=pa.array(bucket), node=pa.array(ids), code=_lists(code(x).ravel(), np.full(len(ids), wide)))
+                yield _frame(bucket=pa.array(bucket), node=pa.array(ids), point=_lists(x.ravel(), np.full(len(ids), wide)))
 
-    dealt = nodes.mapInArrow(deal, "bucket long, node long, code binary")
+    dealt = nodes.mapInArrow(deal, "bucket long, node long, point binary")
     lists = _deal(dealt, parts, "bucket").mapInArrow(_bucket_lists(wide, k), _LIST)
     graph, graph_path = materialize(_deal(lists, parts, "node").mapInArrow(_merge(k), _LIST), "graph")
     for _ in range(rounds if n > 1 else 0):
@@ -389,7 +384,7 @@ def _reversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = np.repeat(batch.column(0).to_numpy(), counts)
         order = np.argsort(ids, kind="stable")
         keys, counts = np.unique(ids, return_counts=True)
-        yield _frame(node=pa.array(keys), ids=_lists(node[order], counts), sims=_lists(sims[order], counts), fresh=_lists(np.zeros(len(ids), np.uint8), counts), code=pa.nulls(len(keys), pa.binary()))
+        yield _frame(node=pa.array(keys), ids=_lists(node[order], counts), sims=_lists(sims[order], counts), fresh=_lists(np.zeros(len(ids), np.uint8), counts), point=pa.nulls(len(keys), pa.binary()))
 
 
 # Search --------------------------------------------------------------------------

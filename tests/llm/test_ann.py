@@ -68,3 +68,16 @@ def test_nulls_and_small_tables(spark):
     one = df.where("vec_id = 0")
     assert search(build(one), one).count() == 0
     assert collect(search(build(one), df.where("vec_id = 3"))) == {3: [(1, 0, 0.0)]}
+
+
+def test_lists_beside_a_vector_of_large_norm(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(150, 16)) * (1 + rng.pareto(3, size=(150, 1)))  # one bucket: first lists are exact
+    vectors[7] *= 300 * np.median(np.linalg.norm(vectors, axis=1)) / np.linalg.norm(vectors[7])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    near = {r.node: set(np.frombuffer(r.near, "<i8").tolist()) for r in build(df, rounds=0).nodes.collect()}
+    x = vectors / np.linalg.norm(vectors, axis=1).max()
+    x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))[:, None]], axis=1)
+    sims = x @ x.T - 9 * np.eye(len(x))
+    hits = [len(near[i] & set(np.argsort(-sims[i])[:20].tolist())) for i in range(len(x))]
+    assert np.mean(hits) / 20 >= 0.9
