@@ -136,14 +136,16 @@ def _compare_buckets(radius: int):
             a, b, m = [], [], []
             edges = split(mask, fp, last)
             sizes = np.diff(edges)
-            pairs = np.flatnonzero(sizes == 2)
+            heads = edges[:-1]
+            again = np.zeros(len(heads), bool) if over is None else (mask[heads] == np.uint64(over[0])) & ((mask & fp)[heads] == np.uint64(over[1]))
+            pairs = np.flatnonzero((sizes == 2) & ~again)
             near = edges[pairs]
             ok = np.bitwise_count(fp[near] ^ fp[near + 1]) <= radius
             a.append(fp[near[ok]]), b.append(fp[near[ok] + 1]), m.append(np.zeros(int(ok.sum()), np.uint64))
-            for g in np.flatnonzero((sizes > 2) | (sizes < 2) * (over is not None)):
+            for g in np.flatnonzero((sizes > 2) | again):
                 lo, hi = int(edges[g]), int(edges[g + 1])
                 group = np.unique(fp[lo:hi])
-                if over == (int(mask[lo]), int(mask[lo] & fp[lo])) or len(group) > BUCKET:
+                if again[g] or len(group) > BUCKET:
                     a.append(group), b.append(group), m.append(np.full(len(group), mask[lo]))
                 elif len(group) > 1:
                     found = np.asarray(_spanning_links(group, radius), dtype=np.uint64).reshape(-1, 2)

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from frameloom.llm import simhash
@@ -96,3 +98,14 @@ def test_components_of_a_long_path_and_a_star(spark):
 def test_fingerprint_counts_repeats():
     for text in ("a a a a a", "a b a b a b c", "x" * 100_000, "q " * 1000):
         assert fingerprint(text.encode()) == plain(text)
+
+
+@pytest.mark.parametrize("rest", [0, 1, 2, 3])
+def test_the_rest_of_an_overflowed_bucket_goes_on(monkeypatch, rest):
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    fps = [(i << 8) | 5 for i in range(20 + rest)]  # one bucket: equal under the mask
+    pair = [(1 << 40) | 6, (1 << 41) | 6]  # and another one behind it
+    batches = [pa.RecordBatch.from_pydict({"mask": [255] * len(x), "fp": x}) for x in (fps[:20], fps[20:] + pair)]
+    out = [r for made in simhash._compare_buckets(3)(iter(batches)) for r in made.to_pylist()]
+    assert sorted(r["a"] for r in out if r["mask"] == 255) == fps
+    assert [(r["a"], r["b"]) for r in out if not r["mask"]] == [tuple(pair)]
