@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    ``spark.checkpoint.dir`` names it.  Where it is unset, a folder under the
-    warehouse serves on a cluster and a temporary folder in local mode.
+    ``spark.checkpoint.dir`` names it.  Where it is unset, a temporary folder
+    serves in local mode, where all tasks run on one machine; a cluster without
+    it is refused, since executors would write to disks of their own.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or None
     if root is None:
-        if sc.master.startswith("local") and "cluster" not in sc.master:
-            root = f"file://{tempfile.gettempdir()}/frameloom-shared"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir") + "/_frameloom"
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/frameloom-shared"
     if "://" not in root and not root.startswith("file:"):
         root = f"file://{root}"
     return f"{root.rstrip('/')}/frameloom-{sc.applicationId}"
@@ -62,6 +62,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def byte_partitions(spark: SparkSession, size: int, each: int = 512 << 20) -> int:
+    """Partitions for ``size`` bytes: those of the session, and in large tables as
+    many as hold about ``each`` bytes."""
+    return max(shuffle_partitions(spark), min(200_000, -(-size // each)))
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (null ids: fold of '')."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds

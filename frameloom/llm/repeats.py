@@ -4,60 +4,67 @@ A passage of ``window`` words that occurs twice makes an internal node at depth
 ``window`` or more in the suffix tree of the corpus; the leaves below it are its
 occurrences.  The tree is never built as a whole:
 
-* Sparse suffixes.  Of the ``window - prefix + 1`` prefixes of ``prefix`` words in
-  a window, the one with the smallest hash (leftmost on ties) is its anchor.
-  Equal windows have equal anchors, so the trees of the anchors' suffixes hold
-  every repeat; neighbouring windows mostly share an anchor, so an anchor's
-  suffix carries a run of windows: all those whose path passes through it.
-* Prefix partitions.  An anchor's hash is the path of its ``prefix`` words.
-  Leading bits of it, mixed once more and as many as make the groups fit in memory
-  for this input, name the group; one group's subtrees are handled at a time.
-* Subtrees.  In a group the suffixes of one anchor and the windows along them
-  are told apart by path fingerprints; a node of depth ``window`` with two or
-  more leaves is a repeat.  Its first leaf stays, all other leaves' windows are
-  marked; runs of marked windows are the maximal repeats, cut at their ends.
-
-An occurrence meets its group once for each task and distinct run, not once for
-each copy: a task marks all but the first of the equal runs that it holds.
-Hence a passage in a third of all documents adds a row per task to its group.
-
-A prefix that is common with many continuations, such as the start of a stock
-phrase, would still fill one group.  Such prefixes are made longer: their windows
-travel one by one, and the whole path of ``window`` words names the group.  Which
-prefixes these are is counted on a bounded share of the texts beforehand; it
-decides about routes only, never about results.
-
-Windows are equal if their anchors' 64-bit and their own 48-bit fingerprints are.
+* Sparse suffixes.  Of the word prefixes of the first length in a window, the one
+  with the smallest hash (leftmost on ties) is its anchor.  Equal windows have
+  equal anchors, so the subtrees of the anchors hold every repeat; neighbouring
+  windows mostly share an anchor and travel together as a run, with their words.
+* Prefix partitions.  The words from the anchor on are a window's path, and the
+  path's prefix names the group that holds its subtree.  Prefixes have variable
+  lengths: they start with a few words, and one with too many distinct runs below
+  it for a group's memory is made longer for its windows, up to the whole window
+  (near a window's end the prefix takes in words before the anchor).  What each
+  prefix has below it is counted over the whole input, one length after another.
+* Subtrees.  A group reads its runs' words, numbers them exactly, and names the
+  nodes that its suffixes reach at depths 1, 2, 4 and so on up to ``window``, each
+  level from pairs of nodes of the level before.  Suffixes that end at one node of
+  depth ``window`` have the same words; a node with two or more leaves is a repeat.
+  Its first leaf stays, the others are marked, and runs of marked windows are the
+  maximal repeats, cut at their ends.
+
+Hashes decide about anchors, groups and which subtrees have one leaf; whether
+words are equal is decided by the words alone.
+
+A run meets its group once for each task and distinct text, not once for each
+copy: a task marks all but the first of the equal runs that it holds.  Hence a
+passage in a third of all documents adds a row per task to its group.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, shuffle_partitions
+from .common import byte_partitions, forget, materialize
 
-#: Bytes of text that are hashed at a time, and of a group of suffixes.
-_CHUNK = 1 << 20
-#: Bytes of text whose runs are packed at a time.
-_SETTLE = 6 << 20
+#: Bytes of text that are hashed at a time, and whose runs are packed at a time.
+_CHUNK, _SETTLE = 1 << 20, 4 << 20
+#: Bytes of text in a group's runs, about.
 GROUP_BYTES = 2 << 20
-#: Runs that make a prefix common, at least, and the share of all runs that does
-#: so in large corpora: there are a million common prefixes at most.
-COMMON_RUNS, COMMON_SHARE = 30_000, 1e-6
-#: Bytes of text that common prefixes are counted on, at most about.
-COUNTED_BYTES = 256 << 20
-#: Distinct runs that a task remembers to merge equal ones before the shuffle.
-_MEMORY = 150_000
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Distinct runs below a prefix that make it longer, at least, and the share of
+#: all runs that does so in large corpora: five million long prefixes at most.
+LONG_RUNS, LONG_SHARE = 30_000, 2e-7
+#: Distinct runs that a task remembers to merge equal ones before the shuffle,
+#: and the longest of them, in bytes.
+_MEMORY, _LONGEST = 100_000, 2048
+
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NULL_ID = -(1 << 63)
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def prefix_lengths(window: int, first: int | None = None) -> list[int]:
+    """Lengths that a prefix may have: doubled from the first on, then the window."""
+    lengths = [min(window, first or max(1, window // 5))]
+    while lengths[-1] * 2 <= window / 2:
+        lengths.append(lengths[-1] * 2)
+    return lengths + [window] * (lengths[-1] < window)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -89,277 +96,225 @@ def _ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Pow
     return (prefix[end] - prefix[start]) * powers.down[start]
 
 
-class Hasher:
-    """Word hashes, anchors and window fingerprints of a chunk of texts."""
+def _holds(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among ``known``, which is sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-    def __init__(self, window: int, prefix: int):
-        self.window, self.prefix = window, prefix
+
+class Planner:
+    """Anchors, prefixes and runs of some texts' windows."""
+
+    def __init__(self, window: int, lengths: list[int], crowded: list[np.ndarray]):
+        """``crowded``: for each length but the last, as far as known, the sorted
+        prefixes that are too full."""
+        self.window, self.lengths, self.crowded = window, lengths, crowded
         self._bytes, self._words = _Powers(_P), _Powers(_Q)
 
-    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each word, and for each text how many words end by its end.
-
-        ``places`` then has the words' starts and ends in ``data``.
-        """
-        if len(ends) > 1 or len(data) <= 2 * _CHUNK:
-            return self._words_of(data, ends)
-        found, places, at = [], [], 0  # one long text: by blocks that end at white space
-        while at < len(data):
-            to = at + _CHUNK
-            while to < len(data) and not _SPACE[data[to]]:
-                gap = np.flatnonzero(_SPACE[data[to : to + 4096]])
-                to += int(gap[0]) if len(gap) else 4096
-            to = min(to, len(data))
-            found.append(self._words_of(data[at:to], np.asarray([to - at]))[0])
-            places.append([p + at for p in self.places])
-            at = to
-        self.places = tuple(np.concatenate(p) for p in zip(*places))
-        hashes = np.concatenate(found)
-        return hashes, np.asarray([len(hashes)])
-
-    def _words_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(data)
-        if not n:
-            self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-        self._bytes.reach(n + 1)
-        solid = ~_SPACE[data]
-        first = solid.copy()
-        first[1:] &= ~solid[:-1]
-        heads = np.concatenate([[0], ends[:-1]])
-        heads = heads[heads < n]
-        first[heads] = solid[heads]
-        last = solid.copy()
-        last[:-1] &= ~solid[1:]
-        tails = ends[(ends > 0)] - 1
-        last[tails] = solid[tails]
-        start, stop = self.places = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._bytes.up[:n], out=sums[1:])
-        hashes = _mix(_ranges(sums, start, stop, self._bytes) + (stop - start).astype(np.uint64))
-        return hashes, np.searchsorted(start, ends, side="left")
-
-    def runs(self, words: np.ndarray, counts: np.ndarray):
-        """Runs of windows with one anchor: anchor, document, first window's
-        place in its document, and where in ``fingerprints`` the run lies."""
-        n, w, k = len(words), self.window, self.prefix
-        empty = np.zeros(0, np.int64)
-        if n < w:
-            return np.zeros(0, np.uint64), empty, empty, empty, empty, np.zeros(0, np.uint64)
+    def _hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        self._bytes.reach(len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._bytes.up[: len(data)], out=sums[1:])
+        return _mix(_ranges(sums, start, stop, self._bytes) + (stop - start).astype(np.uint64))
+
+    def runs(self, data: np.ndarray, counts: np.ndarray):
+        """Runs of windows with one prefix: text, first window's place in it, how
+        many windows, prefix and its length; and the place of its bytes in ``data``,
+        the words of all texts with one blank between them.  ``counts``: words of
+        each text."""
+        n, w = int(counts.sum()), self.window
+        if n < w or not (counts >= w).any():
+            return None
+        gaps = np.flatnonzero(data == 32)
+        begins, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+        words = self._hashes(data, begins, ends)
         self._words.reach(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(words * self._words.up[:n], out=sums[1:])
+        k = self.lengths[0]
         at = np.arange(n - k + 1)
-        grams = _mix(_ranges(sums, at, at + k, self._words))
-        span = w - k + 1
-        low, place = grams.copy(), at.copy()  # leftmost minimum over span prefixes, by doubling
+        low, place = _mix(_ranges(sums, at, at + k, self._words)), at
         size = 1
-        while size < span:
-            step = min(size, span - size)
+        while size < w - k + 1:  # leftmost minimum over the window, by doubling
+            step = min(size, w - k + 1 - size)
             other, where = low[step:], place[step:]
             low, place = low[: len(other)], place[: len(other)]
             less = other < low
             low, place = np.where(less, other, low), np.where(less, where, place)
             size += step
         at = np.arange(n - w + 1)
-        doc_end = np.cumsum(counts)
-        doc = np.repeat(np.arange(len(counts)), counts)[: n - w + 1]
-        whole = at + w <= doc_end[doc]
-        at, doc, low, place = at[whole], doc[whole], low[whole], place[whole]
-        marks = _mix(_ranges(sums, at, at + w, self._words) ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(16)
-        if not len(at):
-            return np.zeros(0, np.uint64), empty, empty, empty, empty, marks
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-        begin = np.flatnonzero(new)
-        finish = np.concatenate([begin[1:], [len(at)]])
-        own = doc[begin]
-        return low[begin], own, at[begin] - (doc_end - counts)[own], begin, finish, marks
-
-
-def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    at = 0
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _CHUNK, side="right")) - 1)
-        yield at, to
-        at = to
-
-
-def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, bytes and ends of the texts, some at a time; null texts are empty."""
-    ids = batch.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
-    texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-    for a, b in _chunks(np.diff(offsets)):
-        yield ids[a:b], data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a]
+        last = np.cumsum(counts)
+        text = np.repeat(np.arange(len(counts)), counts)[: n - w + 1]
+        whole = at + w <= last[text]
+        at, text, path, place = at[whole], text[whole], low[whole], place[whole]
+        start, length = place, np.full(len(at), k)
+        for shorter, longer, crowded in zip(self.lengths, self.lengths[1:], self.crowded):
+            full = np.flatnonzero((length == shorter) & _holds(crowded, path)) if len(crowded) else []
+            if not len(full):
+                break
+            s = np.minimum(place[full], at[full] + (w - longer))
+            if start is place:
+                start = place.copy()
+            start[full], length[full], path[full] = s, longer, _mix(_ranges(sums, s, s + longer, self._words) ^ np.uint64(longer))
+        fresh = np.concatenate([[True], (start[1:] != start[:-1]) | (length[1:] != length[:-1]) | (text[1:] != text[:-1])])
+        head = np.flatnonzero(fresh)
+        times = np.diff(np.concatenate([head, [len(at)]]))
+        first, own = at[head], text[head]
+        return own, first - (last - counts)[own], times, path[head], length[head], begins[first], ends[first + times + (w - 2)]
+
+
+def _blocks(raw: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+    """A long text's words by blocks that share ``window - 1`` words: number of
+    the first word, and the words with one blank between them."""
+    at, base, held = 0, 0, []
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + _CHUNK)
+        to = cut.start() if cut else len(raw)
+        held += raw[at:to].split()
+        yield base, b" ".join(held)
+        at, keep = to, min(len(held), window - 1)
+        base += len(held) - keep
+        held = held[len(held) - keep :]
+
+
+def _chunks(batch: pa.RecordBatch, window: int) -> Iterator[tuple[list, list, list, bytes, np.ndarray]]:
+    """Ids, hashes and first words' numbers of some texts, their words with one
+    blank between them, and how many words each has."""
+    rows: list[tuple] = []
+    size = 0
+    texts = batch.column(2)
+    for i, (doc, twin) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        raw = texts[i].as_py() or b""
+        for base, words in [(0, b" ".join(raw.split()))] if len(raw) <= 2 * _CHUNK else _blocks(raw, window):
+            if not words:
+                continue
+            rows.append((doc, twin, base, words))
+            size += len(words)
+            if size >= _CHUNK:
+                yield _chunk(rows)
+                rows, size = [], 0
+    if rows:
+        yield _chunk(rows)
+
+
+def _chunk(rows: list[tuple]):
+    doc, twin, base, words = zip(*rows)
+    return doc, twin, base, b" ".join(words), np.fromiter((w.count(b" ") + 1 for w in words), np.int64, len(words))
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str, *also: Column) -> DataFrame:
+    """``doc``, ``twin`` (a hash of the text, to tell rows that repeat an id apart)
+    and the text's bytes.  Null ids come first, with hashes of their own."""
+    key, text = F.col(id_col).cast("long"), F.col(text_col)
+    twin = F.when(key.isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(text))
+    return docs.select(F.coalesce(key, F.lit(_NULL_ID)).alias("doc"), twin.alias("twin"), text.cast("binary").alias("text"), *also)
+
+
+# Crowded prefixes ------------------------------------------------------------------
+
+
+def _prefix_counts(planner: Planner, share: float):
+    """Distinct runs below each prefix of the last length in some text, if they
+    are an eighth of what a crowded prefix has on average there."""
+    wanted = planner.lengths[len(planner.crowded)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for *_, data, counts in _chunks(batch, planner.window):
+                found = planner.runs(np.frombuffer(data, np.uint8), counts)
+                if found is None:
+                    continue
+                path, length, a, b = found[3:]
+                mine = np.flatnonzero(length == wanted)
+                # Runs of one prefix differ in where they start and end.
+                tried = zip(path[mine].tolist(), a[mine].tolist(), b[mine].tolist())
+                distinct = {(p, hash(data[x:y])) for p, x, y in tried}
+                keys, times = np.unique(np.fromiter((p for p, _ in distinct), np.uint64, len(distinct)), return_counts=True)
+                many = times >= share * len(path) / 8
+                yield pa.RecordBatch.from_pydict({"path": pa.array(keys[many].view(np.int64)), "runs": pa.array(times[many].astype(np.int64))})
 
-#: A suffix on its way to its group; its windows' fingerprints follow apart.
-_SUFFIX = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("twin", "<u4"), ("start", "<u4"), ("n", "u1")])
-_OUT = "group int, suffixes binary, marks binary, doc long, twin long, spans binary"
+    return run
 
 
-def _twin(raw: bytes) -> int:
-    """A 32-bit hash of a whole text, to tell rows that repeat an id apart."""
-    import xxhash
+def _crowded(texts: DataFrame, window: int, lengths: list[int], total: int) -> list[np.ndarray]:
+    """For each length the prefixes that need more words, sorted.
 
-    return xxhash.xxh32_intdigest(raw)
+    Bounded: a length has ``1 / LONG_SHARE`` of them at most.
+    """
+    runs = max(1, total / 60)  # a run comes up every 60 bytes or so
+    share = max(LONG_RUNS / runs, LONG_SHARE)
+    found: list[np.ndarray] = []
+    for _ in lengths[:-1]:
+        counts = texts.mapInArrow(_prefix_counts(Planner(window, lengths, found), share), "path long, runs long").groupBy("path").agg(F.sum("runs").alias("runs"))
+        paths = counts.where(F.col("runs") >= share * runs * 0.875).select("path").toArrow().column(0).to_numpy()
+        found = [*found, np.sort(paths.view(np.uint64))]
+        if not len(paths):
+            break
+    return found
 
 
-def _twins(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    raw, at, out = data.tobytes(), 0, np.zeros(len(ends), np.uint32)
-    for i, e in enumerate(ends.tolist()):
-        out[i] = _twin(raw[at:e])
-        at = e
-    return out
+# Runs to their groups ---------------------------------------------------------------
 
+#: A run on its way to its group; its words follow apart.
+_RUN = np.dtype([("path", "<u8"), ("doc", "<i8"), ("twin", "<i8"), ("start", "<u4"), ("n", "<u4"), ("bytes", "<u4")])
+_OUT = "group int, runs binary, words binary, doc long, twin long, spans binary"
 
-def _suffix_rows(window: int, prefix: int, bits: int, common: np.ndarray):
-    """Suffixes by group, and spans that a task already knows to be repeats.
 
-    ``common``: the sorted anchors whose windows travel one by one.
-    """
+def _grouped_runs(planner: Planner, bits: int):
+    """Runs by group, and spans that a task already knows to be repeats."""
+    window = planner.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        hasher = Hasher(window, prefix)
-        seen: dict[int, tuple] = {}
-
-        def pack(anchor, doc, twin, start, n, marks, kept, route):
-            """One row for each group; marks are 6 bytes each."""
-            order = np.argsort(route[kept], kind="stable")
-            pick = kept[order]
-            out = np.empty(len(pick), dtype=_SUFFIX)
-            out["anchor"], out["doc"], out["twin"], out["start"], out["n"] = anchor[pick], doc[pick], twin[pick], start[pick], n[pick]
-            begin = (np.cumsum(n.astype(np.int64)) - n)[pick]
-            lengths = n[pick].astype(np.int64)
-            ends = np.cumsum(lengths)
-            place = np.repeat(begin - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-            six = np.ascontiguousarray(marks[place].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            group = (route[pick] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(out), np.int64)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            stops = np.concatenate([cuts[1:], [len(out)]]).astype(np.int64)
-            ends = np.concatenate([[0], ends])
-            return [(int(group[c]), out[c:s].tobytes(), six[ends[c] : ends[s]].tobytes(), None, None, None) for c, s in zip(cuts.tolist(), stops.tolist())]
-
-        def settle(parts) -> pa.RecordBatch:
-            anchor, doc, twin, start, n, marks, path = (np.concatenate(c) for c in zip(*parts))
-            # Among equal runs the first in order stays.
-            order = np.lexsort((start, twin, doc, path))
-            sorted_path = path[order]
-            head = np.concatenate([[True], sorted_path[1:] != sorted_path[:-1]])
-            firsts, others = order[head], order[~head]
-            lead = firsts[np.cumsum(head) - 1][~head]
-            # A row that repeats id and text is the same document, not a later one.
-            later = [others[(doc[others] != doc[lead]) | (twin[others] != twin[lead]) | (start[others] != start[lead])]]
-            kept = []
-            if len(seen) > _MEMORY:
-                seen.clear()
-            for i, p, key in zip(firsts.tolist(), path[firsts].tolist(), zip(doc[firsts].tolist(), twin[firsts].tolist(), start[firsts].tolist())):
-                held = seen.get(p)
-                if held is None:
-                    seen[p] = key
-                    kept.append(i)
-                elif key > held:
-                    later.append([i])
-                elif key < held:  # it comes before what was sent: both go, the group decides
-                    seen[p] = key
-                    kept.append(i)
-            kept = np.asarray(kept, dtype=np.int64)
-            late = np.concatenate(later).astype(np.int64)
-            spans = [(doc[late], twin[late], start[late].astype(np.int64), start[late].astype(np.int64) + n[late] - 1 + window)]
+        seen: dict[bytes, tuple] = {}
+        kept: list[tuple] = []
+        late: list[tuple] = []
+
+        def settle() -> pa.RecordBatch:
             rows = []
-            if len(common):
-                is_common = common[np.minimum(np.searchsorted(common, anchor[kept]), len(common) - 1)] == anchor[kept]
-                if is_common.any():
-                    made, late_windows = one_by_one(anchor, doc, twin, start, n, marks, kept[is_common])
-                    rows += made
-                    spans.append(late_windows)
-                    kept = kept[~is_common]
-            # Anchors are small hashes, being minima: mixed again they fill all groups.
-            rows += pack(anchor, doc, twin, start, n, marks, kept, _mix(anchor))
-            rows += _span_rows(*(np.concatenate(c) for c in zip(*spans)))
+            if kept:
+                keys, words = zip(*kept)
+                runs = np.array(list(keys), dtype=_RUN)
+                # Anchors are small hashes, being minima: mixed again they fill all groups.
+                group = (_mix(runs["path"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(runs), np.int64)
+                order = np.argsort(group, kind="stable")
+                group, runs, place = group[order], runs[order], order.tolist()
+                cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(runs)]):
+                    rows.append((int(group[a]), runs[a:b].tobytes(), b" ".join([words[i] for i in place[a:b]]), None, None, None))
+            if late:
+                doc, twin, start, n = (np.array(c, dtype=np.int64) for c in zip(*late))
+                rows += _span_rows(doc, twin, start, start + n + (window - 1))
+            kept.clear(), late.clear()
             return _as_batch(rows)
 
-        def one_by_one(anchor, doc, twin, start, n, marks, runs):
-            """Windows of runs with a common anchor: the first of equal ones goes
-            to the group of its own path, the others are repeats."""
-            size = n[runs].astype(np.int64)
-            own = np.repeat(runs, size)
-            step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-            begin = np.cumsum(n.astype(np.int64)) - n
-            a, d, t, at, m = anchor[own], doc[own], twin[own], start[own].astype(np.int64) + step, marks[begin[own] + step]
-            order = np.lexsort((at, t, d, m, a))
-            a, d, t, at, m = a[order], d[order], t[order], at[order], m[order]
-            head = np.concatenate([[True], (a[1:] != a[:-1]) | (m[1:] != m[:-1])])
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            late = ~head & ((d != d[first]) | (t != t[first]) | (at != at[first]))
-            ones = np.ones(int(head.sum()), np.uint8)
-            made = pack(a[head], d[head], t[head], at[head].astype(np.uint32), ones, m[head], np.arange(len(ones)), _mix(a[head] ^ _mix(m[head])))
-            return made, (d[late], t[late], at[late], at[late] + window)
-
         for batch in batches:
-            parts, size = [], 0
-            for ids, data, ends in text_chunks(batch):
-                words, upto = hasher.words(data, ends)
-                counts = np.diff(upto, prepend=0)
-                anchor, own, start, begin, finish, marks = hasher.runs(words, counts)
-                if not len(anchor):
-                    continue
-                times = finish - begin
-                # A run's own path: its anchor and all fingerprints along it.
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(marks + np.uint64(1)))])
-                path = _mix(anchor ^ (sums[finish] - sums[begin])) ^ _mix(marks[begin] + times.astype(np.uint64))
-                parts.append((anchor, ids[own], _twins(data, ends)[own], start.astype(np.uint32), times.astype(np.uint8), marks, path))
+            size = 0
+            for doc, twin, base, data, counts in _chunks(batch, window):
+                found = planner.runs(np.frombuffer(data, np.uint8), counts)
+                if found is not None:
+                    for own, start, n, path, _, a, b in zip(*(c.tolist() for c in found)):
+                        words, key = data[a:b], (doc[own], twin[own], start + base[own])
+                        held = seen.get(words)
+                        if held is None or key < held:  # comes before what was sent: both go, the group decides
+                            if b - a <= _LONGEST:
+                                seen[words] = key
+                            kept.append(((path, *key, n, b - a), words))
+                        elif key > held:  # a row that repeats id and text is the same document
+                            late.append((*key, n))
+                    if len(seen) > _MEMORY:
+                        seen.clear()
                 size += len(data)
                 if size >= _SETTLE:
-                    yield settle(parts)
-                    parts, size = [], 0
-            if parts:
-                yield settle(parts)
+                    yield settle()
+                    size = 0
+            yield settle()
 
     return run
 
 
-def _anchor_counts(window: int, prefix: int, share: float):
-    """Distinct runs of each anchor in a batch, if they are an eighth of what a
-    common anchor has on average there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        hasher = Hasher(window, prefix)
-        for batch in batches:
-            parts = []
-            for _, data, ends in text_chunks(batch):
-                words, upto = hasher.words(data, ends)
-                anchor, _, _, begin, finish, marks = hasher.runs(words, np.diff(upto, prepend=0))
-                if len(anchor):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(marks + np.uint64(1)))])
-                    path = _mix(anchor ^ (sums[finish] - sums[begin]))
-                    parts.append(anchor[np.unique(path, return_index=True)[1]])
-            if parts:
-                keys, times = np.unique(np.concatenate(parts), return_counts=True)
-                many = times >= share * times.sum() / 8
-                keys, times = keys[many], times[many]
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(keys.view(np.int64)), "runs": pa.array(times.astype(np.int64))})
-
-    return run
-
-
-def _common_anchors(chosen: DataFrame, window: int, prefix: int, total: int) -> np.ndarray:
-    """Sorted anchors that are common by a count on a share of the documents."""
-    share = min(1.0, COUNTED_BYTES / max(1, total))
-    some = chosen if share == 1.0 else chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    runs = max(1, total / 45)  # a run comes up every 45 bytes or so
-    part = max(COMMON_RUNS / runs, COMMON_SHARE)
-    counts = some.mapInArrow(_anchor_counts(window, prefix, part), "anchor long, runs long").groupBy("anchor").agg(F.sum("runs").alias("runs"))
-    found = counts.where(F.col("runs") >= part * runs * share * 0.875).select("anchor").toArrow().column(0).to_numpy()
-    return np.sort(found.view(np.uint64))
-
-
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"group": pa.int32(), "suffixes": pa.binary(), "marks": pa.binary(), "doc": pa.int64(), "twin": pa.int64(), "spans": pa.binary()}
+    kinds = {"group": pa.int32(), "runs": pa.binary(), "words": pa.binary(), "doc": pa.int64(), "twin": pa.int64(), "spans": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())] if rows else [pa.array([], t) for t in kinds.values()], names=list(kinds))
 
 
@@ -371,7 +326,7 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], reach[np.concatenate([head[1:] - 1, [len(spans) - 1]])]], axis=1)
 
 
-def _span_rows(doc, twin, start, end) -> list[tuple]:
+def _span_rows(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
     """One row for each document: its spans of removed words, merged, as u32."""
     if not len(doc):
         return []
@@ -392,101 +347,122 @@ def _span_rows(doc, twin, start, end) -> list[tuple]:
     return [(None, None, None, d, t, spans[a:b].tobytes()) for d, t, a, b in zip(doc[keys].tolist(), twin[keys].tolist(), cuts.tolist(), stops.tolist())]
 
 
-def _subtrees(window: int):
+# Subtrees ---------------------------------------------------------------------------
+
+
+def word_numbers(text: bytes) -> np.ndarray:
+    """A number for each word of words with one blank between them; equal words,
+    and no others, have equal numbers."""
+    data = np.frombuffer(text + b" ", np.uint8)
+    ends = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def tree_nodes(words: np.ndarray, depth: int) -> np.ndarray:
+    """A number for the suffix tree's locus at ``depth`` of the suffix at each place.
+
+    Two places have one number if and only if their next ``depth`` words are the
+    same.  A level's nodes come from pairs of nodes of the level before, whose
+    paths follow, or at last overlap, one another.
+    """
+    level, size = words, 1
+    while size < depth:
+        step = min(size, depth - size)
+        pairs = level[: len(level) - step] * (int(level.max(initial=0)) + 1) + level[step:]
+        level, size = pd.factorize(pairs)[0], size + step
+    return level
+
+
+def _repeats_of(window: int, runs: list[bytes], words: list[bytes]) -> list[tuple]:
     """Spans of all leaves but the first below every deep node of a group."""
+    leaf = np.frombuffer(b"".join(runs), dtype=_RUN)
+    # Where a prefix has one run below it, nothing branches.
+    _, inverse, times = np.unique(leaf["path"], return_inverse=True, return_counts=True)
+    many = times[inverse] > 1
+    if not many.any():
+        return []
+    text = b" ".join(words)
+    ends = np.cumsum(leaf["bytes"].astype(np.int64) + 1)[many] - 1
+    leaf = leaf[many]
+    numbers = word_numbers(b" ".join([text[e - n : e] for e, n in zip(ends.tolist(), leaf["bytes"].tolist())]))
+    n = leaf["n"].astype(np.int64)
+    own = np.repeat(np.arange(len(leaf)), n)
+    within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    node = tree_nodes(numbers, window)[own * (window - 1) + np.arange(len(own))]  # a run has window - 1 words after its windows
+    shared = np.bincount(node)[node] > 1
+    own, node, within = own[shared], node[shared], within[shared]
+    doc, twin, start = leaf["doc"][own], leaf["twin"][own], leaf["start"][own] + within
+    order = np.lexsort((start, twin, doc, node))
+    doc, twin, start, node = doc[order], twin[order], start[order], node[order]
+    head = np.concatenate([[True], node[1:] != node[:-1]])[: len(node)]
+    first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(node) else np.zeros(0, np.int64)
+    # A row that repeats id and text is the same document, not a later leaf.
+    late = (doc != doc[first]) | (twin != twin[first]) | (start != start[first])
+    return _span_rows(doc[late], twin[late], start[late], start[late] + window)
 
-    def solve(suffixes: list[bytes], marks: list[bytes]) -> list[tuple]:
-        leaf = np.frombuffer(b"".join(suffixes), dtype=_SUFFIX)
-        six = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(six), 8), np.uint8)
-        wide[:, :6] = six
-        mark = wide.view("<u8").ravel()
-        n = leaf["n"].astype(np.int64)
-        own = np.repeat(np.arange(len(leaf)), n)
-        # Anchors with one leaf have no internal node below them.
-        _, inverse, times = np.unique(leaf["anchor"], return_inverse=True, return_counts=True)
-        many = (times[inverse] > 1)[own]
-        within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        own, mark, within = own[many], mark[many], within[many]
-        if not len(own):
-            return []
-        anchor, doc, twin = leaf["anchor"][own], leaf["doc"][own], leaf["twin"][own]
-        start = leaf["start"][own].astype(np.int64) + within
-        order = np.lexsort((start, twin, doc, mark, anchor))
-        same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (mark[order][1:] == mark[order][:-1])])
-        late = order[same]
-        # A row that repeats id and text is the same document, not a later leaf.
-        node = np.cumsum(~same) - 1
-        head = order[~same][node[same]]
-        late = late[(doc[late] != doc[head]) | (twin[late] != twin[head]) | (start[late] != start[head])]
-        return _span_rows(doc[late], twin[late], start[late], start[late] + window)
 
+def _subtrees(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        group, suffixes, marks = None, [], []
+        group, runs, words = None, [], []
         made: list[tuple] = []
         for batch in batches:
             passed = batch.filter(batch.column(5).is_valid())
             if passed.num_rows:
                 yield pa.RecordBatch.from_arrays(passed.columns[3:], names=["doc", "twin", "spans"])
-            for g, s, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if m is None:  # spans that a task knew already
+            for g, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if r is None:  # spans that a task knew already
                     continue
                 if g != group:
-                    if suffixes:
-                        made += solve(suffixes, marks)
-                    group, suffixes, marks = g, [], []
-                suffixes.append(s), marks.append(m)
+                    if runs:
+                        made += _repeats_of(window, runs, words)
+                    group, runs, words = g, [], []
+                runs.append(r), words.append(t)
             if len(made) > 10_000:
                 yield pa.RecordBatch.from_arrays(_as_batch(made).columns[3:], names=["doc", "twin", "spans"])
                 made = []
-        if suffixes:
-            made += solve(suffixes, marks)
+        if runs:
+            made += _repeats_of(window, runs, words)
         if made:
             yield pa.RecordBatch.from_arrays(_as_batch(made).columns[3:], names=["doc", "twin", "spans"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, window: int = 20, first_prefix: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc``, ``twin`` and ``spans``: word ranges covered by repeated windows.
 
     ``spans`` packs pairs (first word, word after the last) as unsigned 32-bit
-    integers; a document may have several rows.  ``twin`` is the text's hash.
-    The result is a table in the shared folder.
+    integers; a document may have several rows.  ``twin`` is the text's hash; null
+    ids are -2^63, with hashes of their own.  The result is a table in the shared
+    folder.  Null and empty texts, and empty tables, give no row.
     """
-    spark = docs.sparkSession
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # An anchor comes up every (window - prefix + 2) / 2 words or so, and a suffix
-    # takes about 80 bytes: roughly twice the text's bytes at most.
-    bits = max(0, int(np.ceil(np.log2(max(1, total) * 2 / GROUP_BYTES))))
+    texts, lengths = _identified(docs, id_col, text_col), prefix_lengths(window, first_prefix)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A run comes up every (window + 1) / 2 words or so and has window - 1 words more.
+    bits = max(0, int(np.ceil(np.log2(max(1, total) * 3 / GROUP_BYTES))))
+    planner = Planner(window, lengths, _crowded(texts, window, lengths, total))
+    sent = texts.mapInArrow(_grouped_runs(planner, min(bits, 30)), _OUT)
     # Spans that a task knows already travel along, spread by document.
-    common = _common_anchors(chosen, window, prefix, total)
-    sent = chosen.mapInArrow(_suffix_rows(window, prefix, min(bits, 30), common), _OUT)
-    n = shuffle_partitions(spark)
+    n = byte_partitions(docs.sparkSession, total * 3)
     dealt = sent.repartitionById(n, F.pmod(F.coalesce("group", F.hash("doc")), F.lit(n))).sortWithinPartitions("group")
     return materialize(dealt.mapInArrow(_subtrees(window), "doc long, twin long, spans binary"), "spans")[0]
 
 
-def _with_spans(docs: DataFrame, window: int, prefix: int, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__spans``: what is known of rows with the same id."""
-    spans = repeated_spans(docs, window=window, prefix=prefix, id_col=id_col, text_col=text_col)
-    known = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("twin", "spans")).alias("__spans"))
-    own = F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID))
-    return docs.join(known, own == known["__doc"], "left").drop("__doc")
+def _own_spans(found: list[bytes] | None) -> np.ndarray | None:
+    return _merged(np.frombuffer(b"".join(found), "<u4").reshape(-1, 2)) if found else None
 
 
-def _own_spans(raw: bytes, found: list[dict] | None) -> np.ndarray | None:
-    """Merged spans of the row with this text, or None."""
-    if not found:
-        return None
-    twin = _twin(raw)
-    own = [x["spans"] for x in found if x["twin"] == twin]
-    return _merged(np.frombuffer(b"".join(own), "<u4").reshape(-1, 2)) if own else None
+def _with_spans(docs: DataFrame, columns: list[str], spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``docs``, their names replaced by numbers, and ``found``: the
+    spans of each row."""
+    rows = _identified(docs, id_col, text_col, *(F.col(c).alias(str(i)) for i, c in enumerate(columns)))
+    known = spans.groupBy("doc", "twin").agg(F.collect_list("spans").alias("found"))
+    return rows.drop("text").join(known, ["doc", "twin"], "left").select(*(str(i) for i in range(len(columns))), "found")
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 20, first_prefix: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's words without those that a repeated window covers.
 
     A word goes if it lies in a window of ``window`` words whose word sequence
@@ -512,7 +488,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col
             for key, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
                 raw = text.as_py() or b""
                 words = keep = raw.split()
-                spans = _own_spans(raw, found)
+                spans = _own_spans(found)
                 if spans is not None:
                     keep, at = [], 0
                     for a, b in spans.tolist():
@@ -528,38 +504,38 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col
                 yield as_batch(out)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spread = _with_spans(chosen, window, prefix, "doc_id", "text")
-    return spread.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans binary")
+    spans = repeated_spans(chosen, window=window, first_prefix=first_prefix)
+    return _with_spans(chosen, ["doc_id", "text"], spans, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans binary")
 
 
-def cut_repeats(docs: DataFrame, *, window: int = 20, prefix: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, *, window: int = 20, first_prefix: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, their repeated windows cut out of ``text_col``.
 
-    The rules are those of :func:`remove_repeats`.  What stays keeps its white
-    space; rows without a repeat stay as they are; rows of which nothing is left
-    go.  All other columns are unchanged.
+    The rules are those of :func:`remove_repeats`.  A word goes with the white
+    space after it; rows without a repeat, null and empty ones among them, stay as
+    they are; rows of which no word is left go.  All other columns, whatever their
+    names, are unchanged.  An empty table gives an empty one.
     """
-    import re
-
-    names, at, word = docs.columns, docs.columns.index(text_col), re.compile(rb"[^\x20\x09-\x0d]+")
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stay = batch.column(at).cast(pa.binary()).to_pylist(), np.ones(batch.num_rows, dtype=bool)
             for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                spans = _own_spans(texts[i] or b"", found)
+                spans = _own_spans(found)
                 if spans is None:
                     continue
                 raw = texts[i]
-                starts = [m.start() for m in word.finditer(raw)] + [len(raw)]
+                starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+                stay[i] = int((spans[:, 1] - spans[:, 0]).sum()) < len(starts) - 1
                 parts, done = [], 0
                 for a, b in spans.tolist():
                     parts.append(raw[done : starts[a]])
                     done = starts[b]
-                texts[i] = (b"".join(parts) + raw[done:]).rstrip()
-                stay[i] = bool(texts[i])
+                texts[i] = b"".join(parts) + raw[done:]
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
-    return _with_spans(docs, window, prefix, id_col, text_col).mapInArrow(run, docs.schema)
+    spans = repeated_spans(docs, window=window, first_prefix=first_prefix, id_col=id_col, text_col=text_col)
+    return _with_spans(docs, names, spans, id_col, text_col).mapInArrow(run, docs.schema)

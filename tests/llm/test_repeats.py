@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from frameloom.llm import repeats
 from frameloom.llm.repeats import cut_repeats, remove_repeats
@@ -48,12 +50,49 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", 1 << 12)
     monkeypatch.setattr(repeats, "_CHUNK", 1 << 9)
     monkeypatch.setattr(repeats, "_MEMORY", 50)
-    check(spark, corpus(2), prefix=3)
-    check(spark, corpus(3), window=7, prefix=7)
-    monkeypatch.setattr(repeats, "COMMON_RUNS", 3)
-    check(spark, corpus(4), prefix=2)
-    monkeypatch.setattr(repeats, "COUNTED_BYTES", 1 << 15)
+    monkeypatch.setattr(repeats, "_SETTLE", 1 << 12)
+    check(spark, corpus(2), first_prefix=3)
+    check(spark, corpus(3), window=7, first_prefix=7)
+    check(spark, corpus(3), window=1)
+    monkeypatch.setattr(repeats, "LONG_RUNS", 3)  # nearly all prefixes are made longer
+    check(spark, corpus(4), first_prefix=2)
     check(spark, corpus(5))
+    check(spark, corpus(6), window=300, first_prefix=30)
+
+
+@pytest.mark.parametrize("power", [10, 11, 12])
+def test_words_that_polynomial_hashes_confuse(spark, power):
+    word = "a"
+    for _ in range(power):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other, same = word.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{same} {word}"), (2, f"{same} {other}"), (3, f"x {same} {word}")]
+    check(spark, rows)
+
+
+def test_nodes_are_sequences_of_words():
+    rng = random.Random(8)
+    words = [rng.choice(["a", "b", "ab", "ba"]) for _ in range(3000)]
+    numbers = repeats.word_numbers(" ".join(words).encode())
+    assert [numbers[i] == numbers[0] for i in range(3000)] == [w == words[0] for w in words]
+    for depth in (1, 2, 5, 20):
+        node = repeats.tree_nodes(numbers, depth).tolist()
+        grams = [tuple(words[i : i + depth]) for i in range(len(words) - depth + 1)]
+        assert len(node) == len(grams) and len(set(zip(node, grams))) == len(set(node)) == len(set(grams))
+
+
+def test_prefixes_grow_to_the_window():
+    assert repeats.prefix_lengths(20) == [4, 8, 20]
+    assert repeats.prefix_lengths(1) == [1] and repeats.prefix_lengths(7, 7) == [7]
+    planner = repeats.Planner(20, [4, 8, 20], [])
+    data = " ".join(f"w{i}" for i in range(500)).encode()
+    counts = np.asarray([500])
+    _, start, n, path, length, a, b = planner.runs(np.frombuffer(data, np.uint8), counts)
+    assert n.sum() == 481 and set(length.tolist()) == {4} and len(n) < 100
+    longer = repeats.Planner(20, [4, 8, 20], [np.sort(path)])
+    assert set(longer.runs(np.frombuffer(data, np.uint8), counts)[4].tolist()) == {8}
+    whole = repeats.Planner(20, [4, 8, 20], [np.sort(path), np.sort(longer.runs(np.frombuffer(data, np.uint8), counts)[3])])
+    assert whole.runs(np.frombuffer(data, np.uint8), counts)[2].tolist() == [1] * 481
 
 
 def test_spans_name_the_removed_words(spark):
@@ -76,7 +115,9 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 def test_cut_keeps_layout_and_columns(spark):
     text = "\n".join(f"w{i}" for i in range(25))
-    df = spark.createDataFrame([(1, text, "a"), (2, "head\n\n" + text + "\nlast  words", "b"), (3, text, "c"), (4, None, "d"), (5, "  odd  space ", "e")], "doc_id long, text string, __twin string")
+    df = spark.createDataFrame([(1, text, "a"), (2, "head\n\n" + text + "\nlast  words", "b"), (3, text, "c"), (4, None, "d"), (5, "  odd  space ", "e"), (None, text + " end", "f")], "doc_id long, text string, doc string").withColumns({"twin": F.lit(1), "found": F.lit("x"), "0": F.lit(2)})
     got = cut_repeats(df)
     assert got.schema == df.schema
-    assert {r.doc_id: r.text for r in got.collect()} == {1: text, 2: "head\n\nlast  words", 4: None, 5: "  odd  space "}
+    rows = got.collect()
+    assert {r.doc_id: r.text for r in rows} == {None: text + " end", 2: "head\n\nlast  words", 4: None, 5: "  odd  space "}
+    assert {(r.doc_id, r.doc, r.twin, r.found) for r in rows} == {(None, "f", 1, "x"), (2, "b", 1, "x"), (4, "d", 1, "x"), (5, "e", 1, "x")}
