@@ -22,7 +22,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
     stats = Statistics()
     for batch in batches:
-        x = stats.of(batch.column(0), batch.column(1))
+        x = stats.of(batch.column(1))
         values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([values, batch.column(2)], names=["x", "y"])
 
@@ -58,7 +58,7 @@ def score_quality(docs: DataFrame, model: Forest, *, id_col: str = "doc_id", tex
         forget()
         stats = Statistics()
         for batch in batches:
-            score = model.score(stats.of(batch.column(0), batch.column(1)))
+            score = model.score(stats.of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -73,6 +73,6 @@ def keep_quality(docs: DataFrame, model: Forest, threshold: float, *, id_col: st
         forget()
         stats = Statistics()
         for batch in batches:
-            yield batch.filter(pa.array(model.score(stats.of(batch.column(key), batch.column(text))) >= threshold))
+            yield batch.filter(pa.array(model.score(stats.of(batch.column(text))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_partitions, forget, materialize
+from .words import BASE, WORD_BASE, Powers, mix, ranges
 
 #: Bytes of text that are hashed at a time, and whose runs are packed at a time.
 _CHUNK, _SETTLE = 1 << 20, 4 << 20
@@ -53,7 +54,6 @@ LONG_RUNS, LONG_SHARE = 30_000, 2e-7
 #: and the longest of them, in bytes.
 _MEMORY, _LONGEST = 100_000, 2048
 
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NULL_ID = -(1 << 63)
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -67,35 +67,6 @@ def prefix_lengths(window: int, first: int | None = None) -> list[int]:
     return lengths + [window] * (lengths[-1] < window)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as many as needed."""
-
-    def __init__(self, base: np.uint64):
-        self._base, self._inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            self.up, self.down = _powers(self._base, n), _powers(self._inverse, n)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Polynomial hashes of [start, end), whatever their place."""
-    return (prefix[end] - prefix[start]) * powers.down[start]
-
-
 def _holds(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values are among ``known``, which is sorted and not empty."""
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
@@ -108,13 +79,13 @@ class Planner:
         """``crowded``: for each length but the last, as far as known, the sorted
         prefixes that are too full."""
         self.window, self.lengths, self.crowded = window, lengths, crowded
-        self._bytes, self._words = _Powers(_P), _Powers(_Q)
+        self._bytes, self._words = Powers(BASE), Powers(WORD_BASE)
 
     def _hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         self._bytes.reach(len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._bytes.up[: len(data)], out=sums[1:])
-        return _mix(_ranges(sums, start, stop, self._bytes) + (stop - start).astype(np.uint64))
+        return mix(ranges(sums, start, stop, self._bytes) + (stop - start).astype(np.uint64))
 
     def runs(self, data: np.ndarray, counts: np.ndarray):
         """Runs of windows with one prefix: text, first window's place in it, how
@@ -132,7 +103,7 @@ class Planner:
         np.cumsum(words * self._words.up[:n], out=sums[1:])
         k = self.lengths[0]
         at = np.arange(n - k + 1)
-        low, place = _mix(_ranges(sums, at, at + k, self._words)), at
+        low, place = mix(ranges(sums, at, at + k, self._words)), at
         size = 1
         while size < w - k + 1:  # leftmost minimum over the window, by doubling
             step = min(size, w - k + 1 - size)
@@ -154,7 +125,7 @@ class Planner:
             s = np.minimum(place[full], at[full] + (w - longer))
             if start is place:
                 start = place.copy()
-            start[full], length[full], path[full] = s, longer, _mix(_ranges(sums, s, s + longer, self._words) ^ np.uint64(longer))
+            start[full], length[full], path[full] = s, longer, mix(ranges(sums, s, s + longer, self._words) ^ np.uint64(longer))
         fresh = np.concatenate([[True], (start[1:] != start[:-1]) | (length[1:] != length[:-1]) | (text[1:] != text[:-1])])
         head = np.flatnonzero(fresh)
         times = np.diff(np.concatenate([head, [len(at)]]))
@@ -276,7 +247,7 @@ def _grouped_runs(planner: Planner, bits: int):
                 keys, words = zip(*kept)
                 runs = np.array(list(keys), dtype=_RUN)
                 # Anchors are small hashes, being minima: mixed again they fill all groups.
-                group = (_mix(runs["path"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(runs), np.int64)
+                group = (mix(runs["path"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(runs), np.int64)
                 order = np.argsort(group, kind="stable")
                 group, runs, place = group[order], runs[order], order.tolist()
                 cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .repeats import Hasher, text_chunks
+from .words import WordHasher, text_chunks
 
 _KINDS = [
     ("lower", bytes(range(97, 123))), ("upper", bytes(range(65, 91))), ("digit", b"0123456789"), ("blank", b" "), ("line", b"\n"),
@@ -46,7 +46,7 @@ def _distinct(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
     return np.bincount(d[head], minlength=n).astype(float), most
 
 
-def _of_chunk(hasher: Hasher, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _of_chunk(hasher: WordHasher, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(ends)
     sizes = np.diff(ends, prepend=0)
     doc_of = np.repeat(np.arange(n), sizes)
@@ -97,10 +97,9 @@ class Statistics:
     """The features of ``NAMES`` for the texts of Arrow batches."""
 
     def __init__(self):
-        self._hasher = Hasher(2, 1)
+        self._hasher = WordHasher()
 
-    def of(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    def of(self, texts: pa.Array) -> np.ndarray:
         """Null and empty texts give zeros."""
-        batch = pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
-        parts = [_of_chunk(self._hasher, data, ends) for _, data, ends in text_chunks(batch)]
+        parts = [_of_chunk(self._hasher, data, ends) for data, ends in text_chunks(texts)]
         return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)

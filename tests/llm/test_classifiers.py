@@ -37,7 +37,7 @@ def test_statistics_against_plain_counts():
     import pyarrow as pa
 
     texts = ["Ab cd. Ab cd.\nAb cd. Ab cd.\n", None, "", "A", "ÉÉ !! x|y $$ 12", " \n ", "w " * 2000, "no end\n\nagain\nno end"]
-    got = Statistics().of(pa.array(range(len(texts))), pa.array(texts))
+    got = Statistics().of(pa.array(texts))
     at = {n: i for i, n in enumerate(NAMES)}
     for row, text in zip(got, texts):
         raw = (text or "").encode()
