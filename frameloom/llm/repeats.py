@@ -236,7 +236,10 @@ def _grouped_runs(planner: Planner, bits: int):
     window = planner.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         forget()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         seen: dict[bytes, tuple] = {}
         kept: list[tuple] = []
         late: list[tuple] = []
@@ -252,7 +255,7 @@ def _grouped_runs(planner: Planner, bits: int):
                 group, runs, place = group[order], runs[order], order.tolist()
                 cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
                 for a, b in zip(cuts, [*cuts[1:], len(runs)]):
-                    rows.append((int(group[a]), runs[a:b].tobytes(), b" ".join([words[i] for i in place[a:b]]), None, None, None))
+                    rows.append((int(group[a]), squeeze(runs[a:b].tobytes()), squeeze(b" ".join([words[i] for i in place[a:b]])), None, None, None))
             if late:
                 doc, twin, start, n = (np.array(c, dtype=np.int64) for c in zip(*late))
                 rows += _span_rows(doc, twin, start, start + n + (window - 1))
@@ -375,7 +378,10 @@ def _repeats_of(window: int, runs: list[bytes], words: list[bytes]) -> list[tupl
 
 def _subtrees(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         forget()
+        unpack = zstandard.ZstdDecompressor().decompress
         group, runs, words = None, [], []
         made: list[tuple] = []
         for batch in batches:
@@ -389,7 +395,7 @@ def _subtrees(window: int):
                     if runs:
                         made += _repeats_of(window, runs, words)
                     group, runs, words = g, [], []
-                runs.append(r), words.append(t)
+                runs.append(unpack(r)), words.append(unpack(t))
             if len(made) > 10_000:
                 yield pa.RecordBatch.from_arrays(_as_batch(made).columns[3:], names=["doc", "twin", "spans"])
                 made = []
