@@ -1,136 +1,308 @@
-"""Near copies: texts whose word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts with equal sets of shingles make one node.  A node has ``BANDS`` keys of
-``ROWS`` minima of hash functions each; two nodes with similarity ``s`` share no
-key with a probability of ``(1 - s^ROWS)^BANDS``, 7e-10 at 0.8.  Nodes that share
-a key are candidates, and every candidate is verified by its shingles.
-
-Buckets of up to ``SMALL`` nodes give all their pairs.  Larger ones give pairs
-with some pivots first; then, of what verified links haven't connected, all
-pairs that could still connect something.  No bucket is cut.
+"""Near copies by SimHash: texts whose word shingles have a Jaccard similarity of
+0.8 or more.
+
+Texts with equal sets of shingles make one node.  A node's fingerprint has several
+pieces of some bits and 128 bits more to check candidates; each bit is the
+majority of one bit of the shingles' mixed hashes, as in :mod:`simhash`.  Two sets
+of one size with similarity ``s`` differ in a bit with a probability of
+``acos(2 s / (1 + s)) / pi``, 0.15 at 0.8.  Each piece has covering masks, so that
+all pairs that differ in at most ``radius`` bits of some piece meet in a table; the
+pieces are as many as leave a pair at the threshold within the radius of none with
+a probability of ``MISS`` at most.  :func:`plan` has the numbers: pieces are wide
+enough for buckets of about ``FILL`` unrelated nodes, and the radius is the one
+that needs the fewest tables.
+
+Pairs that meet within the radius, and whose check bits are near too, are
+candidates.  Those whose sizes and whole fingerprints are near as well are verified
+by their shingles.  A node with many
+candidates in a bucket, such as one of a large group of near copies, is compared
+with the smallest of them first; then, of what verified links haven't connected,
+with all that could still connect something.  No bucket is cut.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import _whole_groups
-from .common import forget, materialize, shuffle_partitions
+from .common import byte_partitions, forget, materialize, release, shuffle_partitions
 from .components import connected_components
-from .simhash import shingle_hashes
-
-ROWS, BANDS = 4, 40
-#: Nodes of a bucket whose pairs are all compared at once, and pivots of larger ones.
-SMALL, PIVOTS = 64, 8
-
-_RNG = np.random.default_rng(11)
-_SALT = _RNG.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
-_FACTOR = _RNG.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingles; none of an empty one."""
-    if not len(shingles):
-        return np.zeros(0, np.uint64)
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        np.minimum(low, ((shingles[at : at + 512, None] ^ _SALT) * _FACTOR).min(axis=0), out=low)
-    low = low.reshape(BANDS, ROWS)
-    return (((low >> np.uint64(32)) ^ low) * _MIX).sum(axis=1, dtype=np.uint64)
-
-
-def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+from .simhash import covering_masks, shingle_hashes
+from .words import mix
+
+#: Unrelated nodes of a bucket, about, and the share of pairs at the threshold that
+#: no table brings together.
+FILL, MISS = 256, 0.005
+#: Candidates of a node in a bucket that are all verified, and how many of more are
+#: at first; buckets whose members are first compared with the smallest ones alone.
+FEW, PIVOTS, LARGE = 16, 4, 20_000
+#: Nodes of a group of buckets, about.
+_GROUP = 1 << 16
+
+
+@dataclass(frozen=True)
+class Plan:
+    width: int  # bits of a piece
+    radius: int
+    pieces: int
+    check: int  # of the 128 check bits, how many may differ
+    far: int  # of all bits, how many may
+
+    @property
+    def masks(self) -> list[int]:
+        return covering_masks((1 << self.width) - 1, self.radius)
+
+    @property
+    def words(self) -> int:
+        return _words(self.width, self.pieces)
+
+
+def _words(width: int, pieces: int) -> int:
+    return -(-width * pieces // 64) + 2
+
+
+def _at_most(k: int, n: int, p: float) -> float:
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def plan(nodes: int, threshold: float) -> Plan:
+    """Widths for ``nodes`` nodes: a mask keeps about half of a piece's bits."""
+    width = min(64, max(16, 2 * math.ceil(math.log2(max(2, nodes) / FILL))))
+    differ = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    near = lambda n: next(k for k in range(n + 1) if 1 - _at_most(k, n, differ) < MISS / 10)
+    best = None
+    for radius in range(1, 8):
+        miss = 1 - _at_most(radius, width, differ)
+        pieces = max(1, math.ceil(math.log(MISS) / math.log(miss))) if miss else 1
+        tables = pieces * ((2 << radius) - 1)
+        if best is None or tables < best[0]:
+            best = tables, radius, pieces
+    return Plan(width, best[1], best[2], near(128), near(64 * _words(width, best[2])))
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` words of 64 bits, each set in over half of the shingles' hashes."""
+    n = len(shingles)
+    counts = np.zeros(64 * words, np.int64)
+    salt = mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, n, 255):  # sums of 255 bits fit a byte
+        some = mix(shingles[at : at + 255, None] ^ salt)
+        counts += np.unpackbits(some.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8")
+
+
+def _signed(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         forget()
         for batch in batches:
-            node, size, keys = [], [], []
+            node, size, bits = [], [], []
             for x in batch.column(2).cast(pa.binary()):
                 own = shingle_hashes(x.as_py(), shingle)
-                node.append(xxhash.xxh3_64_intdigest(own.tobytes())), size.append(len(own)), keys.append(band_keys(own).tobytes())
-            arrays = [batch.column(0), batch.column(1), pa.array(np.asarray(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "size", "keys"])
+                node.append(xxhash.xxh3_64_intdigest(own.tobytes())), size.append(len(own)), bits.append(wide_fingerprint(own, words).tobytes())
+            arrays = [batch.column(0), batch.column(1), pa.array(np.asarray(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "size", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, node long, size int, bits binary")
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, size int, keys binary")
 
+#: A node in a bucket.
+_ENTRY = np.dtype([("piece", "<u8"), ("check", "<u8", 2), ("node", "<i8")])
+_SMALL_ENTRY = np.dtype([("piece", "<u4"), ("check", "<u8", 2), ("node", "<i8")])
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [np.frombuffer(k, np.int64) for k in batch.column(2).to_pylist()]
-        row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "node", "size"])
 
+def _pieces(bits: np.ndarray, plan: Plan) -> Iterator[np.ndarray]:
+    """Each piece of the fingerprints (rows of words) as a number."""
+    flat = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")
+    for p in range(plan.pieces):
+        own = np.zeros((len(bits), 64), np.uint8)
+        own[:, : plan.width] = flat[:, p * plan.width : (p + 1) * plan.width]
+        yield np.packbits(own, axis=1, bitorder="little").view("<u8").ravel()
 
-_FOUND = "key long, a long, b long, size int"
 
+def _spread(plan: Plan, groups: int):
+    """Entries of some nodes by group: a table and a share of its keys."""
+    kind = _SMALL_ENTRY if plan.width <= 32 else _ENTRY
+    masks = np.asarray(plan.masks, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, plan.words)
+            entry = np.zeros(len(node), kind)
+            entry["node"], entry["check"] = node, bits[:, -2:]
+            for p, piece in enumerate(_pieces(bits, plan)):
+                entry["piece"] = piece
+                for m, mask in enumerate(masks):
+                    to = (mix((piece & mask) + np.uint64(1)) % np.uint64(groups)).astype(np.int64) if groups > 1 else np.zeros(len(node), np.int64)
+                    order = np.argsort(to, kind="stable")
+                    cuts = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
+                    dealt = entry[order]
+                    parts = [dealt[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(node)])]
+                    first = (p * len(masks) + m) * groups
+                    yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts] + first), pa.array(parts, pa.binary())], names=["group", "entries"])
 
-def _found(key, a, b, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32())], names=["key", "a", "b", "size"])
+    return run
 
 
-def _candidates(threshold: float):
-    """Pairs of small buckets, and pairs with pivots and the members (without
-    ``b``) of large ones; rows are sorted by key and size."""
+_FOUND = "bucket long, a long, b long, piece long, check long, also long"
+
+
+def _found(bucket, a, b, piece=None, check=None) -> pa.RecordBatch:
+    n = len(a)
+    rows = [pa.array(np.broadcast_to(np.asarray(bucket, np.int64), n)), pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b)]
+    bits = (None, None, None) if piece is None else (piece, check[:, 0], check[:, 1])
+    rows += [pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.uint64).view(np.int64)) for x in bits]
+    return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "b", "piece", "check", "also"])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that rows of words differ in."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _bucket_pairs(plan: Plan, edges: np.ndarray, piece: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates: pairs of places in one bucket.  Members of a large bucket are
+    compared with its first ones alone."""
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        ok = np.bitwise_count(piece[i] ^ piece[j]) <= plan.radius
+        i, j = i[ok], j[ok]
+        ok = _apart(check[i], check[j]) <= plan.check
+        firsts.append(i[ok]), seconds.append(j[ok])
+
+    sizes = np.diff(edges)
+    for s in np.unique(sizes[(sizes > 1) & (sizes <= 1024)]).tolist():  # all buckets of one size at a time
+        start = edges[:-1][sizes == s]
+        i, j = np.triu_indices(s, 1)
+        step = max(1, (1 << 20) // len(i))
+        for at in range(0, len(start), step):
+            own = start[at : at + step, None]
+            keep((own + i).ravel(), (own + j).ravel())
+    for g in np.flatnonzero(sizes > 1024).tolist():
+        lo, hi = int(edges[g]), int(edges[g + 1])
+        for i in range(lo, min(hi, lo + PIVOTS * FEW) if hi - lo > LARGE else hi):
+            j = np.arange(i + 1, hi)
+            keep(np.full(len(j), i), j)
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
+def _candidates(plan: Plan, groups: int):
+    """Candidate pairs, and (without ``b``) members of buckets of which some pairs
+    were left for later; rows are sorted by group."""
+    kind = _SMALL_ENTRY if plan.width <= 32 else _ENTRY
+    masks = plan.masks
+
+    def solve(group: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entry = np.frombuffer(b"".join(parts), kind)
+        table = group // groups
+        key = entry["piece"].astype(np.uint64) & np.uint64(masks[table % len(masks)])
+        order = np.lexsort((entry["node"], key))
+        entry, key = entry[order], key[order]
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        node, piece, check = entry["node"], entry["piece"].astype(np.uint64), entry["check"]
+        i, j = _bucket_pairs(plan, edges, piece, check)
+        degree = np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
+        at = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        large = (np.diff(edges) > LARGE)[at]
+        crowded = (degree > FEW) | large
+        both = crowded[i] & crowded[j]
+        if both.any() or large.any():
+            # The smallest partners of a crowded one: pairs are in order of j for each i.
+            keep = ~both
+            pair = np.flatnonzero(both)
+            for one, other in ((i, j), (j, i)):
+                rank = np.lexsort((other[pair], one[pair]))
+                o = one[pair][rank]
+                head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                place = np.arange(len(o)) - np.repeat(head, np.diff(np.concatenate([head, [len(o)]])))
+                keep[pair[rank[place < PIVOTS]]] = True
+            i, j = i[keep], j[keep]
+            rest = np.flatnonzero(crowded)
+            bucket = mix(key[rest] ^ mix(np.full(len(rest), table + 1, np.uint64))).view(np.int64)
+            yield _found(bucket, node[rest], None, piece[rest], check[rest])
+        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+        yield _found(0, pairs[0], pairs[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            key, node, size = (batch.column(i).to_numpy() for i in range(3))
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            sizes, firsts, seconds = np.diff(edges), [], []
-            for s in range(2, SMALL + 1):  # all buckets of one size at a time
-                start = edges[:-1][sizes == s]
-                i, j = np.triu_indices(s, 1)
-                for at in range(0, len(start), 4096):
-                    own = start[at : at + 4096, None]
-                    firsts.append((own + i).ravel()), seconds.append((own + j).ravel())
-            for g in np.flatnonzero(sizes > SMALL).tolist():
-                lo, hi = int(edges[g]), int(edges[g + 1])
-                yield _found(key[lo:hi], node[lo:hi], pa.nulls(hi - lo, pa.int64()), size[lo:hi])
-                for p in np.linspace(lo, hi - 1, PIVOTS).astype(np.int64).tolist():
-                    firsts.append(np.full(hi - lo, p)), seconds.append(np.arange(lo, hi))
-            if firsts:
-                i, j = np.concatenate(firsts), np.concatenate(seconds)
-                ok = (node[i] != node[j]) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= threshold)
-                i, j = i[ok], j[ok]
-                pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-                yield _found(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int32))
+        forget()
+        group, parts = None, []
+        for batch in batches:
+            for g, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if g != group:
+                    if parts:
+                        yield from solve(group, parts)
+                    group, parts = g, []
+                parts.append(e)
+        if parts:
+            yield from solve(group, parts)
 
     return run
 
 
-def _crossing(threshold: float):
-    """Pairs of a bucket's members in different components, sorted by key and size."""
+def _crossing(plan: Plan):
+    """Candidates of a bucket's members in different components.  Rows are sorted
+    by bucket, and those outside the bucket's commonest component come first: they
+    are held, the others pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            key, node, size, root = (batch.column(i).to_numpy() for i in range(4))
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                for i in range(lo, hi):
-                    j = np.arange(i + 1, hi)
-                    j = j[(size[i] / size[i + 1 : hi] >= threshold) & (root[i + 1 : hi] != root[i])]
-                    if len(j):
-                        yield _found(np.zeros(len(j), np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(j), np.int32))
+        forget()
+        bucket, held = None, []
+        for batch in batches:
+            keys, main, *rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            node, root, piece, check = rows[0], rows[1], rows[2].view(np.uint64), np.stack(rows[3:], axis=1).view(np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (main[1:] != main[:-1])])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[a] != bucket:
+                    bucket, held = int(keys[a]), []
+                own = [x[a:b] for x in (node, root, piece, check)]
+                if not main[a]:
+                    held = own if not held else [np.concatenate(c) for c in zip(held, own)]
+                    own = held
+                for k in range(len(held[0]) if held else 0):
+                    near = np.flatnonzero((own[1] != held[1][k]) & (np.bitwise_count(own[2] ^ held[2][k]) <= plan.radius))
+                    near = near[_apart(own[3][near], held[3][k]) <= plan.check]
+                    if len(near):
+                        other, one = own[0][near], np.full(len(near), held[0][k])
+                        yield _found(0, np.minimum(one, other), np.maximum(one, other))
 
     return run
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Links ``a``, ``b``: the pairs that are similar enough by their shingles."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, shingle: int, plan: Plan) -> DataFrame:
+    """Links ``a``, ``b``: the pairs that are similar enough by their shingles.
+
+    Pairs of sizes or whole fingerprints too far apart aren't looked up; the bits
+    of sets of less than 64 shingles vary too much to tell.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(batch.num_rows, -1) for i in (2, 4))
+            m, n = (batch.column(i).to_numpy() for i in (3, 5))
+            low, high = np.minimum(m, n), np.maximum(m, n)
+            ok = (low >= threshold * high - 1e-9) & ((low < 64) | (_apart(x, y) <= plan.far))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    pairs, _ = materialize(pairs.distinct(), "candidates")
+    own = nodes.select("node", "bits", "size")
+    both = pairs.distinct().join(own.toDF("a", "x", "m"), "a").join(own.toDF("b", "y", "n"), "b")
+    pairs, _ = materialize(both.select("a", "b", "x", "m", "y", "n").mapInArrow(near, "a long, b long"), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "pick.doc_id", "pick.text_key")
     rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["text_key"].eqNullSafe(wanted["text_key"])).select("node", "text")
     held, _ = materialize(rows.mapInArrow(sets, "node long, shingles array<long>"), "shingles")
@@ -144,25 +316,37 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: fl
 def near_copies(docs: DataFrame, *, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` (the smallest id that links reach) per row.
 
-    Texts without words are copies of one another; texts shorter than a shingle
-    have one, of all their words.
+    Null, empty and blank texts, which have no words, are copies of one another;
+    texts shorter than a shingle have one, of all their words.  Rows that repeat an
+    id are rows of their own; a null id is no candidate for the smallest, and a
+    component of null ids alone has a null ``component_id``.  An empty table gives
+    no row; other columns are ignored.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    signed, _ = materialize(_signed(rows, shingle), "signatures")
+    chosen = plan(rows.count(), threshold)
+    signed, _ = materialize(_signed(rows, shingle, chosen.words), "signatures")
     pick = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("pick")
-    nodes, _ = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("low"), pick, F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    dealt = nodes.select("node", "size", "keys").mapInArrow(_expand, "key long, node long, size int").repartition(n, "key").sortWithinPartitions("key", "size")
-    made, _ = materialize(dealt.mapInArrow(_candidates(threshold), _FOUND), "buckets")
-    links = _verified(rows, nodes, made.where("b IS NOT NULL").select("a", "b"), threshold, shingle)
+    nodes, _ = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("low"), pick, F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
+    filled = nodes.where("size > 0")  # texts without words have no near copies but themselves
+    count = filled.count()
+    groups = max(1, -(-count // _GROUP))
+    n = byte_partitions(spark, count * 28 * chosen.pieces * len(chosen.masks))
+    spread = filled.select("node", "bits").mapInArrow(_spread(chosen, groups), "group long, entries binary")
+    dealt = spread.repartitionById(n, F.pmod(F.xxhash64("group"), F.lit(n)).cast("int")).sortWithinPartitions("group")
+    made, made_path = materialize(dealt.mapInArrow(_candidates(chosen, groups), _FOUND), "buckets")
+    links = _verified(rows, nodes, made.where("b IS NOT NULL").select("a", "b"), threshold, shingle, chosen)
     roots = connected_components(links)
-    large = made.where("b IS NULL").select("key", F.col("a").alias("node"), "size")
-    if not large.isEmpty():
-        large = large.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        torn = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        rest = large.join(torn, "key").select("key", "node", "size", "root").repartition(n, "key").sortWithinPartitions("key", "size")
-        pairs = rest.mapInArrow(_crossing(threshold), _FOUND).select("a", "b")
-        roots = connected_components(links.union(_verified(rows, nodes, pairs, threshold, shingle)))
+    crowded = made.where("b IS NULL").select("bucket", F.col("a").alias("node"), "piece", "check", "also")
+    if not crowded.isEmpty():
+        crowded = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = crowded.groupBy("bucket", "root").count()
+        torn = sizes.groupBy("bucket").agg(F.max_by("root", "count").alias("commonest"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "commonest")
+        rest = crowded.join(torn, "bucket").select("bucket", (F.col("root") == F.col("commonest")).alias("main"), "node", "root", "piece", "check", "also")
+        m = shuffle_partitions(spark)
+        pairs = rest.repartition(m, "bucket").sortWithinPartitions("bucket", "main").mapInArrow(_crossing(chosen), _FOUND).select("a", "b")
+        roots = connected_components(links.union(_verified(rows, nodes, pairs, threshold, shingle, chosen)))
+    release(spark, made_path)
     rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node, _ = materialize(rooted.join(lows, "root").select("node", "component_id"), "components")
@@ -170,7 +354,9 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, shingle: int = 5, id
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """As in :mod:`simhash`, of near copies by similarity."""
+    """The rows of ``docs``, columns unchanged, whose id is the smallest of its
+    component by :func:`near_copies`.  Rows without an id are no copies of others'
+    and stay; rows that repeat an id share its fate."""
     found = near_copies(docs, id_col=id_col, **options)
     copies, _ = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
     return docs.join(copies, docs[id_col] == copies["__copy"], "left_anti")

@@ -42,10 +42,33 @@ def test_the_stage_drops_near_copies_beyond_three_bits(spark):
     assert kept == {r.doc_id for r, c in zip(rows, low) if r.doc_id == c}
 
 
-@pytest.mark.parametrize("small", [64, 3])
-def test_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(nc, "SMALL", small)
+def test_the_plan_brings_pairs_at_the_threshold_together():
+    for nodes in (1, 10**4, 10**6, 10**9, 4 * 10**10):
+        p = nc.plan(nodes, 0.8)
+        assert 2**p.width * nc.FILL**2 >= nodes**2 or p.width == 64
+        rng = random.Random(nodes)
+        seen = sum(any(sum(rng.random() < 0.1515 for _ in range(p.width)) <= p.radius for _ in range(p.pieces)) for _ in range(2000))
+        assert seen >= 1980
+
+
+def test_masks_cover_every_pair_within_the_radius_of_a_piece():
+    rng = random.Random(2)
+    p = nc.plan(100_000, 0.8)
+    for _ in range(500):
+        a = rng.getrandbits(p.width)
+        b = a
+        for i in rng.sample(range(p.width), p.radius):
+            b ^= 1 << i
+        assert any(a & m == b & m for m in p.masks)
+
+
+@pytest.mark.parametrize("few, large", [(16, 20_000), (2, 20_000), (1, 3)])
+def test_against_brute_force(spark, monkeypatch, few, large):
+    monkeypatch.setattr(nc, "FEW", few)
+    monkeypatch.setattr(nc, "LARGE", large)
     monkeypatch.setattr(nc, "PIVOTS", 2)
+    monkeypatch.setattr(nc, "_GROUP", 50)
+    monkeypatch.setattr(nc, "MISS", 1e-5)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(500)]
     texts = [None, "", " \n", "One two", "one  TWO", "one two three"]

@@ -6,8 +6,8 @@ import pytest
 import corpus_pipeline as cp
 from frameloom.llm import queries
 from tests.llm.test_decontaminate import plain as leaks
+from tests.llm.test_near_copies import plain as components
 from tests.llm.test_repeats import brute
-from tests.llm.test_simhash import closure, plain as plain_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,7 +37,7 @@ def test_quality_drops_what_the_query_rejects(spark, steps):
 def test_dedup_keeps_the_smallest_of_each_component(steps):
     before = steps[1][2]
     ids = [r.doc_id for r in before]
-    low = closure(ids, [plain_fingerprint(r.text) for r in before])
+    low = components(ids, [r.text for r in before])
     assert {r.doc_id for r in steps[2][2]} == {i for i, c in zip(ids, low) if i == c}
 
 
