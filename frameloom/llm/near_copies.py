@@ -14,10 +14,13 @@ that needs the fewest tables.
 
 Pairs that meet within the radius, and whose check bits are near too, are
 candidates.  Those whose sizes and whole fingerprints are near as well are verified
-by their shingles.  A node with many
-candidates in a bucket, such as one of a large group of near copies, is compared
-with the smallest of them first; then, of what verified links haven't connected,
-with all that could still connect something.  No bucket is cut.
+by their shingles.  A node with many candidates in a bucket, such as one of a large
+group of near copies, is compared with the first and the nearest of
+them at first.  Buckets with
+such nodes that verified links haven't all connected are then gone through with
+their nodes' shingles at hand: two nodes of different components are compared until
+nothing more can be connected there.  No bucket is cut, and what leaves a bucket
+are links that connect, not all pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_partitions, forget, materialize, release, shuffle_partitions
+from .common import byte_partitions, forget, materialize, release
 from .components import connected_components
 from .simhash import covering_masks, shingle_hashes
 from .words import mix
@@ -39,9 +42,9 @@ from .words import mix
 #: Unrelated nodes of a bucket, about, and the share of pairs at the threshold that
 #: no table brings together.
 FILL, MISS = 256, 0.005
-#: Candidates of a node in a bucket that are all verified, and how many of more are
-#: at first; buckets whose members are first compared with the smallest ones alone.
-FEW, PIVOTS, LARGE = 16, 4, 20_000
+#: Candidates of a node in a bucket that are all verified, and how many of the
+#: nearest of more are at first; buckets whose members are first compared with the smallest ones alone.
+FEW, PIVOTS, LARGE = 16, 2, 20_000
 #: Nodes of a group of buckets, about.
 _GROUP = 1 << 16
 
@@ -68,7 +71,8 @@ def _words(width: int, pieces: int) -> int:
 
 
 def _at_most(k: int, n: int, p: float) -> float:
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    return min(1.0, sum(math.exp(log(i)) for i in range(k + 1)))
 
 
 def plan(nodes: int, threshold: float) -> Plan:
@@ -217,15 +221,16 @@ def _candidates(plan: Plan, groups: int):
         crowded = (degree > FEW) | large
         both = crowded[i] & crowded[j]
         if both.any() or large.any():
-            # The smallest partners of a crowded one: pairs are in order of j for each i.
+            # Of two crowded ones' pairs, each one's first partner and its nearest.
             keep = ~both
             pair = np.flatnonzero(both)
-            for one, other in ((i, j), (j, i)):
-                rank = np.lexsort((other[pair], one[pair]))
-                o = one[pair][rank]
-                head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                place = np.arange(len(o)) - np.repeat(head, np.diff(np.concatenate([head, [len(o)]])))
-                keep[pair[rank[place < PIVOTS]]] = True
+            near = _apart(check[i[pair]], check[j[pair]])
+            for one, other in ((i[pair], j[pair]), (j[pair], i[pair])):
+                for most, rank in ((1, np.lexsort((other, one))), (PIVOTS, np.lexsort((other, near, one)))):
+                    o = one[rank]
+                    head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])[: len(o)])
+                    place = np.arange(len(o)) - np.repeat(head, np.diff(np.concatenate([head, [len(o)]])))
+                    keep[pair[rank[place < most]]] = True
             i, j = i[keep], j[keep]
             rest = np.flatnonzero(crowded)
             bucket = mix(key[rest] ^ mix(np.full(len(rest), table + 1, np.uint64))).view(np.int64)
@@ -249,35 +254,92 @@ def _candidates(plan: Plan, groups: int):
     return run
 
 
-def _crossing(plan: Plan):
-    """Candidates of a bucket's members in different components.  Rows are sorted
+class _Roots(dict):
+    """Components as far as known in a bucket."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            x = up
+        return x
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets are similar to which: exact, by one product of their incidence."""
+    words, place = np.unique(np.concatenate(left), return_inverse=True)
+    sizes = [np.asarray([len(x) for x in side]) for side in (left, right)]
+    holds = [np.zeros((len(side), len(words)), np.float32) for side in (left, right)]
+    holds[0][np.repeat(np.arange(len(left)), sizes[0]), place] = 1
+    flat, row = np.concatenate(right), np.repeat(np.arange(len(right)), sizes[1])
+    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+    known = words[at] == flat
+    holds[1][row[known], at[known]] = 1
+    both = (holds[0] @ holds[1].T).astype(np.float64)
+    return both / (sizes[0][:, None] + sizes[1] - both) >= threshold
+
+
+def _crossing(plan: Plan, threshold: float, block: int = 256):
+    """Links between a bucket's members in different components.  Rows are sorted
     by bucket, and those outside the bucket's commonest component come first: they
-    are held, the others pass by."""
+    are held with their shingles, the others pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        bucket, held = None, []
+        bucket, roots = None, _Roots()
+        held: list[tuple] = []  # node, root, piece, check bits and shingles of each
+
+        def link(rows: list[tuple], links: list[tuple[int, int]]) -> None:
+            for lo in range(0, len(held), block):
+                some = [h for h in held[lo : lo + block] if any(roots.find(h[1]) != roots.find(r) for r in {x[1] for x in rows})]
+                if not some:
+                    continue
+                piece, check = np.asarray([h[2] for h in some]), np.stack([h[3] for h in some])
+                near = np.bitwise_count(piece[:, None] ^ np.asarray([r[2] for r in rows])) <= plan.radius
+                near &= _apart(check[:, None, :], np.stack([r[3] for r in rows])) <= plan.check
+                left, right = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(left):
+                    continue
+                for i, j in np.argwhere(_similar([some[i][4] for i in left], [rows[j][4] for j in right], threshold)):
+                    one, other = some[left[i]], rows[right[j]]
+                    x, y = roots.find(one[1]), roots.find(other[1])
+                    if x != y:
+                        roots[x] = y
+                        links.append((one[0], other[0]))
+
         for batch in batches:
-            keys, main, *rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            node, root, piece, check = rows[0], rows[1], rows[2].view(np.uint64), np.stack(rows[3:], axis=1).view(np.uint64)
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (main[1:] != main[:-1])])).tolist()
+            keys, main, node, root, piece = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            piece = piece.view(np.uint64)
+            check = np.stack([batch.column(i).to_numpy() for i in (5, 6)], axis=1).view(np.uint64)
+            offsets, flat = batch.column(7).offsets.to_numpy(), batch.column(7).values.to_numpy()
+            links: list[tuple[int, int]] = []
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (main[1:] != main[:-1])])[: len(keys)]).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(keys)]):
                 if keys[a] != bucket:
-                    bucket, held = int(keys[a]), []
-                own = [x[a:b] for x in (node, root, piece, check)]
-                if not main[a]:
-                    held = own if not held else [np.concatenate(c) for c in zip(held, own)]
-                    own = held
-                for k in range(len(held[0]) if held else 0):
-                    near = np.flatnonzero((own[1] != held[1][k]) & (np.bitwise_count(own[2] ^ held[2][k]) <= plan.radius))
-                    near = near[_apart(own[3][near], held[3][k]) <= plan.check]
-                    if len(near):
-                        other, one = own[0][near], np.full(len(near), held[0][k])
-                        yield _found(0, np.minimum(one, other), np.maximum(one, other))
+                    bucket, held, roots = int(keys[a]), [], _Roots()
+                for lo in range(a, b, block):
+                    rows = [(int(node[i]), int(root[i]), piece[i], check[i], flat[offsets[i] : offsets[i + 1]].copy()) for i in range(lo, min(b, lo + block))]
+                    if not main[a]:
+                        held += rows
+                    link(rows, links)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     return run
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``node`` and ``shingles`` of the nodes that ``wanted`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    picked = wanted.distinct().join(nodes, "node").select("node", "pick.doc_id", "pick.text_key")
+    rows = docs.join(picked, docs["doc_id"].eqNullSafe(picked["doc_id"]) & docs["text_key"].eqNullSafe(picked["text_key"])).select("node", "text")
+    # Rows that repeat id and text have one set.
+    return materialize(rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")[0]
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, shingle: int, plan: Plan) -> DataFrame:
     """Links ``a``, ``b``: the pairs that are similar enough by their shingles.
 
@@ -295,17 +357,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: fl
             ok = (low >= threshold * high - 1e-9) & ((low < 64) | (_apart(x, y) <= plan.far))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
-
     own = nodes.select("node", "bits", "size")
     both = pairs.distinct().join(own.toDF("a", "x", "m"), "a").join(own.toDF("b", "y", "n"), "b")
     pairs, _ = materialize(both.select("a", "b", "x", "m", "y", "n").mapInArrow(near, "a long, b long"), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "pick.doc_id", "pick.text_key")
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["text_key"].eqNullSafe(wanted["text_key"])).select("node", "text")
-    held, _ = materialize(rows.mapInArrow(sets, "node long, shingles array<long>"), "shingles")
+    held = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle)
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -343,9 +398,10 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, shingle: int = 5, id
         sizes = crowded.groupBy("bucket", "root").count()
         torn = sizes.groupBy("bucket").agg(F.max_by("root", "count").alias("commonest"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "commonest")
         rest = crowded.join(torn, "bucket").select("bucket", (F.col("root") == F.col("commonest")).alias("main"), "node", "root", "piece", "check", "also")
-        m = shuffle_partitions(spark)
-        pairs = rest.repartition(m, "bucket").sortWithinPartitions("bucket", "main").mapInArrow(_crossing(chosen), _FOUND).select("a", "b")
-        roots = connected_components(links.union(_verified(rows, nodes, pairs, threshold, shingle, chosen)))
+        rest = rest.join(_sets(rows, nodes, rest.select("node"), shingle), "node").select("bucket", "main", "node", "root", "piece", "check", "also", "shingles")
+        ordered = rest.repartition(n, "bucket").sortWithinPartitions("bucket", "main")
+        more, _ = materialize(ordered.mapInArrow(_crossing(chosen, threshold), "a long, b long"), "crossing-links")
+        roots = connected_components(links.union(more))
     release(spark, made_path)
     rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
