@@ -7,35 +7,62 @@ word frequencies.  Else its longest n-grams are tried: the word's score is the
 mean over those that any language knows; if none is known, n-grams one
 character shorter are tried, and so on.  A language that lacks what is scored
 pays a fixed penalty.  A text's score is the mean over its words.
+
+Words are runs of letters (Unicode's categories L*), with the combining marks (M*)
+that follow them; numbers that look like letters are none.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kept, materialize, release
 
 #: Documents of each language that a model is fitted on, about: those whose
-#: hashed ids are below the share that this makes of them.
+#: hashed ids are below the share that this makes of them.  Every word and n-gram
+#: of theirs is kept, so a model's size is bounded by languages x documents.
 FIT_DOCUMENTS = 4000
-#: Words and n-grams of each length that a model keeps for a language, at most.
-KEPT = 40_000
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker remembers, at most.
 _MEMORY = 300_000
 
 
+@cache
+def _odd() -> re.Pattern:
+    """Characters that ``_LETTERS`` takes for letters but aren't, and marks."""
+    odd, ranges = (i for i in range(128, sys.maxunicode + 1) if (c := unicodedata.category(chr(i)))[0] == "M" or c in ("Nl", "No")), []
+    for i in odd:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
+
+
+@cache
+def _any_letters():
+    import regex
+
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower())
+    """Lower-cased runs of letters and their marks."""
+    text = text.lower()
+    return (_LETTERS if text.isascii() or not _odd().search(text) else _any_letters()).findall(text)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -45,20 +72,36 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Languages:
+    """``grams`` and ``rows``: words, then n-grams of 1 to ``longest``, and their log
+    frequencies by language."""
+
     names: list[str]
     longest: int
     penalty: float
-    tables: list[dict[str, np.ndarray]]  # words, then n-grams of 1 to longest: log frequencies
+    grams: list[pa.Array]
+    rows: list[np.ndarray]
+
+    def __getstate__(self):
+        return (self.names, self.longest, self.penalty, self.grams, self.rows)
+
+    def __setstate__(self, state):
+        self.names, self.longest, self.penalty, self.grams, self.rows = state
+
+    @property
+    def tables(self) -> list[dict[str, int]]:
+        if not hasattr(self, "_tables"):
+            self._tables = [dict(zip(g.to_pylist(), range(len(g)))) for g in self.grams]
+        return self._tables
 
     def word(self, word: str) -> np.ndarray:
         found = self.tables[0].get(word)
         if found is not None:
-            return found
+            return self.rows[0][found]
         for n in range(self.longest, 0, -1):
             table = self.tables[n]
-            known = [table[g] for g in grams_of(word, n) if g in table]
+            known = [at for g in grams_of(word, n) if (at := table.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.rows[n][known].mean(axis=0)
         return np.full(len(self.names), self.penalty)
 
 
@@ -114,8 +157,6 @@ def _counts(longest: int):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for word, times in Counter(words_of(text or "")).items():
-                    if len(word) > 40:  # no word of a language; its n-grams say little
-                        continue
                     found[lang, 0, word] += times
                     for n in range(1, longest + 1):
                         for g in grams_of(word, n):
@@ -128,39 +169,34 @@ def _counts(longest: int):
     return run
 
 
-def fit_languages(docs: DataFrame, *, where: Column | None = None, longest: int = 5, fit_documents: int = FIT_DOCUMENTS, kept: int = KEPT, penalty: float = -14.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
+def fit_languages(docs: DataFrame, *, where: Column | None = None, longest: int = 5, fit_documents: int = FIT_DOCUMENTS, penalty: float = -14.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """A model of the non-null ``lang_col`` of the rows that pass ``where``.
 
-    Rows with a null text or id teach nothing.  Without any row the model has no
-    language.  What reaches the driver is bounded: languages x (longest + 1) x
-    ``kept`` counts.
+    Rows with a null text or id, and texts without a letter, teach nothing.  Rows
+    that repeat an id are taken or left together.  Without any row the model has no
+    language.  The counts of ``fit_documents`` documents a language reach the driver.
     """
     rows = docs if where is None else docs.where(where)
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}
-    if not sizes:
-        return Languages([], longest, penalty, [{} for _ in range(longest + 1)])
+    rows = rows.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     # A language's rows are chosen by a hash of their ids against its own share.
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, fit_documents / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < share * (1 << 20))
-    counted = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counts(longest), "lang string, kind int, gram string, n long")
-    counts, _ = materialize(counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "gram-counts")
-    totals = {(r.lang, r.kind): r.t for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("t")).collect()}
-    names = sorted(sizes)
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
-    for i, lang in enumerate(names):
-        for kind in range(longest + 1):
-            if (lang, kind) not in totals:
-                continue
-            top = counts.where((F.col("lang") == lang) & (F.col("kind") == kind)).orderBy(F.desc("n"), "gram").select("gram", "n").limit(kept).toArrow()
-            for gram, n in zip(top.column(0).to_pylist(), top.column(1).to_pylist()):
-                row = tables[kind].get(gram)
-                if row is None:
-                    row = tables[kind][gram] = np.full(len(names), penalty, np.float32)
-                row[i] = np.log(n / totals[lang, kind])
-    return Languages(names, longest, penalty, tables)
+    shares = rows.groupBy("lang").agg((F.lit(fit_documents * (1 << 20)) / F.count("*")).alias("share"))
+    chosen = rows.join(shares, "lang").where(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < F.col("share"))
+    counted = chosen.select("lang", "text").mapInArrow(_counts(longest), "lang string, kind int, gram string, n long")
+    counts, path = materialize(counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "gram-counts")
+    found = counts.toArrow().combine_chunks()
+    release(docs.sparkSession, path)
+    names = sorted(found["lang"].unique().to_pylist())
+    grams, tables = [], []
+    for kind in range(longest + 1):
+        own = found.filter(pc.equal(found["kind"], kind)).combine_chunks()
+        gram = own["gram"].combine_chunks().dictionary_encode() if own.num_rows else pa.array([], pa.string()).dictionary_encode()
+        lang = pc.index_in(own["lang"], pa.array(names, pa.string())).to_numpy().astype(np.int64) if own.num_rows else np.zeros(0, np.int64)
+        n = own["n"].to_numpy().astype(np.float64)
+        total = np.bincount(lang, n, len(names))
+        table = np.full((len(gram.dictionary), len(names)), penalty, np.float32)
+        table[gram.indices.to_numpy(), lang] = np.log(n / total[lang])
+        grams.append(gram.dictionary), tables.append(table)
+    return Languages(names, longest, penalty, grams, tables)
 
 
 def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,10 +206,10 @@ def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_
     treated alike; an empty table gives no row; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # its size is bounded by ``kept``
+    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by FIT_DOCUMENTS for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shared.value)
+        predictor = kept((Predictor, key), lambda: Predictor(shared.value))
         for batch in batches:
             found = [predictor.of(x.as_py()) for x in batch.column(1)]
             lang, score = zip(*found) if found else ((), ())

@@ -1,14 +1,16 @@
+import functools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from frameloom.llm import langid, queries
 from frameloom.llm.boosting import fit
-from frameloom.llm.langid import Languages, Predictor, fit_languages, grams_of, identify, words_of
+from frameloom.llm.langid import Predictor, fit_languages, identify, words_of
 from frameloom.llm.quality import fit_quality, keep_quality, score_quality
 from frameloom.llm.textstats import NAMES, Statistics
 
@@ -81,15 +83,63 @@ def test_language_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
-def plain_score(model: Languages, word: str):
-    table = model.tables[0]
-    if word in table:
-        return table[word]
-    for n in range(model.longest, 0, -1):
-        known = [model.tables[n][g] for g in grams_of(word, n) if g in model.tables[n]]
-        if known:
-            return sum(known) / len(known)
-    return [model.penalty] * len(model.names)
+def plain_languages(rows, longest=5, penalty=-14.0):
+    """Predictions of (text) -> (language, score), from (text, lang) rows; written
+    from the rules alone."""
+    letters = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+    split = lambda text: letters.findall((text or "").lower())
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for w in split(text):
+            counts[0, lang][w] += 1
+            for n in range(1, longest + 1):
+                counts[n, lang].update(grams(w, n))
+    names = sorted({lang for _, lang in counts})
+    totals = {key: sum(c.values()) for key, c in counts.items()}
+
+    def logs(n, gram):
+        found = [counts[n, x][gram] for x in names]
+        return [math.log(f / totals[n, x]) if f else penalty for f, x in zip(found, names)] if any(found) else None
+
+    @functools.cache
+    def word(w):
+        if own := logs(0, w):
+            return own
+        for n in range(longest, 0, -1):
+            if known := [x for g in grams(w, n) if (x := logs(n, g))]:
+                return [sum(c) / len(known) for c in zip(*known)]
+        return [penalty] * len(names)
+
+    def predict(text):
+        words = split(text)
+        if not words or not names:
+            return "und", 0.0
+        total = [math.fsum(c) for c in zip(*map(word, words))]
+        best = max(total)
+        weights = [math.exp(max(-50.0, (t - best) / math.sqrt(len(words)))) for t in total]
+        return names[total.index(best)], 1 / sum(weights)
+
+    return predict
+
+
+def test_language_query_against_a_plain_version(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    predict = plain_languages([(r.text, r.lang) for k, r in docs.items() if fold(k) != 2 and r.lang])
+    got = queries.op4_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        lang, score = predict(docs[r.doc_id].text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3) and r.held_out == (fold(r.doc_id) == 2)
+
+
+def test_letters(spark):
+    assert words_of("Ⅷ ½ x² ③ 12_a") == ["x", "a"] and words_of("e\u0301te\u0301 naïve") == ["e\u0301te\u0301", "naïve"]
+    docs = spark.createDataFrame([(1, "one " + "a" * 50, "en"), (2, "½ ² ③ Ⅷ", "en")], "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    assert "a" * 50 in model.tables[0]
+    assert {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, model).collect()}[2] == ("und", 0.0)
 
 
 def test_language_backoff_and_edge_cases(spark, monkeypatch):
@@ -100,13 +150,12 @@ def test_language_backoff_and_edge_cases(spark, monkeypatch):
     )
     model = fit_languages(docs)
     assert model.names == ["en", "fr"]
-    assert model.tables[0]["the"][0] == pytest.approx(math.log(2 / 5))
+    assert model.rows[0][model.tables[0]["the"]][0] == pytest.approx(math.log(2 / 5))
     got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
     assert got[1] == "en" and got[2] == "fr" and got[8] == "fr" and got[5] == got[6] == got[7] == "und"
-    predictor = Predictor(model)
+    predictor, plain = Predictor(model), plain_languages([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("Chats! " * 30_000, "fr")])
     for text in ("the chats qqq", "theology", "zzz", "chatte dogs"):
-        total = np.sum([plain_score(model, w) for w in words_of(text)], axis=0)
-        assert predictor.of(text)[0] == model.names[int(np.argmax(total))]
+        assert predictor.of(text) == (plain(text)[0], pytest.approx(plain(text)[1], abs=1e-4))
     assert identify(docs.limit(0), model).count() == 0
     none = fit_languages(docs.limit(0))
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
