@@ -4,11 +4,14 @@ Items are the indexed documents and passages of training texts the queries.  An
 item's BM25 weights are divided by their sum, the score of a passage with all of
 its words, so that scores lie in 0 to 1 whatever an item's length.
 
-The index has blocks of ``BLOCK`` items.  A term has a row of weights for each
-block that it occurs in, and the row's largest weight.  As in block-max WAND, a
-block's bound for a query is the sum of its terms' largest weights, and only
-blocks whose bound reaches the threshold are scored, so all items at or above it
-are found.  Bounds and scores of many passages are computed at once.
+The index has blocks of ``BLOCK`` items.  A term's posting list has a row of weights
+for each block that it occurs in, and the row's largest weight.  The search is
+block-max WAND: a passage has a cursor in each of its terms' lists.  In the order of
+the cursors' blocks, the sum of the lists' largest weights first reaches the
+threshold at the pivot; no block before the pivot's can hold an item at or above the
+threshold, so cursors skip to it.  There the sum of the rows' largest weights
+decides whether the block is scored or passed over.  A passage ends when no pivot is
+left.  Many passages take each step together.
 
 Passages overlap by half and are twice as long as the longest item with room
 for insertions, so no occurrence is torn apart.  What the search returns is then
@@ -22,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ SHARD_CHARS = 16_000_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!:])\s+")
 _CHUNK = 1_000_000
+#: Passages that search together.
+_TOGETHER = 512
 
 
 def words_of(text: str | None) -> list[str]:
@@ -114,24 +120,59 @@ class Index:
 
     def search(self, passage: np.ndarray, term: np.ndarray, n_passages: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Passages, items and scores of all pairs that reach ``threshold``;
-        ``passage`` and ``term`` are the distinct terms of each passage."""
-        blocks = (len(self.items) + BLOCK - 1) // BLOCK
-        times = self.first[term + 1] - self.first[term]
-        ends = np.cumsum(times)
-        row = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[term] - (ends - times), times)
-        pair = np.repeat(passage, times) * blocks + self.block[row]
-        bound = np.bincount(pair, self.most[row], n_passages * blocks)
-        open_ = bound[pair] >= threshold - 1e-4
-        pair, row = pair[open_], row[open_]
-        if not len(pair):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(pair, kind="stable")
-        pair, row = pair[order], row[order]
-        head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        scores = np.add.reduceat(self.weights[row], head, axis=0)
-        at, slot = np.nonzero(scores >= threshold - 1e-6)
-        where = pair[head][at]
-        return where // blocks, where % blocks * BLOCK + slot, scores[at, slot]
+        ``passage`` (sorted) and ``term`` are the distinct terms of each passage."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for lo in range(0, n_passages, _TOGETHER):
+            a, b = np.searchsorted(passage, [lo, lo + _TOGETHER])
+            found += [(p + lo, i, s) for p, i, s in self._wand(passage[a:b] - lo, term[a:b], min(_TOGETHER, n_passages - lo), threshold)]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _wand(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        slack = 1e-4  # sums of single precision
+        counts = np.bincount(passage, minlength=n)
+        wide, end = int(counts.max(initial=0)), int(self.block.max(initial=-1)) + 1
+        place = np.arange(len(passage)) - np.repeat(np.cumsum(counts) - counts, counts)
+        list_of, at, most = np.full((n, wide), -1, np.int64), np.zeros((n, wide), np.int64), np.zeros((n, wide), np.float32)
+        list_of[passage, place], at[passage, place], most[passage, place] = term, self.first[term], self._list_most[term]
+        here = np.full((n, wide), end, np.int64)  # a cursor's block; ``end`` where its list has ended
+        here[passage, place] = self.block[self.first[term]]
+        rows = np.arange(n)
+        while len(rows):
+            order = np.argsort(here, axis=1)
+            total = np.cumsum(np.take_along_axis(np.where(here < end, most, 0), order, axis=1), axis=1)
+            left = total[:, -1] >= threshold - slack if wide else np.zeros(len(rows), bool)
+            rows, list_of, at, most, here, order, total = (x[left] for x in (rows, list_of, at, most, here, order, total))
+            if not len(rows):
+                return
+            pivot = np.argmax(total >= threshold - slack, axis=1)
+            to = np.take_along_axis(here, np.take_along_axis(order, pivot[:, None], axis=1), axis=1)
+            behind = here < to  # these skip to the pivot's block or beyond
+            lists, goal = list_of[behind], np.broadcast_to(to, here.shape)[behind]
+            self._move(at, here, behind, np.searchsorted(self._places, lists * end + goal), lists, end)
+            there = here == to
+            bound = np.where(there, self.most[np.minimum(at, len(self.most) - 1)], 0).sum(axis=1)
+            r, c = np.nonzero(there & (bound >= threshold - slack)[:, None])
+            if len(r):
+                head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                scores = np.add.reduceat(self.weights[at[r, c]], head, axis=0)
+                k, slot = np.nonzero(scores >= threshold - 1e-6)
+                yield rows[r[head[k]]], to[r[head[k]], 0] * BLOCK + slot, scores[k, slot].astype(np.float64)
+            self._move(at, here, there, at[there] + 1, list_of[there], end)
+
+    def _move(self, at: np.ndarray, here: np.ndarray, which: np.ndarray, to: np.ndarray, lists: np.ndarray, end: int) -> None:
+        """Cursors go on to the rows ``to``, or end with their lists."""
+        at[which] = to
+        here[which] = np.where(to < self.first[lists + 1], self.block[np.minimum(to, len(self.block) - 1)], end)
+
+    @cached_property
+    def _list_most(self) -> np.ndarray:
+        return np.maximum.reduceat(self.most, self.first[:-1])
+
+    @cached_property
+    def _places(self) -> np.ndarray:
+        """List and block of each row as one rising number."""
+        lists = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
+        return lists * (int(self.block.max(initial=-1)) + 1) + self.block
 
 
 def build_indexes(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
@@ -265,7 +306,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, overlap: float = 0.8, shingle: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that :func:`find_leaks` clears."""
+    """The rows of ``docs``, columns unchanged, that :func:`find_leaks` clears.
+
+    Null and empty texts and rows with null ids stay if nothing leaks into them;
+    rows that repeat stay or go together; an empty benchmark clears all, and an
+    empty table stays empty.
+    """
     at = docs.columns.index(text_col)
     for index in build_indexes(benchmark, id_col=item_col, text_col=item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
