@@ -2,15 +2,18 @@
 
 A text's pre-tokens are its runs between white space, each with U+2581 in front.
 A pre-token's segmentation is the one with the best sum of piece scores (of
-equal sums, the one with fewer pieces).  The distinct pre-tokens of some texts
-go through a trie in order: the forward scores of a prefix are computed when it
-is first met and serve all pre-tokens below it; a terminal stores its count of
-pieces.  A character that no piece covers costs one token for each UTF-8 byte.
+equal sums, the one with fewer pieces).  A worker inserts the distinct pre-tokens
+of all texts that it sees into one trie.  A node has the forward score of its prefix
+and how many pieces that takes, computed when the node is made from the nodes above
+it, so that a prefix is scored once for all pre-tokens below it; where a pre-token
+ends, the node's count is the pre-token's.  A character that no piece covers costs
+one token for each UTF-8 byte.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import kept, text_slices
 
-#: Pre-tokens whose counts a worker remembers, and the longest of them.
-_MEMORY, _LONGEST = 400_000, 64
+#: Nodes of a worker's trie, about, and how deep it is: a longer pre-token goes on
+#: from there without nodes.
+_NODES, _DEPTH = 1_000_000, 64
 _CHUNK = 2_000_000
 SPACE = "▁"
 
@@ -44,61 +48,72 @@ def unigram_scores(path: str) -> dict[str, float]:
     return dict(zip(map(model.id_to_piece, plain), scores))
 
 
-class Counter:
-    """Counts of pieces of pre-tokens, remembered for a while."""
+class Trie:
+    """Prefixes of pre-tokens with their forward scores and counts of pieces."""
 
     def __init__(self, scores: dict[str, float]):
         self._scores = scores
         self._longest = max(map(len, scores), default=1)
         self._unknown = min(scores.values(), default=0.0) - 10.0
-        self.counts: dict[str, int] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Counts of distinct pre-tokens, by one walk over their trie.
-
-        Sorted order is a depth-first walk: what the last pre-token shares with
-        the next one is the path from the root to where they part.
-        """
-        scores, longest, unknown = self._scores, self._longest, self._unknown
-        best, pieces = [0.0], [0]  # by depth on the current path
-        path = ""
-        for word in sorted(words):
-            token = SPACE + word
-            keep = 0
-            limit = min(len(path), len(token))
-            while keep < limit and path[keep] == token[keep]:
-                keep += 1
-            del best[keep + 1 :], pieces[keep + 1 :]
-            for end in range(keep + 1, len(token) + 1):
-                size = len(token[end - 1].encode("utf-8", "surrogatepass"))
-                top, count = best[end - 1] + unknown * size, pieces[end - 1] + size
+        self._clear()
+
+    def _clear(self) -> None:
+        self._child: dict[int, int] = {}  # by node and character
+        self._score, self._pieces = array("d", [0.0]), array("q", [0])  # by node; the root is 0
+        self._ends: dict[str, int] = {}  # the node where a pre-token ends
+
+    def __len__(self) -> int:
+        return len(self._score)
+
+    def insert(self, word: str) -> int:
+        """The node where ``word`` ends, made with all above it where it is new."""
+        token, node = SPACE + word, 0
+        child, scores, longest = self._child, self._scores, self._longest
+        score, pieces = [0.0], [0]  # along the path
+        for end, char in enumerate(token, 1):
+            edge = node << 21 | ord(char)
+            known = child.get(edge, -1) if end <= _DEPTH else -1
+            if known < 0:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                top, count = score[-1] + self._unknown * size, pieces[-1] + size
                 for start in range(max(0, end - longest), end):
-                    score = scores.get(token[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and pieces[start] + 1 < count:
-                            top, count = score, pieces[start] + 1
-                best.append(top)
+                    own = scores.get(token[start:end])
+                    if own is not None:
+                        own += score[start]
+                        if own > top or own == top and pieces[start] + 1 < count:
+                            top, count = own, pieces[start] + 1
+                score.append(top)
                 pieces.append(count)
-            path = token
-            self.counts[word] = pieces[-1]
+                if end <= _DEPTH or end == len(token):
+                    known = len(self._score)
+                    self._score.append(top)
+                    self._pieces.append(count)
+                    if end <= _DEPTH:
+                        child[edge] = known
+            else:
+                score.append(self._score[known])
+                pieces.append(self._pieces[known])
+            node = known
+        return node
 
     def of(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """Pre-tokens and tokens of each text."""
         split = [(t or "").split() for t in texts]
-        if len(self.counts) > _MEMORY:
-            self.counts.clear()
-        new = {w for words in split for w in words} - self.counts.keys()
-        self.learn(new)
-        out = [(len(words), sum(map(self.counts.__getitem__, words))) for words in split]
+        if len(self) > _NODES:
+            self._clear()
+        ends = self._ends
+        new = {w for words in split for w in words} - ends.keys()
         for w in new:
-            if len(w) > _LONGEST:
-                del self.counts[w]
+            ends[w] = self.insert(w)
+        out = [(len(words), sum(map(self._pieces.__getitem__, map(ends.__getitem__, words)))) for words in split]
+        for w in new:
+            if len(w) >= _DEPTH:
+                del ends[w]
         return out
 
 
-def _worker_counter(path: str) -> Counter:
-    return kept((Counter, path), lambda: Counter(unigram_scores(path)))
+def _worker_trie(path: str) -> Trie:
+    return kept((Trie, path), lambda: Trie(unigram_scores(path)))
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,11 +124,11 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _worker_counter(model_path)
+        trie = _worker_trie(model_path)
         for batch in batches:
             found = []
             for texts in text_slices(batch.column(1), _CHUNK):
-                found += counter.of(texts)
+                found += trie.of(texts)
             words, tokens = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 

@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 
 from frameloom.llm import token_counts
-from frameloom.llm.token_counts import SPACE, Counter, count_tokens, unigram_scores
+from frameloom.llm.token_counts import SPACE, Trie, count_tokens, unigram_scores
 
 
 def plain(scores, word):
@@ -22,13 +22,31 @@ def test_shared_scores_equal_scores_from_scratch():
     rng = random.Random(2)
     scores = {SPACE: -3.0, "a": -2.0, "b": -2.0, "ab": -3.0, SPACE + "ab": -4.0, "abab": -5.0, "ba": -3.5, "é": -6.0, "bb": -4.0}
     words = {"".join(rng.choices("abcé你", k=rng.randint(1, 12))) for _ in range(500)}
-    counter = Counter(scores)
-    counter.learn(words)
-    assert counter.counts == {w: plain(scores, w) for w in words}
+    trie = Trie(scores)
+    assert {w: trie._pieces[trie.insert(w)] for w in words} == {w: plain(scores, w) for w in words}
+    assert len(trie) == 1 + len({(SPACE + w)[:i] for w in words for i in range(1, len(w) + 2)})  # a node for each prefix
+    size = len(trie)
+    assert trie.of([" ".join(words)] * 2) == [(len(words), sum(plain(scores, w) for w in words))] * 2 and len(trie) == size
+    long = "".join(rng.choices("ab", k=500))
+    assert trie.of([f"{long} a", f"{long}b"]) == [(2, plain(scores, long) + plain(scores, "a")), (1, plain(scores, long + "b"))]
+    assert len(trie) < size + 200 and long not in trie._ends
+
+
+def test_query_on_a_whole_table(spark):
+    from frameloom.llm import queries
+
+    scores = unigram_scores(str(public_tokenizers.path("piece_bpe_32k.model")))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    counts = {w: plain(scores, w) for t in docs.values() for w in t.split() if len(w) < 40}
+    rows = queries.op6_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs) and all(r.n_pretokens == len(docs[r.doc_id].split()) for r in rows)
+    for r in rows:
+        if all(w in counts for w in docs[r.doc_id].split()):
+            assert r.n_tokens == sum(counts[w] for w in docs[r.doc_id].split())
 
 
 def test_documents(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "_MEMORY", 20)
+    monkeypatch.setattr(token_counts, "_NODES", 20)
     monkeypatch.setattr(token_counts, "_CHUNK", 50)
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
     scores = unigram_scores(path)
