@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ _SENTENCE = re.compile(r"(?<=[.?!:])\s+")
 _CHUNK = 1_000_000
 #: Passages that search together.
 _TOGETHER = 512
+#: Pairs of passage and term that are marked one by one, at most; more are sorted.
+_MARKS = 1 << 25
 
 
 def words_of(text: str | None) -> list[str]:
@@ -138,14 +141,13 @@ class Index:
         here[passage, place] = self.block[self.first[term]]
         rows = np.arange(n)
         while len(rows):
-            order = np.argsort(here, axis=1)
-            total = np.cumsum(np.take_along_axis(np.where(here < end, most, 0), order, axis=1), axis=1)
-            left = total[:, -1] >= threshold - slack if wide else np.zeros(len(rows), bool)
-            rows, list_of, at, most, here, order, total = (x[left] for x in (rows, list_of, at, most, here, order, total))
+            to, most_left = self._pivots(here, most, end, threshold - slack)
+            left = most_left >= threshold - slack
+            if not left.all():
+                rows, list_of, at, most, here, to = (x[left] for x in (rows, list_of, at, most, here, to))
             if not len(rows):
                 return
-            pivot = np.argmax(total >= threshold - slack, axis=1)
-            to = np.take_along_axis(here, np.take_along_axis(order, pivot[:, None], axis=1), axis=1)
+            to = to[:, None]
             behind = here < to  # these skip to the pivot's block or beyond
             lists, goal = list_of[behind], np.broadcast_to(to, here.shape)[behind]
             self._move(at, here, behind, np.searchsorted(self._places, lists * end + goal), lists, end)
@@ -159,6 +161,20 @@ class Index:
                 yield rows[r[head[k]]], to[r[head[k]], 0] * BLOCK + slot, scores[k, slot].astype(np.float64)
             self._move(at, here, there, at[there] + 1, list_of[there], end)
 
+    @staticmethod
+    def _pivots(here: np.ndarray, most: np.ndarray, end: int, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the largest weights of the lists, by their cursors' blocks, add up to
+        enough, and what all that haven't ended add up to."""
+        n, wide = here.shape
+        if end <= 4 * wide:  # by block, else by cursor
+            at = here + np.arange(n)[:, None] * (end + 1)
+            total = np.cumsum(np.bincount(at.ravel(), most.ravel(), n * (end + 1)).reshape(n, end + 1)[:, :end], axis=1)
+            return np.argmax(total >= enough, axis=1), total[:, -1] if end else np.zeros(n)
+        order = np.argsort(here, axis=1)
+        total = np.cumsum(np.take_along_axis(np.where(here < end, most, 0), order, axis=1), axis=1, dtype=np.float64)
+        pivot = np.argmax(total >= enough, axis=1)
+        return here[np.arange(n), order[np.arange(n), pivot]], total[:, -1] if wide else np.zeros(n)
+
     def _move(self, at: np.ndarray, here: np.ndarray, which: np.ndarray, to: np.ndarray, lists: np.ndarray, end: int) -> None:
         """Cursors go on to the rows ``to``, or end with their lists."""
         at[which] = to
@@ -215,6 +231,15 @@ def build_indexes(benchmark: DataFrame, *, id_col: str = "item_id", text_col: st
     return out
 
 
+def _distinct(values: np.ndarray, below: int) -> np.ndarray:
+    """The distinct values, sorted; all are under ``below``."""
+    if below > _MARKS:
+        return np.unique(values)
+    marks = np.zeros(below, bool)
+    marks[values] = True
+    return np.flatnonzero(marks)
+
+
 class Detector:
     """Verified leaks of one index in texts."""
 
@@ -241,7 +266,7 @@ class Detector:
         sizes = np.asarray([len(w) for w in words])
         passages = np.maximum(1, -(-sizes // stride) - (sizes > stride))
         base = np.cumsum(passages) - passages
-        term = np.fromiter((known(w, -1) for ws in words for w in ws), np.int64, int(sizes.sum()))
+        term = np.fromiter(map(known, chain.from_iterable(words), repeat(-1)), np.int64, int(sizes.sum()))
         text = np.repeat(np.arange(len(texts)), sizes)
         place = (np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // stride
         hit = term >= 0
@@ -253,7 +278,7 @@ class Detector:
             j = place - back
             ok = (j >= 0) & (j < passages[text])
             keys.append((base[text[ok]] + j[ok]) * n_terms + term[ok])
-        key = np.unique(np.concatenate(keys))
+        key = _distinct(np.concatenate(keys), total * n_terms)
         best: dict[tuple[int, int], tuple] = {}
         cache: tuple[int, list[str]] = (-1, [])
         for p, i, score in zip(*(x.tolist() for x in index.search(key // n_terms, key % n_terms, total, self._threshold))):
