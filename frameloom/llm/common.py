@@ -6,6 +6,8 @@ re-read and never an answer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,14 +86,25 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks: one thing at a time, so that the
     caches of one operator don't add to the next one's."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def forget() -> None:
     """Drops what an operator before has kept in this worker."""
     _KEPT.clear()
+    trim()
 
 
 def text_slices(texts: pa.Array, most: int) -> Iterator[list[str | None]]:

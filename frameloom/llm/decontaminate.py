@@ -131,6 +131,8 @@ class Index:
         return tuple(np.concatenate(c) for c in zip(*found))
 
     def _wand(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not len(passage):
+            return
         slack = 1e-4  # sums of single precision
         counts = np.bincount(passage, minlength=n)
         wide, end = int(counts.max(initial=0)), int(self.block.max(initial=-1)) + 1

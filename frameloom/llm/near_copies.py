@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_partitions, forget, materialize, release
+from .common import byte_partitions, forget, materialize, release, trim
 from .components import connected_components
 from .simhash import covering_masks, shingle_hashes
 from .words import mix
@@ -188,7 +188,7 @@ def _bucket_pairs(plan: Plan, edges: np.ndarray, piece: np.ndarray, check: np.nd
     for s in np.unique(sizes[(sizes > 1) & (sizes <= 1024)]).tolist():  # all buckets of one size at a time
         start = edges[:-1][sizes == s]
         i, j = np.triu_indices(s, 1)
-        step = max(1, (1 << 20) // len(i))
+        step = max(1, (1 << 18) // len(i))
         for at in range(0, len(start), step):
             own = start[at : at + step, None]
             keep((own + i).ravel(), (own + j).ravel())
@@ -250,6 +250,7 @@ def _candidates(plan: Plan, groups: int):
                 parts.append(e)
         if parts:
             yield from solve(group, parts)
+        trim()
 
     return run
 

@@ -40,19 +40,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_partitions, forget, materialize
+from .common import byte_partitions, forget, materialize, trim
 from .words import BASE, WORD_BASE, Powers, mix, ranges
 
 #: Bytes of text that are hashed at a time, and whose runs are packed at a time.
-_CHUNK, _SETTLE = 1 << 20, 4 << 20
+_CHUNK, _SETTLE = 1 << 20, 3 << 20
 #: Bytes of text in a group's runs, about.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Distinct runs below a prefix that make it longer, at least, and the share of
 #: all runs that does so in large corpora: five million long prefixes at most.
 LONG_RUNS, LONG_SHARE = 30_000, 2e-7
 #: Distinct runs that a task remembers to merge equal ones before the shuffle,
 #: and the longest of them, in bytes.
-_MEMORY, _LONGEST = 100_000, 2048
+_MEMORY, _LONGEST = 60_000, 1024
 
 _NULL_ID = -(1 << 63)
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -283,6 +283,8 @@ def _grouped_runs(planner: Planner, bits: int):
                     yield settle()
                     size = 0
             yield settle()
+        seen.clear()
+        trim()
 
     return run
 
@@ -403,6 +405,7 @@ def _subtrees(window: int):
             made += _repeats_of(window, runs, words)
         if made:
             yield pa.RecordBatch.from_arrays(_as_batch(made).columns[3:], names=["doc", "twin", "spans"])
+        trim()
 
     return run
 
