@@ -220,11 +220,12 @@ def _bucket_lists(dims: int, k: int):
     return run
 
 
-def _local_join(dims: int, k: int, most: int, block: int = 256):
+def _local_join(dims: int, k: int, most: int, turn: int, block: int = 256):
     """Compares what gathers at a node; rows are sorted by it.
 
-    Up to ``k`` of the neighbours and ``k`` of those that list the node take
-    part in a round, by hash; two old ones have met before.
+    Up to ``2 k`` of the neighbours and of those that list the node take part in a
+    round, new ones first, by a hash that changes with the round; two old ones have
+    mostly met before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def _local_join(dims: int, k: int, most: int, block: int = 256):
             # A member that is listed both ways counts once.
             order = np.lexsort((-fresh, ids, at))
             single = order[np.concatenate([[True], (at[order][1:] != at[order][:-1]) | (ids[order][1:] != ids[order][:-1])])]
-            mixed = (ids[single].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            mixed = ((ids[single].astype(np.uint64) ^ np.uint64(turn << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
             single = single[np.lexsort((mixed, -fresh[single], at[single]))]
             place = _rank(at[single])
             single, place = single[place < 2 * k], place[place < 2 * k]
@@ -313,9 +314,13 @@ _SPREAD = "member long, kind int, at long, point binary, cut float, fresh int"
 _MEMBER = "at long, member long, point binary, cut float, fresh int"
 
 
-def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
+def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 30, settled: float = 0.01, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
     """The neighbour graph of all vectors that take part.
 
+    Rounds end when no more than the share ``settled`` of the lists' entries is new
+    (or after ``rounds``).  Rows that repeat an id with another vector are
+    candidates of their own; repeated rows count once; see :func:`valid_vectors` for
+    nulls.  An empty table gives an empty index.
     ``keep``: ids kept of equal vectors, the smallest; a search for ``keep - 1``
     results needs no more.  ``told``: newcomers that one node may suggest to one
     other in a round.
@@ -323,7 +328,11 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int
     spark, k = rows.sparkSession, neighbours
     vectors, dims, kind = valid_vectors(rows, id_col, vector_col)
     vectors, vectors_path = materialize(vectors, "vectors")
-    nodes, nodes_path = materialize(vectors.groupBy("vec").agg(F.min("vec_id").alias("node")).select("node", "vec"), "nodes")
+    lows = vectors.groupBy("vec").agg(F.min("vec_id").alias("low"))
+    # An id that is the smallest of two vectors can't name both.
+    shared = lows.groupBy("low").count().where("count > 1").select("low", F.lit(True).alias("shared"))
+    named = lows.join(shared, "low", "left").select(F.when(F.col("shared"), F.xxhash64("vec")).otherwise(F.col("low")).alias("node"), "vec")
+    nodes, nodes_path = materialize(named, "nodes")
     n = nodes.count()
     parts = _partitions(spark, n)
     by_vector = Window.partitionBy("vec").orderBy("vec_id")
@@ -359,14 +368,17 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int
     dealt = nodes.mapInArrow(deal, "bucket long, node long, point binary")
     lists = _deal(dealt, parts, "bucket").mapInArrow(_bucket_lists(wide, k), _LIST)
     graph, graph_path = materialize(_deal(lists, parts, "node").mapInArrow(_merge(k), _LIST), "graph")
-    for _ in range(rounds if n > 1 else 0):
+    for turn in range(rounds if n > 1 else 0):
         back = graph.mapInArrow(_back(k), _MEMBER)
         ahead = _deal(graph.mapInArrow(_ahead(k), _SPREAD), parts, "member", "kind").mapInArrow(_attach, _MEMBER)
-        met = _deal(back.union(ahead), parts, "at").mapInArrow(_local_join(wide, k, told), _LIST)
+        met = _deal(back.union(ahead), parts, "at").mapInArrow(_local_join(wide, k, told, turn), _LIST)
         seen = graph.withColumn("fresh", F.expr("repeat('\\0', length(fresh))").cast("binary"))
         graph, new_path = materialize(_deal(seen.union(met), parts, "node").mapInArrow(_merge(k), _LIST), "graph")
         release(spark, graph_path)
         graph_path = new_path
+        changed = graph.select("fresh").mapInArrow(_fresh, "fresh long").agg(F.sum("fresh")).first()[0] or 0
+        if changed <= settled * k * n:
+            break
 
     # Searches go both ways along an edge; a node gives its ``k`` nearest and up
     # to ``k`` of those that list it.
@@ -377,6 +389,11 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 8, trees: int
     return Index(ready, members, dims, kind, n)
 
 
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _frame(fresh=pa.array([int(_flat(batch.column(0), "u1")[0].sum(dtype=np.int64))]))
+
+
 def _reversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = _flat(batch.column(1), "<i8")

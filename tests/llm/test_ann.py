@@ -81,3 +81,9 @@ def test_lists_beside_a_vector_of_large_norm(spark):
     sims = x @ x.T - 9 * np.eye(len(x))
     hits = [len(near[i] & set(np.argsort(-sims[i])[:20].tolist())) for i in range(len(x))]
     assert np.mean(hits) / 20 >= 0.9
+
+
+def test_rows_that_repeat_an_id_are_candidates_of_their_own(spark):
+    rows = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.9, 0.1]), (3, [0.1, 0.9]), (4, [0.5, 0.5]), (4, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    got = sorted((r.rank, r.vec_id, round(r.score, 4)) for r in search(build(rows), rows.where("vec_id = 20"), k=20).collect())
+    assert got == [(1, 3, 0.9), (2, 4, 0.5), (3, 3, 0.1)]
