@@ -15,8 +15,7 @@ that needs the fewest tables.
 Pairs that meet within the radius, and whose check bits are near too, are
 candidates.  Those whose sizes and whole fingerprints are near as well are verified
 by their shingles.  A node with many candidates in a bucket, such as one of a large
-group of near copies, is compared with the first and the nearest of
-them at first.  Buckets with
+group of near copies, is compared with its nearest ones in each bucket first.  Buckets with
 such nodes that verified links haven't all connected are then gone through with
 their nodes' shingles at hand: two nodes of different components are compared until
 nothing more can be connected there.  No bucket is cut, and what leaves a bucket
@@ -44,7 +43,7 @@ from .words import mix
 FILL, MISS = 256, 0.005
 #: Candidates of a node in a bucket that are all verified, and how many of the
 #: nearest of more are at first; buckets whose members are first compared with the smallest ones alone.
-FEW, PIVOTS, LARGE = 16, 2, 20_000
+FEW, PIVOTS, LARGE = 16, 1, 20_000
 #: Nodes of a group of buckets, about.
 _GROUP = 1 << 16
 
@@ -194,7 +193,7 @@ def _bucket_pairs(plan: Plan, edges: np.ndarray, piece: np.ndarray, check: np.nd
             keep((own + i).ravel(), (own + j).ravel())
     for g in np.flatnonzero(sizes > 1024).tolist():
         lo, hi = int(edges[g]), int(edges[g + 1])
-        for i in range(lo, min(hi, lo + PIVOTS * FEW) if hi - lo > LARGE else hi):
+        for i in range(lo, min(hi, lo + FEW) if hi - lo > LARGE else hi):
             j = np.arange(i + 1, hi)
             keep(np.full(len(j), i), j)
     return np.concatenate(firsts), np.concatenate(seconds)
@@ -221,16 +220,16 @@ def _candidates(plan: Plan, groups: int):
         crowded = (degree > FEW) | large
         both = crowded[i] & crowded[j]
         if both.any() or large.any():
-            # Of two crowded ones' pairs, each one's first partner and its nearest.
+            # Of two crowded ones' pairs, those with each one's nearest partners.
             keep = ~both
             pair = np.flatnonzero(both)
             near = _apart(check[i[pair]], check[j[pair]])
             for one, other in ((i[pair], j[pair]), (j[pair], i[pair])):
-                for most, rank in ((1, np.lexsort((other, one))), (PIVOTS, np.lexsort((other, near, one)))):
-                    o = one[rank]
-                    head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])[: len(o)])
-                    place = np.arange(len(o)) - np.repeat(head, np.diff(np.concatenate([head, [len(o)]])))
-                    keep[pair[rank[place < most]]] = True
+                rank = np.lexsort((other, near, one))
+                o = one[rank]
+                head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])[: len(o)])
+                place = np.arange(len(o)) - np.repeat(head, np.diff(np.concatenate([head, [len(o)]])))
+                keep[pair[rank[place < PIVOTS]]] = True
             i, j = i[keep], j[keep]
             rest = np.flatnonzero(crowded)
             bucket = mix(key[rest] ^ mix(np.full(len(rest), table + 1, np.uint64))).view(np.int64)
