@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by five-word shingles with a Jaccard
-    similarity of 0.8 or more, the document with the smallest id stays."""
+    """Of each group of near copies, found by SimHash over five-word shingles and
+    verified at a Jaccard similarity of 0.8 or more, the document with the smallest
+    id stays."""
     return keep_one_of_each(docs, threshold=0.8, shingle=5)
 
 
