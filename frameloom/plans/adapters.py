@@ -52,10 +52,10 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """``id, pos, b``: bytes of documents whose texts are ASCII."""
-    rows = table(spark, sf, "documents").where("octet_length(text) = length(text)")
-    exploded = rows.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
-    return exploded.where("ch <> ''").selectExpr("id", "CAST(pos AS INT) AS pos", "ascii(ch) AS b")
+    """``id, pos, b``: the UTF-8 bytes of every text."""
+    pairs = F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".."), F.lit(0))
+    exploded = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(pairs).alias("pos", "pair"))
+    return exploded.selectExpr("id", "CAST(pos AS INT) AS pos", "CAST(conv(pair, 16, 10) AS INT) AS b")
 
 
 def iso_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -554,8 +554,11 @@ def natural_order(files: DataFrame) -> DataFrame:
 query("queue_next", "SELECT o_custkey AS worker, min(o_orderkey) AS next FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")(
     lambda s, d: ad.table(s, d, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("worker")).agg(F.min("o_orderkey").alias("next"))
 )
-_BYT = "b AS (SELECT doc_id AS id, unnest(range(length(text))) AS pos, unnest(string_split(text, '')) AS ch FROM documents WHERE strlen(text) = length(text))"
+_BYT = (
+    "h AS (SELECT doc_id AS id, unnest(range(strlen(text))) AS pos, unnest(regexp_extract_all(hex(encode(text)), '..')) AS pair FROM documents), "
+    "b AS (SELECT id, pos, 16 * (instr('0123456789ABCDEF', pair[1]) - 1) + instr('0123456789ABCDEF', pair[2]) - 1 AS v FROM h)"
+)
 query(
     "unpack12",
-    f"WITH {_BYT}, t AS (SELECT id, pos // 3 AS g, max(CASE WHEN pos % 3 = 0 THEN ascii(ch) END) AS a, max(CASE WHEN pos % 3 = 1 THEN ascii(ch) END) AS b, max(CASE WHEN pos % 3 = 2 THEN ascii(ch) END) AS c, count(*) AS k FROM b GROUP BY id, pos // 3) SELECT id, CAST(g AS INT) AS g, (a << 4) | (b >> 4) AS p0, ((b & 15) << 8) | c AS p1 FROM t WHERE k = 3",
+    f"WITH {_BYT}, t AS (SELECT id, pos // 3 AS g, max(CASE WHEN pos % 3 = 0 THEN v END) AS a, max(CASE WHEN pos % 3 = 1 THEN v END) AS b, max(CASE WHEN pos % 3 = 2 THEN v END) AS c, count(*) AS k FROM b GROUP BY id, pos // 3) SELECT id, CAST(g AS INT) AS g, (a << 4) | (b >> 4) AS p0, ((b & 15) << 8) | c AS p1 FROM t WHERE k = 3",
 )(lambda s, d: ad.text_bytes(s, d).groupBy("id", F.expr("CAST(pos DIV 3 AS INT)").alias("g")).agg(*(F.expr(f"max(CASE WHEN pos % 3 = {i} THEN b END)").alias(c) for i, c in enumerate("abc")), F.count("*").alias("k")).where("k = 3").selectExpr("id", "g", "shiftleft(a, 4) | shiftright(b, 4) AS p0", "shiftleft(b & 15, 8) | c AS p1"))
