@@ -75,8 +75,14 @@ for _name, (_dy, _dx) in {"grbg": (0, 1), "gbrg": (1, 0), "bggr": (1, 1)}.items(
         f"WITH {PX} SELECT a.f, a.y, a.x, coalesce(b.v, 0) AS v FROM px a LEFT JOIN px b ON b.f = a.f AND b.y = a.y + {_dy} AND b.x = a.x + {_dx}",
     )(lambda s, d, dy=_dy, dx=_dx: remap(ad.pixels(s, d), dy, dx))
 query("cfa_roundtrip", f"WITH {PX} SELECT f, y, x, CASE WHEN y < 1 OR x < 1 THEN 0 ELSE v END AS v FROM px")(lambda s, d: remap(remap(ad.pixels(s, d), 1, 1), -1, -1))
-query("timing_map", "SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 24000 WHEN 1 THEN 24 WHEN 2 THEN 25 WHEN 3 THEN 30000 WHEN 4 THEN 50 ELSE 90000 END AS scale, CASE p_size % 6 WHEN 0 THEN 1001 WHEN 3 THEN 1001 WHEN 5 THEN CAST(floor(90000.0 / 47 + 0.5) AS INT) ELSE 1 END AS duration FROM part")(
-    lambda s, d: ad.table(s, d, "part").selectExpr("p_partkey AS id", "element_at(array(24000D/1001, 24D, 25D, 30000D/1001, 50D, 47D), CAST(p_size % 6 + 1 AS INT)) AS fps").selectExpr("id", *timing("fps"))
+query(
+    "timing_map",
+    "SELECT p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 24000 WHEN 1 THEN 24 WHEN 2 THEN 120 WHEN 3 THEN 30000 WHEN 4 THEN 48000 WHEN 5 THEN 47 ELSE 90000 END AS scale, "
+    "CASE p_size % 7 WHEN 0 THEN 1001 WHEN 3 THEN 1001 WHEN 4 THEN 1001 WHEN 6 THEN 7200 ELSE 1 END AS duration FROM part",
+)(
+    lambda s, d: ad.table(s, d, "part")
+    .selectExpr("p_partkey AS id", "element_at(array(24000D/1001, 24D, 120D, 30000D/1001, 47.952D, 47D, 12.5D), CAST(p_size % 7 + 1 AS INT)) AS fps")
+    .selectExpr("id", *timing("fps"))
 )
 
 
@@ -87,11 +93,12 @@ def remap(clip: DataFrame, dy: int, dx: int) -> DataFrame:
 
 
 def timing(fps: str) -> list[str]:
-    """Ticks a second and a frame: exact for the usual rates, else of 90000."""
-    rates = [("24000D/1001", 24000, 1001), ("30000D/1001", 30000, 1001), ("60000D/1001", 60000, 1001), *((f"{r}D", r, 1) for r in (24, 25, 30, 48, 50, 60))]
-    cases = [f"WHEN abs({fps} - {r}) < 0.01D THEN " for r, _, _ in rates]
-    scale = "CASE " + " ".join(c + str(t) for c, (_, t, _) in zip(cases, rates)) + " ELSE 90000 END"
-    step = "CASE " + " ".join(c + str(u) for c, (_, _, u) in zip(cases, rates)) + f" ELSE CAST(floor(90000D / {fps} + 0.5D) AS INT) END"
+    """Ticks a second and a frame: 1000/1001 of a usual rate, a whole rate as it is,
+    else 90000 ticks a second."""
+    slowed = " ".join(f"WHEN abs({fps} - {rate * 1000}D / 1001) < 0.01D THEN {{{i}}}" for i, rate in enumerate((24, 30, 48, 60)))
+    whole = f"abs({fps} - floor({fps} + 0.5D)) < 0.01D"
+    scale = "CASE " + slowed.format(24000, 30000, 48000, 60000) + f" WHEN {whole} THEN CAST(floor({fps} + 0.5D) AS INT) ELSE 90000 END"
+    step = "CASE " + slowed.format(*[1001] * 4) + f" WHEN {whole} THEN 1 ELSE CAST(floor(90000D / {fps} + 0.5D) AS INT) END"
     return [f"{scale} AS scale", f"{step} AS duration"]
 
 
