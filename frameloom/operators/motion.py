@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a pixel outside either frame adds to a block's distance.
@@ -91,10 +91,9 @@ def motion_stats(vectors: DataFrame, scale: float = 0.5, *, by: tuple[str, ...]
     """``pairs, median, largest``: the upper median and the maximum over frame
     pairs of their mean displacement."""
     pairs = vectors.groupBy(*by, "f", "nf").agg(F.expr(f"avg(sqrt(dx * dx + dy * dy) * {scale}D)").alias("m"))
-    rank = Window.partitionBy(*by).orderBy("m", "f", "nf") if by else Window.orderBy("m", "f", "nf")
-    # Pairs are sampled: 25 at most for a clip.
-    ordered = pairs.withColumn("i", F.row_number().over(rank)).groupBy(*by).agg(F.count("*").alias("pairs"), F.max("m").alias("largest"), F.array_sort(F.collect_list("m")).alias("ms"))
-    return ordered.selectExpr(*by, "pairs", "element_at(ms, CAST(pairs DIV 2 + 1 AS INT)) AS median", "largest")
+    # In falling order the discrete median is the upper one.
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY m DESC)")
+    return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), median.alias("median"), F.max("m").alias("largest"))
 
 
 def centre_weight(flow: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,10 +1,10 @@
 """Sliding-window temporal filters over ``f, y, x, v`` clips.
 
 A window of ``w`` frames is centred on a frame and slides to stay inside the
-clip at its ends.  ``samples`` joins every pixel with the same site in the other
-frames of its window: the join's keys are the site, the frames a band on top, so
-both sides share one exchange and what is grouped by pixel afterwards needs no
-other.  Every technique is an aggregation over samples.
+clip at its ends.  ``samples`` gathers the frames around each pixel by a window
+over its site, ordered by frame: one exchange by site, which what is grouped by
+pixel afterwards shares, and work in proportion to clip length times window.  Every
+technique is an aggregation over samples.
 
 Means of whole numbers are rounded to six places before they become pixels, so
 that halves don't depend on the order of a sum.
@@ -35,12 +35,16 @@ def samples(clip: DataFrame, n: int, w: int, height: int, width: int, *, by: tup
     """``f, y, x, c, nf, s, mag`` without motion: a row for each frame of the
     window, the centre itself included.  Sites whose 2 x 2 footprint of one
     colour leaves the frame have the centre alone."""
+    from pyspark.sql import Window
+
     w = min(w, n, MAX_WINDOW)
-    site = [*by, "y", "x"]
-    centre = clip.select(*site, "f", F.col("v").cast("double").alias("c")).withColumn("lo", F.expr(window_low(n, w)))
-    other = clip.select(*site, F.col("f").alias("nf"), F.col("v").cast("double").alias("s"))
-    near = f"nf = f OR (nf BETWEEN lo AND lo + {w - 1} AND x + 2 < {width} AND y + 2 < {height})"
-    return centre.join(other, site).where(near).drop("lo").withColumn("mag", F.lit(0.0))
+    # At the ends of the clip a window reaches up to w - 1 frames to one side.
+    around = Window.partitionBy(*by, "y", "x").orderBy("f").rangeBetween(1 - w, w - 1)
+    held = clip.select(*by, "f", "y", "x", F.col("v").cast("double").alias("c"))
+    held = held.withColumn("a", F.collect_list(F.struct(F.col("f").alias("nf"), F.col("c").alias("s"))).over(around)).withColumn("lo", F.expr(window_low(n, w)))
+    inside = f"x + 2 < {width} AND y + 2 < {height}"
+    near = F.expr(f"inline(filter(a, q -> q.nf = f OR ({inside} AND q.nf BETWEEN lo AND lo + {w - 1})))")
+    return held.select(*by, "f", "y", "x", "c", near).withColumn("mag", F.lit(0.0))
 
 
 def moved_samples(clip: DataFrame, flow: DataFrame, n: int, w: int, height: int, width: int, *, by: tuple[str, ...] = ()) -> DataFrame:
@@ -150,21 +154,27 @@ def dct_shrink(rows: DataFrame, sigma: float, *, by: tuple[str, ...] = ()) -> Da
     return _out(grouped, f"CASE WHEN n < 3 THEN CAST(c AS INT) ELSE {to_pixel(value)} END", by)
 
 
-def offsets(radius: int):
-    """Steps of 2 in a square: the sites of one colour around a pixel."""
-    steps = [2 * k for k in range(-radius, radius + 1)]
-    return F.explode(F.array(*(F.struct(F.lit(dy).alias("oy"), F.lit(dx).alias("ox")) for dy in steps for dx in steps)))
+def _patches(rows: DataFrame, radius: int, distance: str, by: tuple[str, ...]) -> DataFrame:
+    """The neighbours' ``rows`` with ``d2, k``: the mean of ``distance`` over the
+    sites of one colour within ``radius`` steps, and how many of them have a sample.
 
+    Box sums in two passes of sliding windows, along rows and then along columns.
+    Sites without a sample have sums too, where a sample is within ``radius`` in
+    their row, so that columns miss nothing behind a hole."""
+    from pyspark.sql import Window
 
-def _patches(rows: DataFrame, radius: int, height: int, width: int, distance: str, by: tuple[str, ...]) -> DataFrame:
-    """``f, nf, y, x, d2, k``: a neighbour's mean squared distance over patches.
-
-    A site's squared difference is computed once and told to the patches that
-    hold it, rather than gathered for each patch from both frames."""
-    keys = [*by, "f", "nf"]
-    told = rows.where("nf <> f").select(*keys, "y", "x", F.expr(distance).alias("d"), offsets(radius).alias("o"))
-    told = told.selectExpr(*keys, "y + o.oy AS y", "x + o.ox AS x", "d").where(f"y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1}")
-    return told.groupBy(*keys, "y", "x").agg(F.avg("d").alias("d2"), F.count("*").alias("k"))
+    pair = [*by, "f", "nf"]
+    line = Window.partitionBy(*pair, "y", "px").orderBy("sx")
+    down = Window.partitionBy(*pair, "x", "py").orderBy("sy").rangeBetween(-radius, radius)
+    cells = rows.where("nf <> f").withColumns({"d": F.expr(distance), "sx": F.expr("x DIV 2"), "px": F.expr("x % 2"), "py": F.expr("y % 2")})
+    cells = cells.withColumns({"before": F.lag("sx").over(line), "after": F.lead("sx").over(line)})
+    own_or_hole = f"q = 0 OR (q > 0 AND (after IS NULL OR sx + q < after)) OR (q < 0 AND (before IS NULL OR sx + q > before + {radius}))"
+    cells = cells.withColumn("q", F.explode(F.expr(f"filter(sequence({-radius}, {radius}), q -> {own_or_hole})")))
+    cells = cells.withColumns({"d": F.expr("CASE WHEN q = 0 THEN d ELSE 0D END"), "sx": F.expr("sx + q"), "x": F.expr("x + 2 * q")})
+    sliding = line.rangeBetween(-radius, radius)
+    cells = cells.withColumns({"d": F.sum("d").over(sliding), "k": F.count(F.expr("CASE WHEN q = 0 THEN 1 END")).over(sliding), "sy": F.expr("y DIV 2")})
+    cells = cells.withColumns({"d": F.sum("d").over(down), "k": F.sum("k").over(down)})
+    return cells.where("q = 0").select(*rows.columns, F.expr("d / k").alias("d2"), "k")
 
 
 def patch_means(rows: DataFrame, sigma: float, height: int, width: int, *, by: tuple[str, ...] = ()) -> DataFrame:
@@ -173,8 +183,7 @@ def patch_means(rows: DataFrame, sigma: float, height: int, width: int, *, by: t
     s = f"{sigma}D"
     z, zc = stabilise("s", s), stabilise("c", s)
     rows = rows.withColumns({"z": F.expr(z), "zc": F.expr(zc)})
-    patches = _patches(rows, 2, height, width, "(z - zc) * (z - zc)", by).where("k >= 5 AND d2 <= 9D")
-    near = rows.where("nf <> f").join(patches, [*by, "f", "nf", "y", "x"]).withColumn("w", F.expr("exp(-d2 / 2D)"))
+    near = _patches(rows, 2, "(z - zc) * (z - zc)", by).where("k >= 5 AND d2 <= 9D").withColumn("w", F.expr("exp(-d2 / 2D)"))
     sums = near.groupBy(*_pixel(by)).agg(F.sum("w").alias("sw"), F.expr("sum(w * z)").alias("swz"))
     own = rows.where("nf = f").join(sums, _pixel(by), "left").withColumns({"sw": F.expr("coalesce(sw, 0D)"), "swz": F.expr("coalesce(swz, 0D)")})
     inner = f"y BETWEEN 2 AND {height - 3} AND x BETWEEN 2 AND {width - 3}"
@@ -190,8 +199,7 @@ def reject_limit(v: str, sigma: str) -> str:
 def baseline(rows: DataFrame, sigma: float, height: int, width: int, *, strength: float = 1.0, chroma: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Non-local means over 3 x 3 patches of raw values without motion."""
     s = f"{sigma}D"
-    patches = _patches(rows, 1, height, width, "(s - c) * (s - c)", by)
-    near = rows.where("nf <> f").join(patches, [*by, "f", "nf", "y", "x"]).withColumn("t", F.expr(reject_limit("c", s))).where("sqrt(d2) <= t")
+    near = _patches(rows, 1, "(s - c) * (s - c)", by).withColumn("t", F.expr(reject_limit("c", s))).where("sqrt(d2) <= t")
     h = f"({s} * {strength}D * CASE WHEN y % 2 = x % 2 THEN {chroma}D ELSE 1D END * (1D + 0.5D * {clamp('1D - c / 8000D', '0D', '1D')}))"
     dark = "CASE WHEN c < 10000D AND s > c THEN exp(-2D * pow((s - c) / greatest(t, 1D), 2)) ELSE 1D END"
     near = near.withColumn("w", F.expr(f"exp(-d2 / (2D * {h} * {h})) * {dark}"))
@@ -277,8 +285,9 @@ def smoothed_flow(motion: DataFrame, start: float = 2.0, rate: float = 0.1, *, b
     rows = motion.withColumns({"block": F.expr(f"f DIV {size}"), "i": F.expr(f"f % {size}")})
     rows = rows.withColumn("own", F.expr(f"pow({keep}D, i)") * F.sum(F.expr(f"{rate}D * avg / pow({keep}D, i)")).over(block))
     last = rows.groupBy(*by, "block").agg(F.max_by("own", "i").alias("gain"), (F.max("i") + 1).alias("n"))
-    chain = Window.partitionBy(*by).orderBy("block")
-    # Blocks are few: one row for 256 frames.
-    ends = last.withColumn("all", F.collect_list(F.struct("gain", "n")).over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+    # What is further back than this has no weight that a double can hold.
+    reach = math.ceil(745 / (size * -math.log(keep)))
+    chain = Window.partitionBy(*by).orderBy("block").rowsBetween(-reach, -1)
+    ends = last.withColumn("all", F.collect_list(F.struct("gain", "n")).over(chain))
     ends = ends.withColumn("before", F.expr(f"aggregate(all, {start}D, (s, e) -> s * pow({keep}D, e.n) + e.gain)")).select(*by, "block", "before")
     return rows.join(ends, [*by, "block"]).select(*by, "f", F.expr(f"before * pow({keep}D, i + 1) + own").alias("s"))

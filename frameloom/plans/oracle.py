@@ -16,11 +16,17 @@ rgb AS (SELECT CAST(a.i // 256 AS INT) AS f, CAST((a.i % 256) // 16 AS INT) AS y
         FROM ev a JOIN ev b ON b.i = a.i + 1 JOIN ev c ON c.i = a.i + 2)"""
 EMB = """emb AS (SELECT id, p // 8 AS y, p % 8 AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 2048 + 0.5) AS INT) AS v
         FROM (SELECT vec_id AS id, unnest(embedding) AS e, unnest(range(64)) AS p FROM embeddings))"""
-#: Samples of a window of 15 frames without motion, at the noise of the clips.
-SAMPLES = PX + """,
-lo AS (SELECT px.*, least(greatest(f - 7, 0), greatest(n.n - 15, 0)) AS lo, least(15, n.n) AS w FROM px, n),
+
+
+def samples(w: int) -> str:
+    """Samples of a window of ``w`` frames without motion."""
+    return f"""{PX},
+lo AS (SELECT px.*, least(greatest(f - {w // 2}, 0), greatest(n.n - {w}, 0)) AS lo, least({w}, n.n) AS w FROM px, n),
 s AS (SELECT a.f, a.y, a.x, CAST(a.v AS DOUBLE) AS c, b.f AS nf, CAST(b.v AS DOUBLE) AS s
       FROM lo a JOIN px b ON a.y = b.y AND a.x = b.x AND (b.f = a.f OR (b.f BETWEEN a.lo AND a.lo + a.w - 1 AND a.x + 2 < 16 AND a.y + 2 < 16)))"""
+
+
+SAMPLES = samples(15)
 SG = "616D"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from frameloom.operators import temporal as tm
 from frameloom.operators import video as vi
 
 from . import adapters as ad
-from .oracle import EMB, PX, PX32, RGB, SAMPLES, SG, back, duck, px_of, sig, z
+from .oracle import EMB, PX, PX32, RGB, SAMPLES, SG, back, duck, px_of, samples, sig, z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,10 +134,10 @@ def rounded(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
 
-_DARK = "d AS (SELECT y, x, CAST(sum(v) // count(v) AS INT) AS d FROM px WHERE f < 3 GROUP BY y, x)"
-query("dark_master", f"WITH {PX}, {_DARK} SELECT y, x, d AS v FROM d")(lambda s, d: cal.dark_master(ad.pixels(s, d).where("f < 3")))
+_DARK = "d AS (SELECT y, x, CAST(sum(v) // count(v) AS INT) AS d FROM px GROUP BY y, x)"
+query("dark_master", f"WITH {PX}, {_DARK} SELECT y, x, d AS v FROM d")(lambda s, d: cal.dark_master(ad.pixels(s, d)))
 query("dark_subtract", f"WITH {PX}, {_DARK} SELECT f, px.y, px.x, CASE WHEN v > d + 16 THEN v - d ELSE 16 END AS v FROM px JOIN d USING (y, x)")(
-    lambda s, d: cal.dark_subtract(ad.pixels(s, d), cal.dark_master(ad.pixels(s, d).where("f < 3")))
+    lambda s, d: cal.dark_subtract(ad.pixels(s, d), cal.dark_master(ad.pixels(s, d)))
 )
 _AROUND = "o AS (SELECT a.y * 2 AS oy, b.x * 2 AS ox FROM (SELECT unnest([-1, 0, 1]) AS y) a, (SELECT unnest([-1, 0, 1]) AS x) b)"
 query(
@@ -173,10 +174,10 @@ query(
 )(lambda s, d: (lambda t: rounded(col.interpolate(t.select("iso").distinct(), t.where("iso % 500 = 0").groupBy("iso").agg(F.min("sigma").alias("sigma")), "iso", "sigma"), ["sigma"]))(ad.iso_table(s, d)))
 query(
     "camera_match",
-    """WITH p AS (SELECT p_partkey AS ord, lower(split_part(p_name, ' ', 1)) AS pattern FROM part WHERE p_partkey <= 40),
+    """WITH p AS (SELECT min(p_partkey) AS ord, lower(split_part(p_name, ' ', 1)) AS pattern FROM part GROUP BY ALL),
     m AS (SELECT q.p_partkey AS id, p.pattern, p.ord, row_number() OVER (PARTITION BY q.p_partkey ORDER BY p.ord) AS rn FROM part q JOIN p ON contains(lower(q.p_name), p.pattern))
     SELECT id, pattern, ord FROM m WHERE rn = 1""",
-)(lambda s, d: (lambda t: col.match_camera(t.selectExpr("p_partkey AS id", "p_name AS name"), t.where("p_partkey <= 40").selectExpr("p_partkey AS ord", "lower(split_part(p_name, ' ', 1)) AS pattern")))(ad.table(s, d, "part")))
+)(lambda s, d: (lambda t: col.match_camera(t.selectExpr("p_partkey AS id", "p_name AS name"), t.groupBy(F.expr("lower(split_part(p_name, ' ', 1))").alias("pattern")).agg(F.min("p_partkey").alias("ord"))))(ad.table(s, d, "part")))
 query("new_files_anti", "SELECT o_orderkey AS id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 25)")(
     lambda s, d: ad.table(s, d, "orders").selectExpr("o_orderkey AS id").join(ad.table(s, d, "lineitem").where("l_quantity > 25").selectExpr("l_orderkey AS id"), "id", "left_anti")
 )
@@ -274,7 +275,10 @@ for _name, _e in (("vst_guided", 1.0), ("vst_guided_tight", 0.1), ("vst_guided_m
     _temporal(_name, _guided_sql(_e))
 _temporal(
     "vst_nlm",
-    f"""{_Z}, {_patch_sql(2, '(b.z - b.zc) * (b.z - b.zc)', 'zs')},
+    f"""{_Z.replace("zs AS (", "zs AS MATERIALIZED (")},
+    g AS (SELECT f, nf, y, x, (z - zc) * (z - zc) AS d, y // 2 AS sy, x // 2 AS sx, y % 2 AS py, x % 2 AS px FROM zs WHERE nf <> f),
+    h AS (SELECT *, sum(d) OVER w AS rd, count(*) OVER w AS rk FROM g WINDOW w AS (PARTITION BY f, nf, y, px ORDER BY sx RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    d AS (SELECT f, nf, y, x, sum(rd) OVER w / sum(rk) OVER w AS d2, sum(rk) OVER w AS k FROM h WINDOW w AS (PARTITION BY f, nf, x, py ORDER BY sy RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
     w AS (SELECT zs.f, zs.y, zs.x, sum(exp(-d2 / 2)) AS sw, sum(exp(-d2 / 2) * z) AS swz FROM zs JOIN d USING (f, nf, y, x) WHERE k >= 5 AND d2 <= 9 GROUP BY zs.f, zs.y, zs.x)
     SELECT a.f, a.y, a.x, CASE WHEN a.y BETWEEN 2 AND 13 AND a.x BETWEEN 2 AND 13 THEN {back('((0.4::DOUBLE * zc + coalesce(swz, 0)) / (0.4::DOUBLE + coalesce(sw, 0)))')} ELSE CAST(c AS INT) END AS v
     FROM zs a LEFT JOIN w USING (f, y, x) WHERE a.nf = a.f""",
@@ -301,7 +305,9 @@ def _tiles(s: SparkSession, d: str) -> DataFrame:
 
 
 query("tiles_bilateral", f"WITH {SAMPLES}, {_bilateral_sql(1.0)}")(_tiles)
-query("technique_sweep")(lambda s, d: tm.sweep(_clip_samples(s, d).where("f < 2"), ad.SIGMA, 16, 16))
+query("technique_sweep", " UNION ALL ".join(f"SELECT '{t}' AS technique, f, y, x, v FROM ({ORACLES[t]})" for t in tm.TECHNIQUES))(
+    lambda s, d: tm.sweep(_clip_samples(s, d), ad.SIGMA, 16, 16)
+)
 query(
     "neighbour_cap",
     f"WITH {PX}, fr AS (SELECT DISTINCT f FROM px), p AS (SELECT a.f, b.f AS nf, row_number() OVER (PARTITION BY a.f ORDER BY abs(b.f - a.f), b.f) AS rank FROM fr a JOIN fr b ON b.f BETWEEN a.f - 7 AND a.f + 7 AND a.f <> b.f) SELECT f, nf, CAST(rank AS INT) AS rank FROM p WHERE rank <= 6",
@@ -498,20 +504,29 @@ def _two_pass(s: SparkSession, d: str) -> DataFrame:
     return tm.bilateral(again, ad.SIGMA)
 
 
-query("preview_two_pass")(_two_pass)
+query(
+    "preview_two_pass",
+    f"""WITH {samples(5)}, one AS (WITH {_bilateral_sql(1.0)}),
+    two AS (SELECT s.f, s.y, s.x, CAST(one.v AS DOUBLE) AS c, s.nf, CASE WHEN s.nf = s.f THEN CAST(one.v AS DOUBLE) ELSE s.s END AS s FROM s JOIN one USING (f, y, x))
+    SELECT f, y, x, v FROM (WITH s AS (SELECT * FROM two), {_bilateral_sql(1.0)})""",
+)(_two_pass)
+
+
+#: Windows and bandwidths of the parameter sweep.
+_SETTINGS = [(w, h) for w in (3, 5, 9) for h in (0.8, 1.0, 1.2)]
 
 
 def _parameter_sweep(s: SparkSession, d: str) -> DataFrame:
     """Windows times bandwidths, as one long table."""
     clip, n = ad.pixels(s, d), ad.frame_count(s, d)
-    made = [tm.bilateral(tm.samples(clip, n, w, 16, 16).where("f < 3"), ad.SIGMA, h).selectExpr(f"{w} AS window", f"{h}D AS h", "*") for w in (3, 5, 9) for h in (0.8, 1.0, 1.2)]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out
+    made = [tm.bilateral(tm.samples(clip, n, w, 16, 16), ad.SIGMA, h).selectExpr(f"{w} AS window", f"{h}D AS h", "*") for w, h in _SETTINGS]
+    return reduce(DataFrame.unionByName, made)
 
 
-query("parameter_sweep")(_parameter_sweep)
+query(
+    "parameter_sweep",
+    " UNION ALL ".join(f"SELECT {w} AS window, {h}::DOUBLE AS h, f, y, x, v FROM (WITH {samples(w)}, {_bilateral_sql(h)})" for w, h in _SETTINGS).replace(" AS window,", ' AS "window",'),
+)(_parameter_sweep)
 
 # Analysis, sets and profiles ----------------------------------------------------------------------
 
