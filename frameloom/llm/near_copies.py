@@ -14,9 +14,11 @@ that needs the fewest tables.
 
 Pairs that meet within the radius, and whose check bits are near too, are
 candidates.  Those whose sizes and whole fingerprints are near as well are verified
-by their shingles.  A node with many candidates in a bucket, such as one of a large
-group of near copies, is compared with its nearest ones in each bucket first.  Buckets with
-such nodes that verified links haven't all connected are then gone through with
+by their shingles.  Nodes with many candidates in a bucket, such as those of a large
+group of near copies, are crowded there: of pairs of two crowded nodes only those
+with a node's nearest partner in a bucket, and of all these its nearest ones, are
+verified so.  Buckets with
+crowded nodes that verified links haven't all connected are then gone through with
 their nodes' shingles at hand: two nodes of different components are compared until
 nothing more can be connected there.  No bucket is cut, and what leaves a bucket
 are links that connect, not all pairs.
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_partitions, forget, materialize, release, trim
@@ -41,9 +43,10 @@ from .words import mix
 #: Unrelated nodes of a bucket, about, and the share of pairs at the threshold that
 #: no table brings together.
 FILL, MISS = 256, 0.005
-#: Candidates of a node in a bucket that are all verified, and how many of the
-#: nearest of more are at first; buckets whose members are first compared with the smallest ones alone.
-FEW, PIVOTS, LARGE = 16, 1, 20_000
+#: Candidates of a node in a bucket beyond which it is crowded; how many of a crowded
+#: node's nearest partners leave a bucket, and how many of those are verified at first;
+#: buckets whose members are first compared with the smallest ones alone.
+FEW, PIVOTS, NEAREST, LARGE = 8, 1, 4, 20_000
 #: Nodes of a group of buckets, about.
 _GROUP = 1 << 16
 
@@ -156,15 +159,16 @@ def _spread(plan: Plan, groups: int):
     return run
 
 
-_FOUND = "bucket long, a long, b long, piece long, check long, also long"
+_FOUND = "bucket long, a long, b long, piece long, check long, also long, far int"
 
 
-def _found(bucket, a, b, piece=None, check=None) -> pa.RecordBatch:
+def _found(bucket, a, b, piece=None, check=None, far=None) -> pa.RecordBatch:
     n = len(a)
     rows = [pa.array(np.broadcast_to(np.asarray(bucket, np.int64), n)), pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b)]
     bits = (None, None, None) if piece is None else (piece, check[:, 0], check[:, 1])
     rows += [pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.uint64).view(np.int64)) for x in bits]
-    return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "b", "piece", "check", "also"])
+    rows.append(pa.nulls(n, pa.int32()) if far is None else pa.array(far, pa.int32()))
+    return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "b", "piece", "check", "also", "far"])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,8 +204,9 @@ def _bucket_pairs(plan: Plan, edges: np.ndarray, piece: np.ndarray, check: np.nd
 
 
 def _candidates(plan: Plan, groups: int):
-    """Candidate pairs, and (without ``b``) members of buckets of which some pairs
-    were left for later; rows are sorted by group."""
+    """Candidate pairs, those of two crowded nodes with the check bits that they
+    differ in (``far``), and (without ``b``) the crowded members of buckets; rows are
+    sorted by group."""
     kind = _SMALL_ENTRY if plan.width <= 32 else _ENTRY
     masks = plan.masks
 
@@ -221,7 +226,7 @@ def _candidates(plan: Plan, groups: int):
         both = crowded[i] & crowded[j]
         if both.any() or large.any():
             # Of two crowded ones' pairs, those with each one's nearest partners.
-            keep = ~both
+            keep = np.zeros(len(i), bool)
             pair = np.flatnonzero(both)
             near = _apart(check[i[pair]], check[j[pair]])
             for one, other in ((i[pair], j[pair]), (j[pair], i[pair])):
@@ -230,7 +235,9 @@ def _candidates(plan: Plan, groups: int):
                 head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])[: len(o)])
                 place = np.arange(len(o)) - np.repeat(head, np.diff(np.concatenate([head, [len(o)]])))
                 keep[pair[rank[place < PIVOTS]]] = True
-            i, j = i[keep], j[keep]
+            x, y = node[i[keep]], node[j[keep]]
+            yield _found(0, np.minimum(x, y), np.maximum(x, y), far=_apart(check[i[keep]], check[j[keep]]))
+            i, j = i[~both], j[~both]
             rest = np.flatnonzero(crowded)
             bucket = mix(key[rest] ^ mix(np.full(len(rest), table + 1, np.uint64))).view(np.int64)
             yield _found(bucket, node[rest], None, piece[rest], check[rest])
@@ -340,6 +347,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) ->
     return materialize(rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")[0]
 
 
+def _first(made: DataFrame) -> DataFrame:
+    """Of the candidate pairs those that are verified one by one."""
+    pairs = made.where("b IS NOT NULL")
+    crowded = pairs.where("far IS NOT NULL").select("a", "b", "far").distinct()
+    ends = crowded.select(F.col("a").alias("node"), "a", "b", "far", F.col("b").alias("other"))
+    ends = ends.union(crowded.select(F.col("b").alias("node"), "a", "b", "far", F.col("a").alias("other")))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "other"))
+    nearest = ends.withColumn("rank", rank).where(F.col("rank") <= NEAREST)
+    return pairs.where("far IS NULL").select("a", "b").union(nearest.select("a", "b")).distinct()
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, shingle: int, plan: Plan) -> DataFrame:
     """Links ``a``, ``b``: the pairs that are similar enough by their shingles.
 
@@ -358,7 +376,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: fl
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
     own = nodes.select("node", "bits", "size")
-    both = pairs.distinct().join(own.toDF("a", "x", "m"), "a").join(own.toDF("b", "y", "n"), "b")
+    both = pairs.join(own.toDF("a", "x", "m"), "a").join(own.toDF("b", "y", "n"), "b")
     pairs, _ = materialize(both.select("a", "b", "x", "m", "y", "n").mapInArrow(near, "a long, b long"), "candidates")
     held = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle)
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -390,7 +408,7 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, shingle: int = 5, id
     spread = filled.select("node", "bits").mapInArrow(_spread(chosen, groups), "group long, entries binary")
     dealt = spread.repartitionById(n, F.pmod(F.xxhash64("group"), F.lit(n)).cast("int")).sortWithinPartitions("group")
     made, made_path = materialize(dealt.mapInArrow(_candidates(chosen, groups), _FOUND), "buckets")
-    links = _verified(rows, nodes, made.where("b IS NOT NULL").select("a", "b"), threshold, shingle, chosen)
+    links = _verified(rows, nodes, _first(made), threshold, shingle, chosen)
     roots = connected_components(links)
     crowded = made.where("b IS NULL").select("bucket", F.col("a").alias("node"), "piece", "check", "also")
     if not crowded.isEmpty():
