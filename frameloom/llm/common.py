@@ -41,14 +41,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Whether a query's shuffle files go as it ends, not at some later garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts lineage: what follows never recomputes what came before.
+    This cuts lineage: what follows never recomputes what came before.  Hence the
+    write's shuffle files are deleted at once: they don't add to those that follow.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

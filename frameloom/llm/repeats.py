@@ -45,8 +45,13 @@ from .words import BASE, WORD_BASE, Powers, mix, ranges
 
 #: Bytes of text that are hashed at a time, and whose runs are packed at a time.
 _CHUNK, _SETTLE = 1 << 20, 3 << 20
-#: Bytes of text in a group's runs, about.
-GROUP_BYTES = 1 << 20
+#: Bytes of text in a group's runs, about, and bits of the groups that travel as
+#: one bundle and are told apart where they arrive.
+GROUP_BYTES, _BUNDLE = 1 << 20, 4
+#: Bytes of a bundle's words that a task sends as one row, and bytes that it holds
+#: of all bundles for that, about.  So rows grow as the text does, whatever the
+#: number of groups.
+_PIECE, _PENDING = 32 << 10, 96 << 20
 #: Distinct runs below a prefix that make it longer, at least, and the share of
 #: all runs that does so in large corpora: five million long prefixes at most.
 LONG_RUNS, LONG_SHARE = 30_000, 2e-7
@@ -231,8 +236,15 @@ _RUN = np.dtype([("path", "<u8"), ("doc", "<i8"), ("twin", "<i8"), ("start", "<u
 _OUT = "group int, runs binary, words binary, doc long, twin long, spans binary"
 
 
+def _top(path: np.ndarray, bits: int) -> np.ndarray:
+    """A number of ``bits`` bits for each path."""
+    # Anchors are small hashes, being minima: mixed again they fill all groups.
+    return (mix(path) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(path), np.int64)
+
+
 def _grouped_runs(planner: Planner, bits: int):
-    """Runs by group, and spans that a task already knows to be repeats."""
+    """Runs by bundle of groups, and spans that a task already knows to be repeats.
+    ``bits``: of a bundle's number."""
     window = planner.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,23 +256,39 @@ def _grouped_runs(planner: Planner, bits: int):
         kept: list[tuple] = []
         late: list[tuple] = []
 
-        def settle() -> pa.RecordBatch:
-            rows = []
+        waiting: dict[int, tuple[bytearray, bytearray]] = {}
+        pending = 0
+
+        def settle(last: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal pending
+            rows, size = [], 0
             if kept:
                 keys, words = zip(*kept)
                 runs = np.array(list(keys), dtype=_RUN)
-                # Anchors are small hashes, being minima: mixed again they fill all groups.
-                group = (mix(runs["path"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(runs), np.int64)
-                order = np.argsort(group, kind="stable")
-                group, runs, place = group[order], runs[order], order.tolist()
-                cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+                bundle = _top(runs["path"], bits)
+                order = np.argsort(bundle, kind="stable")
+                bundle, runs, place = bundle[order], runs[order], order.tolist()
+                cuts = np.flatnonzero(np.diff(bundle, prepend=-1)).tolist()
                 for a, b in zip(cuts, [*cuts[1:], len(runs)]):
-                    rows.append((int(group[a]), squeeze(runs[a:b].tobytes()), squeeze(b" ".join([words[i] for i in place[a:b]])), None, None, None))
+                    leaves, text = waiting.setdefault(int(bundle[a]), (bytearray(), bytearray()))
+                    before = len(leaves) + len(text)
+                    leaves += runs[a:b].tobytes()
+                    text += (b" " if text else b"") + b" ".join([words[i] for i in place[a:b]])
+                    pending += len(leaves) + len(text) - before
             if late:
                 doc, twin, start, n = (np.array(c, dtype=np.int64) for c in zip(*late))
                 rows += _span_rows(doc, twin, start, start + n + (window - 1))
             kept.clear(), late.clear()
-            return _as_batch(rows)
+            last = last or pending > _PENDING
+            for g in [g for g, (_, text) in waiting.items() if last or len(text) >= _PIECE]:
+                leaves, text = waiting.pop(g)
+                rows.append((g, squeeze(leaves), squeeze(text), None, None, None))
+                pending -= len(leaves) + len(text)
+                size += len(leaves) + len(text)
+                if size >= _SETTLE:
+                    yield _as_batch(rows)
+                    rows, size = [], 0
+            yield _as_batch(rows)
 
         for batch in batches:
             size = 0
@@ -280,9 +308,10 @@ def _grouped_runs(planner: Planner, bits: int):
                         seen.clear()
                 size += len(data)
                 if size >= _SETTLE:
-                    yield settle()
+                    yield from settle()
                     size = 0
-            yield settle()
+            yield from settle()
+        yield from settle(last=True)
         seen.clear()
         trim()
 
@@ -350,8 +379,8 @@ def tree_nodes(words: np.ndarray, depth: int) -> np.ndarray:
     return level
 
 
-def _repeats_of(window: int, runs: list[bytes], words: list[bytes]) -> list[tuple]:
-    """Spans of all leaves but the first below every deep node of a group."""
+def _repeats_of(window: int, runs: list[bytes], words: list[bytes], bits: int) -> list[tuple]:
+    """Spans of all leaves but the first below every deep node of a bundle's groups."""
     leaf = np.frombuffer(b"".join(runs), dtype=_RUN)
     # Where a prefix has one run below it, nothing branches.
     _, inverse, times = np.unique(leaf["path"], return_inverse=True, return_counts=True)
@@ -361,7 +390,19 @@ def _repeats_of(window: int, runs: list[bytes], words: list[bytes]) -> list[tupl
     text = b" ".join(words)
     ends = np.cumsum(leaf["bytes"].astype(np.int64) + 1)[many] - 1
     leaf = leaf[many]
-    numbers = word_numbers(b" ".join([text[e - n : e] for e, n in zip(ends.tolist(), leaf["bytes"].tolist())]))
+    group = _top(leaf["path"], bits)
+    order = np.argsort(group, kind="stable")
+    group, leaf, ends = group[order], leaf[order], ends[order]
+    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    found = []
+    for a, b in zip(cuts, [*cuts[1:], len(leaf)]):
+        own = [text[e - n : e] for e, n in zip(ends[a:b].tolist(), leaf["bytes"][a:b].tolist())]
+        found += _group_spans(window, leaf[a:b], word_numbers(b" ".join(own)))
+    return found
+
+
+def _group_spans(window: int, leaf: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+    """Spans of all leaves but the first below every deep node of one group."""
     n = leaf["n"].astype(np.int64)
     own = np.repeat(np.arange(len(leaf)), n)
     within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -378,31 +419,34 @@ def _repeats_of(window: int, runs: list[bytes], words: list[bytes]) -> list[tupl
     return _span_rows(doc[late], twin[late], start[late], start[late] + window)
 
 
-def _subtrees(window: int):
+def _subtrees(window: int, bits: int):
+    """Spans from the runs of bundles, on which rows are sorted.  ``bits``: of a
+    group's number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         forget()
         unpack = zstandard.ZstdDecompressor().decompress
-        group, runs, words = None, [], []
+        bundle, runs, words = None, [], []
         made: list[tuple] = []
         for batch in batches:
             passed = batch.filter(batch.column(5).is_valid())
-            if passed.num_rows:
+            if passed.num_rows:  # spans that a task knew already
                 yield pa.RecordBatch.from_arrays(passed.columns[3:], names=["doc", "twin", "spans"])
-            for g, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if r is None:  # spans that a task knew already
+            for g, r, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if g is None:
                     continue
-                if g != group:
+                if g != bundle:
                     if runs:
-                        made += _repeats_of(window, runs, words)
-                    group, runs, words = g, [], []
-                runs.append(unpack(r)), words.append(unpack(t))
+                        made += _repeats_of(window, runs, words, bits)
+                    bundle, runs, words = g, [], []
+                runs.append(unpack(r.as_py())), words.append(unpack(t.as_py()))
             if len(made) > 10_000:
                 yield pa.RecordBatch.from_arrays(_as_batch(made).columns[3:], names=["doc", "twin", "spans"])
                 made = []
         if runs:
-            made += _repeats_of(window, runs, words)
+            made += _repeats_of(window, runs, words, bits)
         if made:
             yield pa.RecordBatch.from_arrays(_as_batch(made).columns[3:], names=["doc", "twin", "spans"])
         trim()
@@ -421,13 +465,13 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, first_prefix: int | Non
     texts, lengths = _identified(docs, id_col, text_col), prefix_lengths(window, first_prefix)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A run comes up every (window + 1) / 2 words or so and has window - 1 words more.
-    bits = max(0, int(np.ceil(np.log2(max(1, total) * 3 / GROUP_BYTES))))
+    bits = min(30, max(0, int(np.ceil(np.log2(max(1, total) * 3 / GROUP_BYTES)))))
     planner = Planner(window, lengths, _crowded(texts, window, lengths, total))
-    sent = texts.mapInArrow(_grouped_runs(planner, min(bits, 30)), _OUT)
+    sent = texts.mapInArrow(_grouped_runs(planner, max(0, bits - _BUNDLE)), _OUT)
     # Spans that a task knows already travel along, spread by document.
-    n = byte_partitions(docs.sparkSession, total * 3)
+    n = byte_partitions(docs.sparkSession, total * 3, 128 << 20)
     dealt = sent.repartitionById(n, F.pmod(F.coalesce("group", F.hash("doc")), F.lit(n))).sortWithinPartitions("group")
-    return materialize(dealt.mapInArrow(_subtrees(window), "doc long, twin long, spans binary"), "spans")[0]
+    return materialize(dealt.mapInArrow(_subtrees(window, bits), "doc long, twin long, spans binary"), "spans")[0]
 
 
 def _own_spans(found: list[bytes] | None) -> np.ndarray | None:

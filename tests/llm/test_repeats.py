@@ -121,3 +121,26 @@ def test_cut_keeps_layout_and_columns(spark):
     rows = got.collect()
     assert {r.doc_id: r.text for r in rows} == {None: text + " end", 2: "head\n\nlast  words", 4: None, 5: "  odd  space "}
     assert {(r.doc_id, r.doc, r.twin, r.found) for r in rows} == {(None, "f", 1, "x"), (2, "b", 1, "x"), (4, "d", 1, "x"), (5, "e", 1, "x")}
+
+
+def test_rows_sent_grow_as_the_text_does():
+    rng = random.Random(9)
+    docs = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=400)) for _ in range(400)]
+    batch = repeats._as_batch([])
+    for bits in (4, 8, 12):
+        planner = repeats.Planner(20, [4, 8, 20], [])
+        halves = [repeats.pa.RecordBatch.from_pydict({"doc": list(range(len(d))), "twin": list(range(len(d))), "text": [t.encode() for t in d]}) for d in (docs[:200], docs[200:])]
+        made = list(repeats._grouped_runs(planner, bits)(iter(halves)))
+        sizes = [len(r.as_py()) for b in made for r in b.column(1)]
+        assert {b.schema for b in made} == {batch.schema}
+        # Pieces of one bundle wait for one another: never more than a short row each.
+        text = sum(map(len, docs)) * 3
+        assert len(sizes) <= 2**bits + 2 * text / repeats._PIECE
+
+
+def test_pieces_of_many_bundles_against_brute_force(spark, monkeypatch):
+    for name, value in (("GROUP_BYTES", 1 << 10), ("_BUNDLE", 2), ("_PIECE", 1 << 9), ("_PENDING", 1 << 13), ("_SETTLE", 1 << 11)):
+        monkeypatch.setattr(repeats, name, value)
+    check(spark, corpus(7))
+    monkeypatch.setattr(repeats, "_PENDING", 1)
+    check(spark, corpus(8), window=5)
