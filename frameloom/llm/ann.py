@@ -2,20 +2,20 @@
 
 Index.  Equal vectors make one node.  Vectors are scaled by the largest norm and
 get one more component that makes their norms 1, so that the largest inner
-product is the smallest angle.  Random hyperplane trees, fitted on a bounded
-sample, deal the nodes to small buckets; each node's best partners there are its
-first neighbours.  NN-descent then improves the lists: every node gathers its
-neighbours and those that list it, compares them with one another, and tells
-each of two that are closer than the worst on a list.  Pairs that have met
-before are skipped.  A round is a join of lists with vectors and a shuffle by
-node; whole lists of nodes never meet in one place.
-
-Search.  A query keeps a pool of its ``width`` nearest so far.  A round expands
-the best ones that haven't been, by asking the blocks that hold their neighbours
-for inner products; a block answers from its own vectors and adds the neighbour
-list of a node that enters the pool.  Queries stop when their pool is expanded.
-
-Every vector is indexed and every query searches all of the graph.
+product is the smallest angle.  Nodes are dealt to blocks by a hash, once; a task
+holds one block and makes its graph.  Trees of random hyperplanes deal the block's
+nodes to small buckets; each node's best partners there are its first neighbours.
+NN-descent then improves the lists: what gathers at a node, its neighbours and those
+that list it, is compared, and each of two that are closer than the worst on a list
+is told.  Pairs of old neighbours have met before and are skipped.
+
+Search.  Every query goes to every block, and is searched there along the graph: it
+keeps a pool of its nearest so far, whose best nodes are expanded until none is left.
+The pools of all blocks have ``width`` places together.  Each block's best are scored
+in double precision, and the best of all blocks are the result.
+
+Every vector is indexed and every query searches all blocks.  So the vectors travel
+once, whatever the rounds; the searches' work grows with queries times blocks.
 """
 
 from __future__ import annotations
@@ -29,17 +29,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, shuffle_partitions
+from .common import forget, materialize, release, shuffle_partitions, trim
 
-#: Vectors that the trees are fitted on, at most, by smallest hash of the id.
-FIT_VECTORS = 16_384
-#: Nodes of a bucket of the trees, and of a block that answers searches, about.
-BUCKET, BLOCK = 160, 10_000
-#: Nodes or queries of a partition, about: as few as the first where there are
-#: few in all, and as many as the second where shuffle partitions don't suffice.
-SMALL, LARGE = 2048, 50_000
-#: Nodes that every search may start from.
-SEEDS = 64
+#: Nodes of a bucket of the trees at most, and of a block about, at most and, where
+#: there are fewer for each core, at least.
+BUCKET, BLOCK, SMALL = 1600, 64_000, 4096
+#: Queries of a partition, about.
+LARGE = 50_000
+#: Nodes of a block that every search there may start from, at most (and at most a
+#: sixteenth of them, or 256), queries that are searched at a time, and nodes that
+#: each of them expands at a time.
+SEEDS, TOGETHER, EXPAND = 4096, 128, 8
 
 
 def _frame(**columns) -> pa.RecordBatch:
@@ -67,25 +67,7 @@ def _rank(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(head, np.diff(np.concatenate([head, [len(group)]])))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that rows with one value of the first column, on which
-    they are sorted, stay together."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        batch = table.to_batches()[0]
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(key, key[-1], side="left"))
-        if cut:
-            yield batch.slice(0, cut)
-        held = batch.slice(cut)
-    if held is not None:
-        yield held
-
-
-def _partitions(spark: SparkSession, n: int, small: int = SMALL) -> int:
+def _partitions(spark: SparkSession, n: int, small: int) -> int:
     return max(1, min(-(-n // small), max(shuffle_partitions(spark), -(-n // LARGE))))
 
 
@@ -123,207 +105,214 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, dims: int | Non
 
 @dataclass
 class Index:
-    nodes: DataFrame  # node, vec, near (packed ids): what searches read
+    nodes: DataFrame  # block, node, vec, near (packed ids): what searches read
     members: DataFrame  # node, vec_id: the smallest ids of equal vectors
     dims: int
     kind: str
     n: int
+    blocks: int
+
+
+# Graphs of blocks ----------------------------------------------------------------
+
+
+def _leaves(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Rows dealt to buckets by a tree of hyperplanes between two random points,
+    each halving its rows."""
+    groups = [np.arange(len(x))]
+    while len(groups[-1]) > BUCKET:
+        halves = []
+        for own in groups:
+            a, b = rng.choice(own, 2, replace=False)
+            side, half = x[own] @ (x[a] - x[b]), len(own) // 2
+            order = np.argpartition(side, half)
+            halves += [own[order[:half]], own[order[half:]]]
+        groups = halves
+    return groups
+
+
+def _best(sims: np.ndarray, most: int) -> np.ndarray:
+    """Places of each row's largest values, not in order."""
+    return np.argpartition(-sims, most - 1, axis=1)[:, :most] if sims.shape[1] > most else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+
+
+def _merge(ids: np.ndarray, sims: np.ndarray, k: int):
+    """The ``k`` most similar of each row, in order, each id once, and where they
+    were; of equal ids the first counts.  Empty places are -1."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    sorted_ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    sims[:, 1:][sorted_ids[:, 1:] == sorted_ids[:, :-1]] = -np.inf
+    sims[sorted_ids < 0] = -np.inf
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    ids, sims = np.take_along_axis(sorted_ids, top, 1), np.take_along_axis(sims, top, 1)
+    ids[np.isneginf(sims)] = -1
+    return ids, sims, np.take_along_axis(order, top, 1)
+
+
+def _descending(sims: np.ndarray) -> np.ndarray:
+    """32 bits whose order is that of falling values."""
+    bits = np.ascontiguousarray(sims, np.float32).view(np.uint32)
+    return np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF)).astype(np.int64)
+
+
+def _padded(row: np.ndarray, most: int, *columns: np.ndarray) -> list[np.ndarray]:
+    """The rows that occur in ``row``, which is sorted, and for each its first
+    ``most`` values of the columns; empty places are -1, or minus infinity."""
+    place = _rank(row)
+    keep = place < most
+    row, place = row[keep], place[keep]
+    keys, at = np.unique(row, return_inverse=True)
+    out = [keys]
+    for column in columns:
+        full = np.full((len(keys), most), -np.inf if column.dtype.kind == "f" else -1, column.dtype)
+        full[at, place] = column[keep]
+        out.append(full)
+    return out
 
 
-# Trees -------------------------------------------------------------------------
-
-
-class _Tree:
-    """Random hyperplanes between two points of the sample, in heap order."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.normal, self.offset = np.zeros(((1 << depth) - 1, sample.shape[1]), np.float32), np.zeros((1 << depth) - 1, np.float32)
-        self.depth, groups = depth, {0: np.arange(len(sample))}
-        for node in range((1 << depth) - 1):
-            own = groups.pop(node)
-            pick = rng.choice(own, 2) if len(own) else np.zeros(2, np.int64)
-            normal = sample[pick[0]] - sample[pick[1]] if len(own) else np.zeros(sample.shape[1], np.float32)
-            side = sample[own] @ normal
-            offset = np.median(side) if len(own) else 0
-            self.normal[node], self.offset[node] = normal, offset
-            groups[2 * node + 1], groups[2 * node + 2] = own[side <= offset], own[side > offset]
-
-    def leaf(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normal[node]) > self.offset[node])
-        return node
-
-
-# NN-descent ----------------------------------------------------------------------
-
-_LIST = "node long, ids binary, sims binary, fresh binary, point binary"
-
-
-def _merge(k: int):
-    """The ``k`` most similar of all lists of a node; ``fresh`` marks those that
-    no list with the flag 0 has.  One of the lists has the node's own vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            ids, counts = _flat(batch.column(1), "<i8")
-            sims, _ = _flat(batch.column(2), "<f4")
-            fresh, _ = _flat(batch.column(3), "u1")
-            rows = batch.column(0).to_numpy()
-            node = np.repeat(rows, counts)
-            order = np.lexsort((fresh, ids, node))
-            node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
-            first = np.concatenate([[True], (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])])[: len(node)] & (ids != node)
-            node, ids, sims, fresh = node[first], ids[first], sims[first], fresh[first]
-            order = np.lexsort((ids, -sims, node))
-            order = order[_rank(node[order]) < k]
-            node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
-            keys = np.unique(rows)
-            counts = np.searchsorted(node, keys, side="right") - np.searchsorted(node, keys, side="left")
-            known = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False))
-            own = known[np.searchsorted(rows[known], keys)] if len(known) else None
-            point = batch.column(4).take(pa.array(own)) if own is not None else pa.nulls(len(keys), pa.binary())
-            yield _frame(node=pa.array(keys), ids=_lists(ids, counts), sims=_lists(sims, counts), fresh=_lists(fresh, counts), point=point)
-
-    return run
-
-
-def _best_pairs(ids: np.ndarray, sims: np.ndarray, ok: np.ndarray, most: int):
-    """For each row of a square of similarities its ``most`` largest allowed."""
-    masked = np.where(ok, sims, -np.inf)
-    m = masked.shape[-1]
-    top = np.argpartition(-masked, min(most, m) - 1, axis=-1)[..., :most] if m > most else np.broadcast_to(np.arange(m), masked.shape)
-    value = np.take_along_axis(masked, top, axis=-1)
-    other = np.take_along_axis(np.broadcast_to(ids[..., None, :], masked.shape), top, axis=-1)
-    return other, value
-
-
-def _bucket_lists(dims: int, k: int):
-    """First lists: a node's best partners in its bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            point = _flat(batch.column(2), "<f4")[0].reshape(-1, dims)
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                for a in range(lo, hi, 2 * BUCKET):  # a first guess needs no larger squares
-                    b = min(hi, a + 2 * BUCKET)
-                    own, x = ids[a:b], point[a:b]
-                    sims = x @ x.T
-                    other, value = _best_pairs(own, sims, ~np.eye(b - a, dtype=bool), k)
-                    good = np.isfinite(value)
-                    counts = good.sum(axis=1)
-                    yield _frame(node=pa.array(own), ids=_lists(other[good].astype("<i8"), counts), sims=_lists(value[good].astype("<f4"), counts), fresh=_lists(np.ones(int(counts.sum()), np.uint8), counts), point=batch.column(2).slice(a, b - a))
-
-    return run
-
-
-def _local_join(dims: int, k: int, most: int, turn: int, block: int = 256):
-    """Compares what gathers at a node; rows are sorted by it.
-
-    Up to ``2 k`` of the neighbours and of those that list the node take part in a
-    round, new ones first, by a hash that changes with the round; two old ones have
-    mostly met before.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            at, ids, cut, fresh = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-            point = _flat(batch.column(2), "<f4")[0].reshape(-1, dims)
-            # A member that is listed both ways counts once.
-            order = np.lexsort((-fresh, ids, at))
-            single = order[np.concatenate([[True], (at[order][1:] != at[order][:-1]) | (ids[order][1:] != ids[order][:-1])])]
-            mixed = ((ids[single].astype(np.uint64) ^ np.uint64(turn << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            single = single[np.lexsort((mixed, -fresh[single], at[single]))]
-            place = _rank(at[single])
-            single, place = single[place < 2 * k], place[place < 2 * k]
-            keys, row = np.unique(at[single], return_inverse=True)
-            for lo in range(0, len(keys), block):
-                here = (row >= lo) & (row < lo + block)
-                r, p, s = row[here] - lo, place[here], single[here]
-                shape = (min(block, len(keys) - lo), 2 * k)
-                member, new, worst = np.full(shape, -1, np.int64), np.zeros(shape, bool), np.full(shape, np.inf, np.float32)
-                x = np.zeros((*shape, dims), np.float32)
-                member[r, p], new[r, p], worst[r, p], x[r, p] = ids[s], fresh[s] > 0, cut[s], point[s]
-                sims = x @ x.transpose(0, 2, 1)
-                ok = (member >= 0)[:, None, :] & (new[:, :, None] | new[:, None, :]) & (sims > worst[:, :, None]) & ~np.eye(2 * k, dtype=bool)
-                other, value = _best_pairs(member, sims, ok, most)
-                good = np.isfinite(value)
-                told = np.broadcast_to(member[..., None], good.shape)[good]
-                if not len(told):
-                    continue
-                other, value = other[good], value[good]
-                order = np.argsort(told, kind="stable")
-                nodes, counts = np.unique(told, return_counts=True)
-                yield _frame(node=pa.array(nodes), ids=_lists(other[order].astype("<i8"), counts), sims=_lists(value[order].astype("<f4"), counts), fresh=_lists(np.ones(len(told), np.uint8), counts), point=pa.nulls(len(nodes), pa.binary()))
+def _first_lists(x: np.ndarray, k: int, trees: int, rng: np.random.Generator):
+    """Each node's best partners in its buckets of some trees."""
+    n = len(x)
+    near, sims = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
+    for _ in range(trees if n > BUCKET else 1):
+        ids, found = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
+        for own in _leaves(x, rng):
+            s = x[own] @ x[own].T
+            np.fill_diagonal(s, -np.inf)
+            top = _best(s, k)
+            ids[own, : top.shape[1]], found[own, : top.shape[1]] = own[top], np.take_along_axis(s, top, 1)
+        near, sims, _ = _merge(np.concatenate([near, ids], 1), np.concatenate([sims, found], 1), k)
+    return near, sims
+
+
+def _gathered(near: np.ndarray, fresh: np.ndarray, rng: np.random.Generator):
+    """What meets at each node in a round, and which of it is new: up to ``2 k`` of
+    its neighbours and of those that list it, new ones first, by chance.  Entries
+    that take part at their own node are new no more."""
+    n, k = near.shape
+    u, v = np.repeat(np.arange(n, dtype=np.int32), k), near.ravel()
+    edge = np.flatnonzero(v >= 0)
+    new = fresh.ravel()[edge]
+    at, with_ = np.concatenate([u[edge], v[edge]]), np.concatenate([v[edge], u[edge]])
+    key = rng.integers(1 << 31, size=len(at)) | (at.astype(np.int64) << 32) | (~np.concatenate([new, new])).astype(np.int64) << 31
+    order = np.argsort(key)
+    place = _rank(at[order])
+    order, place = order[place < 2 * k], place[place < 2 * k]
+    member, is_new = np.full((n, 2 * k), -1, np.int32), np.zeros((n, 2 * k), bool)
+    member[at[order], place], is_new[at[order], place] = with_[order], new[order % len(edge)]
+    fresh.ravel()[edge[order[order < len(edge)]]] = False
+    return member, is_new
+
+
+def _descend(x: np.ndarray, near: np.ndarray, sims: np.ndarray, rounds: int, settled: float, rng: np.random.Generator, block: int = 128, step: int = 2048):
+    """NN-descent: what gathers at a node is compared, and each of two that are
+    closer than the worst on a list is told."""
+    n, k = near.shape
+    fresh = near >= 0
+    pad = 2 * k
+    for _ in range(rounds):
+        member, is_new = _gathered(near, fresh, rng)
+        centres = np.flatnonzero(is_new.any(axis=1))
+        changed = 0
+        for lo in range(0, len(centres), step):
+            told, others, values = [], [], []
+            worst = np.append(sims[:, -1], np.float32(np.inf))  # nobody tells empty places
+            for a in range(lo, min(lo + step, len(centres)), block):
+                m, new = member[centres[a : min(a + block, lo + step)]], is_new[centres[a : min(a + block, lo + step)]]
+                points = x[m]
+                s = points @ points.transpose(0, 2, 1)
+                ok = s > worst[m][:, :, None]
+                ok &= new[:, :, None] | new[:, None, :]
+                f = np.flatnonzero(ok)
+                flat = m.ravel()
+                t, o = flat[f // pad], flat[f // (pad * pad) * pad + f % pad]
+                good = (o >= 0) & (t != o)
+                told.append(t[good]), others.append(o[good]), values.append(s.ravel()[f[good]])
+            t, o, s = np.concatenate(told), np.concatenate(others), np.concatenate(values)
+            key = (t.astype(np.int64) << 32) | _descending(s)
+            order = np.argsort(key)
+            key, t, o, s = key[order], t[order], o[order], s[order]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (o[1:] != o[:-1])])[: len(key)]
+            rows, ids, found = _padded(t[once], k, o[once], s[once])
+            ids, found, was = _merge(np.concatenate([near[rows], ids], 1), np.concatenate([sims[rows], found], 1), k)
+            added = (was >= k) & (ids >= 0)
+            near[rows], sims[rows], fresh[rows] = ids, found, added | np.take_along_axis(fresh[rows], np.minimum(was, k - 1), 1) & (ids >= 0)
+            changed += int(added.sum())
+        if changed <= settled * k * n:
+            break
+    return near, sims
 
-    return run
 
+def _both_ways(near: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """Searches go both ways along an edge: the ``2 k`` most similar of a node's
+    neighbours and of those that list it."""
+    n, k = near.shape
+    u, v, s = np.repeat(np.arange(n), k).astype(np.int32), near.ravel(), sims.ravel()
+    good = v >= 0
+    order = np.argsort((v[good].astype(np.int64) << 32) | _descending(s[good]))
+    rows, ids, found = _padded(v[good][order], 2 * k, u[good][order], s[good][order])
+    wide, value = np.full((n, 3 * k), -1, np.int32), np.full((n, 3 * k), -np.inf, np.float32)
+    wide[:, :k], value[:, :k] = near, sims
+    wide[rows, k:], value[rows, k:] = ids, found
+    return _merge(wide, value, 2 * k)[0]
 
-def _worst(sims: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """What a newcomer to each list must beat."""
-    ends = np.cumsum(counts)
-    out = np.full(len(counts), -np.inf, np.float32)
-    out[counts >= k] = sims[ends[counts >= k] - 1]
-    return out
 
+def _block_count(spark: SparkSession, n: int) -> int:
+    """Blocks of ``BLOCK`` nodes at most, and as many as keep all cores at work
+    unless they had fewer than ``SMALL``."""
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, -(-n // SMALL)) if n <= SMALL * cores else cores * -(-n // (BLOCK * cores))
 
-def _back(k: int):
-    """A row for each edge, to the node that is listed, with the lister's vector."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = _flat(batch.column(1), "<i8")
-            sims, _ = _flat(batch.column(2), "<f4")
-            fresh, _ = _flat(batch.column(3), "u1")
-            point = batch.column(4).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield _frame(at=pa.array(ids), member=pa.array(np.repeat(batch.column(0).to_numpy(), counts)), point=point, cut=pa.array(np.repeat(_worst(sims, counts, k), counts)), fresh=pa.array(fresh.astype(np.int32)))
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
 
-    return run
 
+def _graphs(dims: int, kind: str, lifted, k: int, trees: int, rounds: int, settled: float, seed: int):
+    """The graph of each block; rows are sorted by block and node."""
 
-def _ahead(k: int):
-    """Every node's vector (kind 0) and every edge (kind 1), by the node listed."""
+    def made(block: int, keys: list, vecs: list) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate(keys)
+        packed = pa.chunked_array(vecs)
+        x = lifted(np.concatenate([_flat(v, kind)[0] for v in vecs]))
+        rng = np.random.default_rng([seed, block])
+        near, sims = _first_lists(x, k, trees, rng)
+        wide = _both_ways(*_descend(x, near, sims, rounds if len(ids) > BUCKET else 0, settled, rng))
+        for a in range(0, len(ids), 10_000):
+            part = wide[a : a + 10_000]
+            near = _lists(ids[part[part >= 0]].astype("<i8"), (part >= 0).sum(axis=1))
+            yield _frame(block=pa.array(np.full(len(part), block, np.int32)), node=pa.array(ids[a : a + 10_000]), vec=packed.slice(a, 10_000).combine_chunks(), near=near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        block, keys, vecs = None, [], []
         for batch in batches:
-            node = batch.column(0)
-            ids, counts = _flat(batch.column(1), "<i8")
-            sims, _ = _flat(batch.column(2), "<f4")
-            fresh, _ = _flat(batch.column(3), "u1")
-            n, e = len(node), len(ids)
-            yield _frame(member=node, kind=pa.array(np.zeros(n, np.int32)), at=pa.nulls(n, pa.int64()), point=batch.column(4), cut=pa.array(_worst(sims, counts, k)), fresh=pa.array(np.zeros(n, np.int32)))
-            yield _frame(member=pa.array(ids), kind=pa.array(np.ones(e, np.int32)), at=pa.array(np.repeat(node.to_numpy(), counts)), point=pa.nulls(e, pa.binary()), cut=pa.array(np.zeros(e, np.float32)), fresh=pa.array(fresh.astype(np.int32)))
+            own = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist() if len(own) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if own[a] != block:
+                    if keys:
+                        yield from made(block, keys, vecs)
+                    block, keys, vecs = int(own[a]), [], []
+                keys.append(batch.column(1).slice(a, b - a).to_numpy().copy()), vecs.append(batch.column(2).slice(a, b - a))
+        if keys:
+            yield from made(block, keys, vecs)
+        trim()
 
     return run
 
 
-def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges with the vector of the node listed; rows are sorted by it and kind."""
-    for batch in _whole_groups(batches):
-        kind = batch.column(1).to_numpy()
-        own = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), 0))
-        edge = np.flatnonzero(kind)
-        pick = pa.array(own[edge])
-        yield _frame(at=batch.column(2).take(pa.array(edge)), member=batch.column(0).take(pa.array(edge)), point=batch.column(3).take(pick), cut=batch.column(4).take(pick), fresh=batch.column(5).take(pa.array(edge)))
-
-
-_SPREAD = "member long, kind int, at long, point binary, cut float, fresh int"
-_MEMBER = "at long, member long, point binary, cut float, fresh int"
 
+def build(rows: DataFrame, *, neighbours: int = 40, rounds: int = 30, settled: float = 0.01, trees: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
+    """The neighbour graphs of all vectors that take part.
 
-def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 30, settled: float = 0.01, trees: int = 4, told: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 21, seed: int = 7) -> Index:
-    """The neighbour graph of all vectors that take part.
-
-    Rounds end when no more than the share ``settled`` of the lists' entries is new
-    (or after ``rounds``).  Rows that repeat an id with another vector are
-    candidates of their own; repeated rows count once; see :func:`valid_vectors` for
-    nulls.  An empty table gives an empty index.
+    A block's rounds end when no more than the share ``settled`` of its lists'
+    entries is new (or after ``rounds``).  Rows that repeat an id with another vector
+    are candidates of their own; repeated rows count once; see :func:`valid_vectors`
+    for nulls.  An empty table gives an empty index.
     ``keep``: ids kept of equal vectors, the smallest; a search for ``keep - 1``
-    results needs no more.  ``told``: newcomers that one node may suggest to one
-    other in a round.
+    results needs no more.
     """
     spark, k = rows.sparkSession, neighbours
     vectors, dims, kind = valid_vectors(rows, id_col, vector_col)
@@ -334,7 +323,6 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 30, settled: f
     named = lows.join(shared, "low", "left").select(F.when(F.col("shared"), F.xxhash64("vec")).otherwise(F.col("low")).alias("node"), "vec")
     nodes, nodes_path = materialize(named, "nodes")
     n = nodes.count()
-    parts = _partitions(spark, n)
     by_vector = Window.partitionBy("vec").orderBy("vec_id")
     firsts = vectors.select("vec_id", "vec").distinct().withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= keep)
     members, _ = materialize(firsts.join(nodes, "vec").select("node", "vec_id"), "members")
@@ -350,222 +338,184 @@ def build(rows: DataFrame, *, neighbours: int = 20, rounds: int = 30, settled: f
         x = flat.reshape(-1, dims).astype(np.float64) / largest
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))[:, None]], axis=1).astype(np.float32)
 
-    wide = dims + 1
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(FIT_VECTORS).select("vec").toArrow() if n else None
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / BUCKET))))
-    fitted_depth = min(depth, int(np.log2(FIT_VECTORS / 16)))
-    forest = [_Tree(lifted(_flat(sample.column(0).combine_chunks() if sample.num_rows else pa.array([], pa.binary()), kind)[0]), fitted_depth, seed + t) for t in range(trees)] if n else []
-    chunks = 1 << (depth - fitted_depth)  # leaves that are large are dealt on by hash
+    blocks = _block_count(spark, n)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), lifted(_flat(batch.column(1), kind)[0])
-            for t, tree in enumerate(forest):
-                chunk = (ids * (2 * t + 3) % 1_000_003) % chunks
-                bucket = (tree.leaf(x) * chunks + chunk) * len(forest) + t
-                yield _frame(bucket=pa.array(bucket), node=pa.array(ids), point=_lists(x.ravel(), np.full(len(ids), wide)))
-
-    dealt = nodes.mapInArrow(deal, "bucket long, node long, point binary")
-    lists = _deal(dealt, parts, "bucket").mapInArrow(_bucket_lists(wide, k), _LIST)
-    graph, graph_path = materialize(_deal(lists, parts, "node").mapInArrow(_merge(k), _LIST), "graph")
-    for turn in range(rounds if n > 1 else 0):
-        back = graph.mapInArrow(_back(k), _MEMBER)
-        ahead = _deal(graph.mapInArrow(_ahead(k), _SPREAD), parts, "member", "kind").mapInArrow(_attach, _MEMBER)
-        met = _deal(back.union(ahead), parts, "at").mapInArrow(_local_join(wide, k, told, turn), _LIST)
-        seen = graph.withColumn("fresh", F.expr("repeat('\\0', length(fresh))").cast("binary"))
-        graph, new_path = materialize(_deal(seen.union(met), parts, "node").mapInArrow(_merge(k), _LIST), "graph")
-        release(spark, graph_path)
-        graph_path = new_path
-        changed = graph.select("fresh").mapInArrow(_fresh, "fresh long").agg(F.sum("fresh")).first()[0] or 0
-        if changed <= settled * k * n:
-            break
-
-    # Searches go both ways along an edge; a node gives its ``k`` nearest and up
-    # to ``k`` of those that list it.
-    both = graph.union(graph.mapInArrow(_reversed, _LIST))
-    near = _deal(both, parts, "node").mapInArrow(_merge(2 * k), _LIST).select("node", F.col("ids").alias("near"))
-    ready, _ = materialize(nodes.join(near, "node").select("node", "vec", "near"), "index")
-    release(spark, graph_path, vectors_path, nodes_path)
-    return Index(ready, members, dims, kind, n)
-
-
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _frame(fresh=pa.array([int(_flat(batch.column(0), "u1")[0].sum(dtype=np.int64))]))
+            yield _frame(block=pa.array(block_of(batch.column(0).to_numpy(), blocks).astype(np.int32)), node=batch.column(0), vec=batch.column(1))
 
-
-def _reversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, counts = _flat(batch.column(1), "<i8")
-        sims, _ = _flat(batch.column(2), "<f4")
-        node = np.repeat(batch.column(0).to_numpy(), counts)
-        order = np.argsort(ids, kind="stable")
-        keys, counts = np.unique(ids, return_counts=True)
-        yield _frame(node=pa.array(keys), ids=_lists(node[order], counts), sims=_lists(sims[order], counts), fresh=_lists(np.zeros(len(ids), np.uint8), counts), point=pa.nulls(len(keys), pa.binary()))
+    dealt = nodes.mapInArrow(place, "block int, node long, vec binary").repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "node")
+    ready, _ = materialize(dealt.mapInArrow(_graphs(dims, kind, lifted, k, trees, rounds, settled, seed), "block int, node long, vec binary, near binary"), "index")
+    release(spark, vectors_path, nodes_path)
+    return Index(ready, members, dims, kind, n, blocks)
 
 
 # Search --------------------------------------------------------------------------
 
-#: A row for a block: a node (kind 0) or a question (kind 1); or for a query: its
-#: state (kind 0) or an answer (kind 1).
-_ASK = "block int, kind int, id long, vec binary, ids binary, cut double"
-_STATE = "kind int, id long, vec binary, pool binary, visited binary, near binary, counts binary"
-_POOL = np.dtype([("id", "<i8"), ("score", "<f8"), ("open", "u1")])
-
-
-class _Pool:
-    """A query's nearest so far, with the neighbours of those not yet expanded."""
-
-    def __init__(self, key: int, vec: bytes):
-        self.key, self.vec = key, vec
-        self.found: dict[int, tuple[float, np.ndarray | None]] = {}
-        self.visited: set[int] = set()
-
-    def trim(self, width: int) -> None:
-        best = sorted(self.found.items(), key=lambda x: (-x[1][0], x[0]))[:width]
-        self.found = dict(best)
-
-    def cut(self, width: int) -> float:
-        return min(s for s, _ in self.found.values()) if len(self.found) >= width else -np.inf
-
-    def expand(self, most: int) -> list[int]:
-        """Unvisited neighbours of the best ``most`` open nodes, which close."""
-        ask: list[int] = []
-        for i, (score, near) in list(self.found.items()):  # in order after trim
-            if near is not None and most:
-                most -= 1
-                self.found[i] = (score, None)
-                for j in near.tolist():
-                    if j not in self.visited:
-                        self.visited.add(j)
-                        ask.append(j)
-        return ask
-
-    def row(self) -> tuple:
-        pool = np.array([(i, s, near is not None) for i, (s, near) in self.found.items()], dtype=_POOL)
-        near = [x for _, x in self.found.values() if x is not None]
-        return (0, self.key, self.vec, pool.tobytes(), np.fromiter(self.visited, np.int64, len(self.visited)).tobytes(), b"".join(x.tobytes() for x in near), np.asarray([len(x) for x in near], "<i4").tobytes())
-
-    @classmethod
-    def of(cls, key: int, vec: bytes, pool: bytes, visited: bytes, near: bytes, counts: bytes) -> _Pool:
-        out = cls(key, vec)
-        out.visited = set(np.frombuffer(visited, "<i8").tolist())
-        near_, at, sizes = np.frombuffer(near, "<i8"), 0, iter(np.frombuffer(counts, "<i4").tolist())
-        for i, s, is_open in np.frombuffer(pool, _POOL).tolist():
-            own = None
-            if is_open:
-                size = next(sizes)
-                own, at = near_[at : at + size], at + size
-            out.found[i] = (s, own)
-        return out
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
-
-
-def _answers(dims: int, kind: str):
-    """Inner products of questions with a block's nodes, in double precision."""
+#: A row for a block: a node (kind 0), or queries (kind 1), their ids and vectors packed.
+_ASK = "block int, kind int, id long, vec binary, ids binary"
+_FOUND = "id long, nodes binary, scores binary"
+
+
+class _Block:
+    """Vectors and graph of a block's nodes, which are in order."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, near: np.ndarray, counts: np.ndarray):
+        self.ids, self.x = ids, x
+        scale = np.abs(x).max()
+        self.points = (x / scale).astype(np.float32)
+        self.near = np.full((len(ids), max(1, int(counts.max(initial=0)))), -1, np.int32)
+        self.near[np.repeat(np.arange(len(ids)), counts), np.arange(len(near)) - np.repeat(np.cumsum(counts) - counts, counts)] = np.searchsorted(ids, near)
+        self.seeds = np.random.default_rng(len(ids)).permutation(len(ids))[: min(SEEDS, max(256, len(ids) // 16))].astype(np.int32)
+        self._met = np.zeros((TOGETHER, len(ids)), np.int32)
+
+    def pools(self, queries: np.ndarray, width: int) -> np.ndarray:
+        """Each query's nearest found, ``width`` at most; empty places are -1."""
+        n, m = len(queries), len(self.ids)
+        q = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
+        met, at = self._met[:n], np.arange(n)[:, None]
+        met[:] = 0
+        met[:, self.seeds] = 1
+        sims = q @ self.points[self.seeds].T
+        top = _best(sims, width)
+        ids, sims = self.seeds[top], np.take_along_axis(sims, top, 1)
+        is_open, turn = np.ones(ids.shape, bool), 1
+        flat = met.ravel()
+        while is_open.any():
+            # The best open nodes of each query, which close, and their neighbours.
+            pick = _best(np.where(is_open, sims, -np.inf), EXPAND)
+            chosen = np.take_along_axis(is_open, pick, 1)
+            np.put_along_axis(is_open, pick, False, 1)
+            near = np.where(chosen[:, :, None], self.near[np.take_along_axis(ids, pick, 1)], -1).reshape(n, -1)
+            row, col = np.nonzero(near >= 0)
+            other = near[row, col]
+            place = row * m + other
+            new = flat[place] == 0
+            row, other, place = row[new], other[new], place[new]
+            number = np.arange(turn, turn + len(place), dtype=np.int32)
+            flat[place] = number  # of those that name one node the last stays
+            once = flat[place] == number
+            row, other, turn = row[once], other[once], turn + len(place)
+            if not len(row):
+                continue
+            score = np.einsum("ij,ij->i", self.points[other], q[row])
+            if ids.shape[1] >= width:
+                good = score > sims.min(axis=1)[row]
+                row, other, score = row[good], other[good], score[good]
+            if not len(row):
+                continue
+            counts = np.bincount(row, minlength=n)
+            more = int(counts.max())
+            wide_ids, wide, opened = np.full((n, more), -1, np.int32), np.full((n, more), -np.inf, np.float32), np.zeros((n, more), bool)
+            spot = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            wide_ids[row, spot], wide[row, spot], opened[row, spot] = other, score, True
+            ids, sims, is_open = np.concatenate([ids, wide_ids], 1), np.concatenate([sims, wide], 1), np.concatenate([is_open, opened], 1)
+            top = _best(sims, width)
+            ids, sims, is_open = ids[at, top], sims[at, top], is_open[at, top]
+        return ids
+
+    def nearest(self, queries: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query nodes and scores in double precision: the ``most`` best
+        of its pool, and those that tie with the last."""
+        for a in range(0, len(queries), TOGETHER):
+            asked = queries[a : a + TOGETHER]
+            for q, own in zip(asked, self.pools(asked, width)):
+                own = own[own >= 0]
+                scores = self.x[own].astype(np.float64) @ q
+                yield _top(self.ids[own], scores, most)
+
+
+def _top(nodes: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` best, and those that tie with the last."""
+    if len(scores) > most:
+        keep = scores >= np.partition(scores, len(scores) - most)[len(scores) - most]
+        nodes, scores = nodes[keep], scores[keep]
+    return nodes, scores
+
+
+def _answers(dims: int, kind: str, width: int, most: int):
+    """Searches in blocks; rows are sorted by block and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, vecs, near = None, None, None, None
-        parts: list[tuple] = []
+        forget()
+        number, parts, block = None, [], None
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5)]
-            for b, is_ask, key, vec, ids, cut in zip(*columns):
-                if b != block:
-                    block, parts, keys = b, [], None
-                if not is_ask:
-                    parts.append((key, vec, ids))
+            kinds, numbers = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1]), [True]])).tolist() if len(kinds) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if numbers[a] != number:
+                    number, parts, block = int(numbers[a]), [], None
+                if not kinds[a]:
+                    part = batch.slice(a, b - a)
+                    near, counts = _flat(part.column(4), "<i8")
+                    parts.append((part.column(2).to_numpy().copy(), _flat(part.column(3), kind)[0].reshape(-1, dims), near, counts))
+                    continue
+                if not parts:  # a block without nodes
                     continue
-                if keys is None:
-                    parts.sort()
-                    keys = np.asarray([p[0] for p in parts], dtype=np.int64)
-                    vecs = np.frombuffer(b"".join(p[1] for p in parts), kind).reshape(-1, dims).astype(np.float64)
-                    near = [p[2] for p in parts]
-                want = np.frombuffer(ids, "<i8")
-                at = np.searchsorted(keys, want)
-                scores = vecs[at] @ np.frombuffer(vec, kind).astype(np.float64)
-                good = np.flatnonzero(scores > cut)
-                if len(good):
-                    pool = np.zeros(len(good), _POOL)
-                    pool["id"], pool["score"], pool["open"] = want[good], scores[good], 1
-                    lists = [near[i] for i in at[good].tolist()]
-                    out.append((1, key, None, pool.tobytes(), None, b"".join(lists), np.asarray([len(x) // 8 for x in lists], "<i4").tobytes()))
+                if block is None:
+                    ids, x, near, counts = (np.concatenate(c) for c in zip(*parts))
+                    block, parts = _Block(ids, x, near, counts), parts[:1]
+                for vecs, ids in zip(batch.column(3).slice(a, b - a).to_pylist(), batch.column(4).slice(a, b - a).to_pylist()):
+                    asked = np.frombuffer(vecs, kind).reshape(-1, dims).astype(np.float64)
+                    for key, (nodes, scores) in zip(np.frombuffer(ids, "<i8").tolist(), block.nearest(asked, width, most)):
+                        out.append((key, nodes.tobytes(), scores.tobytes()))
+                    if len(out) >= 10_000:
+                        yield _rows(out)
+                        out = []
             if out:
-                yield _batch(out, _STATE)
+                yield _rows(out)
+        block = None
+        trim()
 
     return run
 
 
-def _advance(width: int):
-    """Takes answers into the pools; rows are sorted by query and kind."""
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    ids, nodes, scores = zip(*out)
+    return _frame(id=pa.array(ids, pa.int64()), nodes=pa.array(nodes, pa.binary()), scores=pa.array(scores, pa.binary()))
+
+
+def _united(most: int):
+    """The best of all blocks; rows are sorted by query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, out = None, []
+        key, nodes, scores = None, [], []
+        out: list[tuple] = []
 
         def close() -> None:
-            if pool is not None:
-                pool.trim(width)
-                out.append(pool.row())
+            if nodes:
+                best = _top(np.frombuffer(b"".join(nodes), "<i8"), np.frombuffer(b"".join(scores), "<f8"), most)
+                out.append((np.full(len(best[0]), key), *best))
+
+        def flush() -> pa.RecordBatch:
+            ids, found, values = (np.concatenate(c) for c in zip(*out))
+            return _frame(id=pa.array(ids), node=pa.array(found), score=pa.array(values))
 
         for batch in batches:
-            for kind, key, vec, found, visited, near, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == 0:
+            for i, n, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != key:
                     close()
-                    pool = _Pool.of(key, vec, found, visited, near, counts)
-                else:
-                    pool.found.update(_Pool.of(key, b"", found, b"", near, counts).found)
-            if len(out) > 2000:
-                yield _batch(out, _STATE)
-                out = []
+                    key, nodes, scores = i, [], []
+                    if len(out) >= 2000:
+                        yield flush()
+                        out.clear()
+                nodes.append(n), scores.append(s)
         close()
         if out:
-            yield _batch(out, _STATE)
-
-    return run
-
-
-def _questions(width: int, most: int, blocks: int, closed: bool):
-    """What the pools ask in this round, by block; or the pools after asking."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                pool = _Pool.of(*row[1:])
-                ask = np.asarray(pool.expand(most), dtype=np.int64)
-                if closed:
-                    out.append(pool.row())
-                    continue
-                if len(ask):
-                    cut, to = pool.cut(width), block_of(ask, blocks)
-                    order = np.argsort(to, kind="stable")
-                    ask, to = ask[order], to[order]
-                    edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-                    out += [(int(to[a]), 1, pool.key, pool.vec, ask[a:b].tobytes(), cut) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            if out:
-                yield _batch(out, _STATE if closed else _ASK)
+            yield flush()
 
     return run
 
 
-def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
-
-
-def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 512, expand: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: up to ``k`` nearest found.
 
     The row of the index with a query's own id is no result.  Ties go to smaller
     ids.  Queries that can't take part (see :func:`valid_vectors`; another length
     than the index's counts too) have no result.  Queries that repeat an id and
-    vector count once.  ``width`` bounds a query's pool, not what it may visit.
+    vector count once.  ``width`` bounds the places of a query's pools in all blocks
+    together, of which each has ``6 k`` at least, not what it may visit.
     """
     spark: SparkSession = queries.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -575,58 +525,25 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, width: int = 512, e
     asked, _ = materialize(asked.distinct().withColumnRenamed("vec_id", "query_id"), "queries")
     if kind != index.kind:
         raise ValueError("queries and index have components of different types")
-    blocks = max(1, -(-index.n // BLOCK))
-    seeds = index.nodes.orderBy(F.xxhash64("node"), "node").limit(SEEDS).collect()
-    seed_ids, seed_near = [r.node for r in seeds], [np.frombuffer(r.near, "<i8") for r in seeds]
-    seed_vecs = np.frombuffer(b"".join(bytes(r.vec) for r in seeds), kind).reshape(-1, dims).astype(np.float64)
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, vec, own, near in zip(*(c.to_pylist() for c in batch.columns)):
-                pool = _Pool(key, vec)
-                x = np.frombuffer(vec, kind).astype(np.float64)
-                for i, s, n in zip(seed_ids, (seed_vecs @ x).tolist(), seed_near):
-                    pool.found[i] = (s, n)
-                if own is not None:
-                    pool.found[own] = (float(x @ x), np.frombuffer(near, "<i8"))
-                pool.visited = set(pool.found)
-                pool.trim(width)
-                out.append(pool.row())
-            if out:
-                yield _batch(out, _STATE)
+    blocks, each = index.blocks, max(6 * k, -(-width // index.blocks))
 
     # One search for each distinct vector, known by its smallest query.
     distinct, _ = materialize(asked.groupBy("vec").agg(F.min("query_id").alias("id")), "distinct-queries")
     parts = _partitions(spark, distinct.count(), 256)
-    own = index.nodes.select("node", "vec", "near")
-    state = distinct.join(own, "vec", "left").select("id", "vec", "node", "near").mapInArrow(begin, _STATE)
-    state, path = materialize(state, "pools")
-    held = index.nodes.select(F.lit(0).alias("kind"), F.col("node").alias("id"), "vec", F.col("near").alias("ids"), F.lit(0.0).alias("cut"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            to = block_of(batch.column(1).to_numpy(), blocks).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(to), *batch.columns], names=["block", *batch.schema.names])
-
-    held, _ = materialize(held.mapInArrow(place, _ASK), "blocks")
-    while True:
-        asks, asks_path = materialize(state.mapInArrow(_questions(width, expand, blocks, False), _ASK), "questions")
-        if asks.isEmpty():
-            break
-        rows = held.union(asks).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
-        answers = rows.mapInArrow(_answers(dims, kind), _STATE)
-        waiting = state.mapInArrow(_questions(width, expand, blocks, True), _STATE)
-        after, after_path = materialize(_deal(waiting.union(answers), parts, "id", "kind").mapInArrow(_advance(width), _STATE), "pools")
-        release(spark, path, asks_path)
-        state, path = after, after_path
-
-    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, counts = _flat(batch.column(1), _POOL)
-            yield _frame(id=pa.array(np.repeat(batch.column(0).to_numpy(), counts)), node=pa.array(flat["id"].copy()), score=pa.array(flat["score"].copy()))
-
-    found = state.select("id", "pool").mapInArrow(results, "id long, node long, score double")
+            for a in range(0, batch.num_rows, 2 * TOGETHER):
+                part = batch.slice(a, 2 * TOGETHER)
+                yield _frame(vec=pa.array([b"".join(part.column(0).to_pylist())], pa.binary()), ids=pa.array([part.column(1).to_numpy().tobytes()], pa.binary()))
+
+    packed = distinct.select("vec", "id").mapInArrow(pack, "vec binary, ids binary")
+    asks = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), "vec", "ids")
+    held = index.nodes.select("block", F.lit(0).alias("kind"), F.col("node").alias("id"), "vec", F.col("near").alias("ids"))
+    rows = held.union(asks).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "id")
+    answers, answers_path = materialize(rows.mapInArrow(_answers(dims, kind, each, k + 1), _FOUND), "answers")
+    found, _ = materialize(_deal(answers, parts, "id").mapInArrow(_united(k + 1), "id long, node long, score double"), "found")
+    release(spark, answers_path)
     best = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
     found = found.join(index.members, "node").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("list"))

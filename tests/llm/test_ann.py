@@ -1,6 +1,6 @@
 import numpy as np
 
-from frameloom.llm import queries
+from frameloom.llm import ann, queries
 from frameloom.llm.ann import build, search
 
 SF = "/root/testdata/sf0.01"
@@ -87,3 +87,53 @@ def test_rows_that_repeat_an_id_are_candidates_of_their_own(spark):
     rows = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.9, 0.1]), (3, [0.1, 0.9]), (4, [0.5, 0.5]), (4, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = sorted((r.rank, r.vec_id, round(r.score, 4)) for r in search(build(rows), rows.where("vec_id = 20"), k=20).collect())
     assert got == [(1, 3, 0.9), (2, 4, 0.5), (3, 3, 0.1)]
+
+
+def sphere(n, seed, dims=32):
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_rounds_improve_the_lists_of_a_block():
+    x = sphere(4000, 3).astype(np.float32)
+    order = np.argsort(-(x[:200] @ x.T), axis=1)[:, 1:21]
+
+    def hits(near):
+        return np.mean([len(set(near[i].tolist()) & set(order[i].tolist())) for i in range(200)]) / 20
+
+    rng = np.random.default_rng(1)
+    old, ann.BUCKET = ann.BUCKET, 100
+    try:
+        near, sims = ann._first_lists(x, 20, 3, rng)
+    finally:
+        ann.BUCKET = old
+    first = hits(near)
+    near, sims = ann._descend(x, near, sims, 30, 0.01, rng)
+    assert first < 0.5 and hits(near) > 0.9
+    assert all(len(set(row)) == 20 and i not in row for i, row in enumerate(near.tolist()))
+    assert (np.diff(sims, axis=1) <= 0).all()
+    assert np.abs(sims[7] - x[near[7]] @ x[7]).max() < 1e-5
+
+
+def test_recall_of_narrow_pools_over_several_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 700), ("SMALL", 200), ("BUCKET", 100), ("SEEDS", 32)):
+        monkeypatch.setattr(ann, name, value)
+    vectors, ids = sphere(5000, 4), np.arange(5000) * 2 + 40
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    index = build(df, neighbours=20)
+    assert index.blocks == 8 and index.nodes.select("node").distinct().count() == 5000
+    found = collect(search(index, df.where("vec_id % 20 = 0"), k=10, width=480))  # 60 of some 625 in a block
+    assert len(found) == 500 and recall_of(found, ids, vectors, 10) >= 0.9
+
+
+def test_vectors_travel_once_whatever_the_rounds(spark):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(sphere(1500, 5))], "vec_id long, embedding array<double>")
+
+    def jobs(rounds):
+        group = f"ann-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        build(df, rounds=rounds, settled=0)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(1) == jobs(6)
