@@ -32,6 +32,26 @@ def test_shared_scores_equal_scores_from_scratch():
     assert len(trie) < size + 200 and long not in trie._ends
 
 
+def test_pieces_are_looked_for_once_and_not_at_every_node():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    rng = random.Random(3)
+    plain_scores = {SPACE: -3.0, "a": -2.0, "b": -2.0, "aab": -3.0, SPACE + "ab": -4.0, "ab" * 8: -5.0, "ba": -3.5, "é": -6.0, "bb": -4.0, "你a": -7.0}
+    words = ["".join(rng.choices("abcé你", weights=[9, 9, 1, 1, 1], k=rng.choice([*range(1, 20), 62, 63, 64, 65, 150]))) for _ in range(600)]
+    words += ["ab" * n for n in range(1, 80)]
+    trie = Trie(scores := Counted(plain_scores))
+    for order in (words[:300], sorted(words), words[::-1]):
+        assert {w: trie._pieces[trie.insert(w)] for w in order} == {w: plain(plain_scores, w) for w in order}
+    asked, size = scores.asked, len(trie)
+    trie.insert("".join(rng.choices("ab", k=60)))
+    assert len(trie) > size + 20 and scores.asked == asked < size
+
+
 def test_query_on_a_whole_table(spark):
     from frameloom.llm import queries
 
