@@ -160,3 +160,33 @@ def test_language_backoff_and_edge_cases(spark, monkeypatch):
     none = fit_languages(docs.limit(0))
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
     assert fit_languages(docs, where=F.col("doc_id") == 1).names == ["en"]
+
+
+ODD_RUNS = ["ΟΔΟΣ, ΟΔΟΣ ΣΑΣ.σ", "İstanbul's IŞIK", "e\u0301te\u0301! \u0301te x²y Ⅷa 12_a", "l'eau,d'eau;L'EAU", "a," * 300 + "chats", "你好，你们\u3000好\xa0吗", "z" * 500 + "-the", "\x1cthe\x85cat ...", "12 !!", "", None]
+
+
+def test_words_are_looked_for_once_in_each_run(spark, monkeypatch):
+    rows = [("the cat and the dog", "en"), ("le chat et l'eau", "fr"), ("οδος σας σασ", "el"), ("你好 吗", "zh"), (" ".join(x or "" for x in ODD_RUNS), "odd")]
+    model, plain = fit_languages(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")), plain_languages(rows)
+    assert model.names == ["el", "en", "fr", "odd", "zh"]
+    predictor, read = Predictor(model), []
+    for texts in (ODD_RUNS, ODD_RUNS[::-1], [" ".join(x or "" for x in ODD_RUNS)], []):
+        got, want = predictor.all(texts), list(map(plain, texts))
+        assert [lang for lang, _ in got] == [lang for lang, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-4)
+    monkeypatch.setattr(langid, "words_of", lambda text: read.append(text) or words_of(text))
+    text = "The chats, l'eau; théologie 3dogs " * 5000
+    assert predictor.of(text) == (plain(text)[0], pytest.approx(plain(text)[1], abs=1e-4))
+    assert sum(map(len, read)) < 100
+
+
+def test_texts_are_not_dealt_by_language(spark, monkeypatch):
+    plans, write = [], langid.materialize
+    monkeypatch.setattr(langid, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = fit_languages(spark.createDataFrame([(i, f"cat {i % 3 * 'x'} dog", "en" if i % 2 else "fr") for i in range(50)], "doc_id long, text string, lang string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert model.rows[0][model.tables[0]["cat"]] == pytest.approx([math.log(25 / n) for n in (50 + sum(i % 3 > 0 for i in range(1, 50, 2)), 50 + sum(i % 3 > 0 for i in range(0, 50, 2)))])
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
