@@ -42,6 +42,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = string.digits + string.punctuation
 #: Runs between white space whose scores a worker remembers, about, and how long they are.
 _MEMORY, _LONGEST_RUN = 300_000, 64
+#: Things that a task counts before it passes counts on, about.
+_COUNTED = 300_000
 #: Bytes of text, and words, that are scored at a time.
 _CHUNK, _BLOCK = 2_000_000, 50_000
 
@@ -202,11 +204,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
         found.clear()
 
+    size = chars = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            found[lang.as_py()].update(text.as_py().lower().split())
-            if sum(map(len, found.values())) > 300_000:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own, text = found[lang], text.as_py()
+            size, chars = size - len(own), chars + len(text)
+            own.update(text.lower().split())
+            size += len(own)
+            if size > _COUNTED or chars > 100 * _COUNTED:
                 yield from rows()
+                size = chars = 0
     yield from rows()
 
 
@@ -221,15 +228,20 @@ def _gram_counts(longest: int):
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "kind": pa.array([kind] * len(own), pa.int32()), "gram": pa.array(own.keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
             found.clear()
 
+        size = 0
         for batch in batches:
             for lang, word, times in zip(*(c.to_pylist() for c in batch.columns)):
                 found[lang, 0][word] = times
+                size += 1
                 for n in range(1, longest + 1):
                     own = found[lang, n]
+                    size -= len(own)
                     for g in grams_of(word, n):
                         own[g] = own.get(g, 0) + times
-            if sum(map(len, found.values())) > 300_000:
-                yield from rows()
+                    size += len(own)
+                if size > _COUNTED:
+                    yield from rows()
+                    size = 0
         yield from rows()
 
     return run

@@ -190,3 +190,30 @@ def test_texts_are_not_dealt_by_language(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert model.rows[0][model.tables[0]["cat"]] == pytest.approx([math.log(25 / n) for n in (50 + sum(i % 3 > 0 for i in range(1, 50, 2)), 50 + sum(i % 3 > 0 for i in range(0, 50, 2)))])
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+@pytest.mark.parametrize("most", [50, 300_000])
+def test_counts_are_passed_on_before_they_are_many(monkeypatch, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "_COUNTED", most)
+    texts = [("en" if i % 2 else "fr", " ".join(f"{'abcdé'[i % 5]}{'xyz'[j % 3] * j},q-{j}" for j in range(20))) for i in range(30)]
+    passed = []
+
+    def run(f, rows, names):
+        found = Counter()
+        for batch in f(iter([pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows))), names=names)])):
+            passed.append(batch.num_rows)
+            for *key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                found[tuple(key)] += n
+        return found
+
+    words = run(langid._word_counts, texts, ["lang", "text"])
+    assert words == Counter((lang, w) for lang, text in texts for w in words_of(text))
+    grams = run(langid._gram_counts(5), [(*key, n) for key, n in words.items()], ["lang", "word", "n"])
+    want = Counter({(lang, 0, w): n for (lang, w), n in words.items()})
+    for (lang, w), times in words.items():
+        for n in range(1, 6):
+            for g in langid.grams_of(w, n):
+                want[lang, n, g] += times
+    assert grams == want and (max(passed) < 200 and len(passed) > 20 if most == 50 else len(passed) <= 16)
